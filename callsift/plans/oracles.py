@@ -80,7 +80,7 @@ oracle("reason_truncate", _validated_with() + "SELECT conv_id, discovery_reason,
 
 oracle("score_scale", _validated_with() + "SELECT conv_id, discovery_score, pitch_score, objection_handling_score, next_step_score, "
        "discovery_score + pitch_score + objection_handling_score + next_step_score AS score_quarters, "
-       "(discovery_score + pitch_score + objection_handling_score + next_step_score) / 4.0 AS overall_score "
+       "CAST(discovery_score + pitch_score + objection_handling_score + next_step_score AS DOUBLE) / 4 AS overall_score "
        "FROM validated WHERE parse_status = 'ok'")
 
 _RAW = "CAST((CAST(json_extract_string(props, '$.k') AS INTEGER) - 10) / 4.0 AS DOUBLE)"
@@ -107,3 +107,6 @@ oracle("call_duration", with_ctes(["calls"], [
     "lpad(CAST(duration_est % 60 AS VARCHAR), 2, '0') AS duration_text FROM d")
 
 oracle("transcript_hash", with_ctes(["calls"]) + f"SELECT call_id, {hash_sql('transcript')} AS transcript_hash FROM calls")
+
+
+from . import oracles_ops  # noqa: E402,F401  (registers the remaining oracles)

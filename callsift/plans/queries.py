@@ -144,3 +144,6 @@ def q_call_duration(spark, sf_dir):
 @register("transcript_hash")
 def q_transcript_hash(spark, sf_dir):
     return FX.calls(spark, sf_dir).select("call_id", text.transcript_hash("transcript").alias("transcript_hash"))
+
+
+from . import queries_ops  # noqa: E402,F401  (registers the remaining queries)
