@@ -205,7 +205,7 @@ _TMP = ["_found", "_obj", "_exr", "_qsr", "_ex", "_qs", "_bad", "_locs", "_locr"
 
 
 def validate_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
-    """Add ``parse_status`` (ok / no_json / bad_json / bad_shape) and ``analysis``.
+    """Add ``parse_status`` (ok / no_reply / no_json / bad_json / bad_shape) and ``analysis``.
 
     ``analysis`` is the typed struct of schema.ANALYSIS, NULL unless ok.  Each
     step is its own projection over named columns: every JSON path is looked
@@ -260,7 +260,8 @@ def validate_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
         falsy_text("_nar", S.ACTION_REASON_MAX).alias("next_action_reason"),
         falsy_text("_sum", S.SUMMARY_MAX).alias("summary"),
     )
-    status = (F.when(~F.col("_found"), F.lit("no_json"))
+    status = (F.when(F.col(reply).isNull(), F.lit("no_reply"))
+              .when(~F.col("_found"), F.lit("no_json"))
               .when(obj.isNull(), F.lit("bad_json"))
               .when(F.col("_bad"), F.lit("bad_shape"))
               .otherwise(F.lit("ok")))

@@ -263,3 +263,13 @@ FROM stored s LEFT JOIN pv e ON e.call_id = s.call_id""")
 
 oracle("edit_quarantine", with_stored(*_EDITS) + """SELECT call_id, field, CASE WHEN NOT known THEN 'call not found'
   ELSE 'invalid field or value' END AS reason FROM lk WHERE NOT known OR NOT ok""")
+
+# ----------------------------------------------------------------- inference (replayed replies)
+_INF = ("SELECT c.call_id, v.parse_status, CAST({att} AS INTEGER) AS attempts, "
+        "CASE WHEN v.parse_status = 'ok' THEN CAST(" + SUMQ + " AS DOUBLE) / 4 END AS overall_score "
+        "FROM calls c JOIN validated v ON v.conv_id = c.conv_id")
+oracle("infer_replay", with_ctes(["calls", "replies"], validated_cte("replies")) +
+       _INF.format(att="CASE WHEN v.parse_status = 'ok' THEN 1 ELSE 3 END"))
+_first = "substr(" + hash_sql("c.transcript") + ", 1, 1) IN ('0','1','2','3','4','5','6','7')"
+oracle("infer_retry", with_ctes(["calls", "replies"], validated_cte("replies")) +
+       _INF.format(att=f"CASE WHEN v.parse_status <> 'ok' THEN 3 WHEN {_first} THEN 2 ELSE 1 END"))
