@@ -273,3 +273,11 @@ oracle("infer_replay", with_ctes(["calls", "replies"], validated_cte("replies"))
 _first = "substr(" + hash_sql("c.transcript") + ", 1, 1) IN ('0','1','2','3','4','5','6','7')"
 oracle("infer_retry", with_ctes(["calls", "replies"], validated_cte("replies")) +
        _INF.format(att=f"CASE WHEN v.parse_status <> 'ok' THEN 3 WHEN {_first} THEN 2 ELSE 1 END"))
+
+oracle("stream_upload", with_ctes(["calls", "replies"], validated_cte("replies")) + """SELECT d.doc_key,
+  'UPLOAD_20260102T030405_' || substr(""" + hash_sql("c.transcript") + """, 1, 8) AS call_id, d.again AS cached,
+  CAST(""" + SUMQ + """ AS DOUBLE) / 4 AS overall_score
+FROM calls c JOIN validated v ON v.conv_id = c.conv_id
+JOIN (SELECT conv_id, call_id AS doc_key, false AS again FROM calls
+      UNION ALL SELECT conv_id, call_id || '#2', true FROM calls WHERE conv_id % 5 = 0) d ON d.conv_id = c.conv_id
+WHERE v.parse_status = 'ok'""")

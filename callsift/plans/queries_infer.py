@@ -37,3 +37,30 @@ def q_infer_retry(spark, sf_dir):
     """As infer_replay, with a transport failure on the first attempt for hashes starting 0-7."""
     flaky = infer.ReplayResponder(fail_first_attempt=lambda h: int(h[0], 16) < 8)
     return _run(spark, sf_dir, flaky)
+
+
+@register("stream_upload")
+def q_stream_upload(spark, sf_dir):
+    """Calls uploaded through the file stream: every call once, then again for conv_id % 5 == 0.
+
+    The second set arrives in a later micro-batch, so it is served from the
+    store (cached); the answer rows are read back from the response table.
+    """
+    import uuid
+
+    from ..session import work_dir
+    from ..streaming.upload import run_upload_stream
+
+    base = work_dir(spark, f"stream-{uuid.uuid4().hex[:12]}")
+    c = FX.calls(spark, sf_dir).join(FX.replies(spark, sf_dir), "conv_id")
+    pay = c.select("conv_id", F.col("call_id").alias("doc_key"), "transcript", "telecaller_name", "lead_name",
+                   F.col("reply").alias("recorded_reply"))
+    first = pay.drop("conv_id").repartition(2)
+    again = pay.filter(F.col("conv_id") % 5 == 0).drop("conv_id").withColumn(
+        "doc_key", F.concat(F.col("doc_key"), F.lit("#2"))).repartition(2)
+    first.write.json(f"{base}/in")
+    again.write.mode("append").json(f"{base}/in")
+    run_upload_stream(spark, f"{base}/in", f"{base}/store", f"{base}/out", infer.ReplayResponder(),
+                      f"{base}/ckpt", ingest_ts=F.to_timestamp(F.lit("2026-01-02 03:04:05")),
+                      files_per_trigger=2, extra_schema="doc_key string, recorded_reply string")
+    return spark.read.parquet(f"{base}/out/responses").select("doc_key", "call_id", "cached", "overall_score")
