@@ -64,3 +64,40 @@ def q_stream_upload(spark, sf_dir):
                       f"{base}/ckpt", ingest_ts=F.to_timestamp(F.lit("2026-01-02 03:04:05")),
                       files_per_trigger=2, extra_schema="doc_key string, recorded_reply string")
     return spark.read.parquet(f"{base}/out/responses").select("doc_key", "call_id", "cached", "overall_score")
+
+
+# ----------------------------------------------------------------- rules analyzer
+def _rules(spark, sf_dir):
+    from ..operators.rules import rules_analysis
+    return rules_analysis(FX.calls(spark, sf_dir).select("call_id", "transcript"))
+
+
+@register("rules_extraction")
+def q_rules_extraction(spark, sf_dir):
+    ex = F.col("rules.extraction")
+    return _rules(spark, sf_dir).select(
+        "call_id", ex["unit_configuration"].alias("unit_configuration"),
+        ex["budget_range"]["min_lakhs"].alias("budget_min"), ex["budget_range"]["max_lakhs"].alias("budget_max"),
+        ex["timeline"].alias("timeline"), F.array_join(ex["preferred_locations"], "|").alias("preferred_locations"),
+        ex["site_visit_outcome"].alias("site_visit_outcome"))
+
+
+@register("rules_scores")
+def q_rules_scores(spark, sf_dir):
+    qs = F.col("rules.quality_scores")
+    return _rules(spark, sf_dir).select("call_id", *[qs[d]["score"].alias(f"{d}_score") for d in
+                                                     ("discovery", "pitch", "objection_handling", "next_step")])
+
+
+@register("rules_stage_action")
+def q_rules_stage_action(spark, sf_dir):
+    return _rules(spark, sf_dir).select("call_id", F.col("rules.last_stage_reached").alias("last_stage_reached"),
+                                        F.col("rules.recommended_next_action").alias("recommended_next_action"))
+
+
+@register("rules_text")
+def q_rules_text(spark, sf_dir):
+    r = F.col("rules")
+    return _rules(spark, sf_dir).select("call_id", r["quality_scores"]["discovery"]["reason"].alias("discovery_reason"),
+                                        r["quality_scores"]["pitch"]["reason"].alias("pitch_reason"),
+                                        r["summary"].alias("summary"))
