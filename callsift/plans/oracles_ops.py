@@ -281,3 +281,15 @@ FROM calls c JOIN validated v ON v.conv_id = c.conv_id
 JOIN (SELECT conv_id, call_id AS doc_key, false AS again FROM calls
       UNION ALL SELECT conv_id, call_id || '#2', true FROM calls WHERE conv_id % 5 = 0) d ON d.conv_id = c.conv_id
 WHERE v.parse_status = 'ok'""")
+
+# ----------------------------------------------------------------- S6 JSON export
+_qs_json = ", ".join(f"'{d}', json_object('score', {d}_score, 'reason', {d}_reason)" for d in S.DIMENSIONS)
+oracle("analysis_json", with_ctes(["replies"], validated_cte("replies")) + f"""SELECT conv_id, CAST(json_object(
+  'extraction', json_object('unit_configuration', unit_configuration,
+     'budget_range', CASE WHEN budget_min IS NULL THEN to_json('not_discussed')
+                          ELSE json_object('min_lakhs', budget_min, 'max_lakhs', budget_max) END,
+     'timeline', timeline, 'preferred_locations', to_json(preferred_locations), 'site_visit_outcome', site_visit_outcome),
+  'quality_scores', json_object({_qs_json}),
+  'last_stage_reached', last_stage_reached, 'recommended_next_action', recommended_next_action,
+  'next_action_reason', next_action_reason, 'summary', summary) AS VARCHAR) AS analysis_json
+FROM validated WHERE parse_status = 'ok'""")
