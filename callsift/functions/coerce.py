@@ -238,38 +238,41 @@ def validate_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
     d6 = with_boundary(d5, {**{f"_s_{d}": vget(f"_q_{d}", "$.score") for d in S.DIMENSIONS},
                          **{f"_r_{d}": vget(f"_q_{d}", "$.reason") for d in S.DIMENSIONS},
                          "_bmin": vget("_budr", "$.min_lakhs"), "_bmax": vget("_budr", "$.max_lakhs")})
+    # final values in three groups, each through its own boundary, so no single
+    # generated method has to hold the whole record
+    d7 = with_boundary(d6, {
+        "_o_unit": coerce_enum("_unit", S.UNIT_CONFIGS, S.DEFAULT_UNIT),
+        "_o_tl": coerce_enum("_tl", S.TIMELINES, S.DEFAULT_TIMELINE),
+        "_o_visit": coerce_enum("_visit", S.SITE_VISIT_OUTCOMES, S.DEFAULT_VISIT),
+        "_o_stage": coerce_enum("_stage", S.LAST_STAGES, S.DEFAULT_STAGE),
+        "_o_act": coerce_enum("_act", S.ACTIONS, S.DEFAULT_ACTION),
+        "_budget": _budget_from_parts("_budr", "_bmin", "_bmax")})
     locs, locs_bad = clean_locations("_locr")
-    d7 = d6.withColumns({"_locs": locs, "_bad": F.col("_bad") | locs_bad,
-                         "_budget": _budget_from_parts("_budr", "_bmin", "_bmax")})
-
-    def qscore(d):
-        return F.struct(coerce_score(f"_s_{d}").alias("score"),
-                        falsy_text(f"_r_{d}", S.REASON_MAX).alias("reason"))
-
+    d8 = with_boundary(d7, {"_locs": locs, "_bad2": F.col("_bad") | locs_bad,
+                            **{f"_o_s_{d}": coerce_score(f"_s_{d}") for d in S.DIMENSIONS}})
+    d9 = with_boundary(d8, {**{f"_o_r_{d}": falsy_text(f"_r_{d}", S.REASON_MAX) for d in S.DIMENSIONS},
+                            "_o_nar": falsy_text("_nar", S.ACTION_REASON_MAX),
+                            "_o_sum": falsy_text("_sum", S.SUMMARY_MAX)})
     analysis = F.struct(
         F.struct(
-            coerce_enum("_unit", S.UNIT_CONFIGS, S.DEFAULT_UNIT).alias("unit_configuration"),
-            F.col("_budget").alias("budget_range"),
-            coerce_enum("_tl", S.TIMELINES, S.DEFAULT_TIMELINE).alias("timeline"),
-            F.col("_locs").alias("preferred_locations"),
-            coerce_enum("_visit", S.SITE_VISIT_OUTCOMES, S.DEFAULT_VISIT).alias("site_visit_outcome"),
+            F.col("_o_unit").alias("unit_configuration"), F.col("_budget").alias("budget_range"),
+            F.col("_o_tl").alias("timeline"), F.col("_locs").alias("preferred_locations"),
+            F.col("_o_visit").alias("site_visit_outcome"),
         ).alias("extraction"),
-        F.struct(*[qscore(d).alias(d) for d in S.DIMENSIONS]).alias("quality_scores"),
-        coerce_enum("_stage", S.LAST_STAGES, S.DEFAULT_STAGE).alias("last_stage_reached"),
-        coerce_enum("_act", S.ACTIONS, S.DEFAULT_ACTION).alias("recommended_next_action"),
-        falsy_text("_nar", S.ACTION_REASON_MAX).alias("next_action_reason"),
-        falsy_text("_sum", S.SUMMARY_MAX).alias("summary"),
+        F.struct(*[F.struct(F.col(f"_o_s_{d}").alias("score"), F.col(f"_o_r_{d}").alias("reason")).alias(d)
+                   for d in S.DIMENSIONS]).alias("quality_scores"),
+        F.col("_o_stage").alias("last_stage_reached"), F.col("_o_act").alias("recommended_next_action"),
+        F.col("_o_nar").alias("next_action_reason"), F.col("_o_sum").alias("summary"),
     )
     status = (F.when(F.col(reply).isNull(), F.lit("no_reply"))
               .when(~F.col("_found"), F.lit("no_json"))
               .when(obj.isNull(), F.lit("bad_json"))
-              .when(F.col("_bad"), F.lit("bad_shape"))
+              .when(F.col("_bad2"), F.lit("bad_shape"))
               .otherwise(F.lit("ok")))
-    d8 = d7.withColumn("parse_status", status)
-    out = with_boundary(d8.withColumnRenamed("parse_status", "_status"),
-                        {"parse_status": F.col("_status"),
-                         "analysis": F.when(F.col("_status") == "ok", analysis)}).drop("_status")
-    drop = _TMP + ["_budget", "_bmin", "_bmax"] + [f"_{p}_{d}" for p in ("qr", "q", "s", "r") for d in S.DIMENSIONS]
+    d10 = d9.withColumn("_status", status)
+    out = with_boundary(d10, {"parse_status": F.col("_status"),
+                              "analysis": F.when(F.col("_status") == "ok", analysis)})
+    drop = [c for c in out.columns if c not in df.columns and c not in ("parse_status", "analysis")]
     return out.drop(*drop)
 
 
