@@ -9,6 +9,7 @@ reference's SQLite ROUND does).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from .ranking import bounded_key_rank
@@ -28,6 +29,9 @@ def leaderboard(calls: DataFrame) -> DataFrame:
         F.when(F.col("_n") > 0, hundredths).alias("_avg_h"),
         (F.col("_minq") / 4.0).alias("min_score"),
         (F.col("_maxq") / 4.0).alias("max_score"))
+    # one row per telecaller, read twice by the rank (rows and bucket counts): keep it
+    # instead of recomputing the scan and validation upstream of it for the second read
+    g = g.persist(StorageLevel.MEMORY_AND_DISK)
     ranked = bounded_key_rank(g, "_avg_h", [F.col("telecaller_id"), F.col("telecaller_name")])
     return ranked.select(
         "rank", "telecaller_id", "telecaller_name", "calls",
