@@ -204,55 +204,74 @@ _TMP = ["_found", "_obj", "_exr", "_qsr", "_ex", "_qs", "_bad", "_locs", "_locr"
         "_unit", "_tl", "_visit", "_stage", "_act", "_nar", "_sum"]
 
 
+_STAGES: dict = {}
+
+
 def validate_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
     """Add ``parse_status`` (ok / no_reply / no_json / bad_json / bad_shape) and ``analysis``.
 
     ``analysis`` is the typed struct of schema.ANALYSIS, NULL unless ok.  Each
     step is its own projection over named columns: every JSON path is looked
     up once per row and later steps refer to the looked-up value by column,
-    which keeps the generated code linear in the number of fields.
+    which keeps the generated code linear in the number of fields.  The step
+    expressions refer to columns by name only, so they are built once per JVM
+    and reused by every plan (building them costs thousands of gateway calls).
     """
+    from pyspark import SparkContext
+    key = (id(SparkContext._active_spark_context), reply)
+    if key not in _STAGES:
+        _STAGES[key] = _validation_stages(reply)
+    out = df
+    for boundary, cols in _STAGES[key]:
+        out = with_boundary(out, cols) if boundary else out.withColumns(cols)
+    drop = [c for c in out.columns if c not in df.columns and c not in ("parse_status", "analysis")]
+    return out.drop(*drop)
+
+
+def _validation_stages(reply: str) -> list[tuple[bool, dict[str, Column]]]:
+    """(through a boundary?, columns) for each validation step, in order."""
+    stages = []
     found, text = cut_json(reply)
-    d1 = with_boundary(df, {"_found": found, "_obj": parse_single_object(text)})
+    stages.append((True, {"_found": found, "_obj": parse_single_object(text)}))
     obj = F.col("_obj")
-    d2 = d1.withColumns({
+    stages.append((False, {
         "_exr": vget(obj, "$.extraction"), "_qsr": vget(obj, "$.quality_scores"),
         "_stage": vget(obj, "$.last_stage_reached"), "_act": vget(obj, "$.recommended_next_action"),
-        "_nar": vget(obj, "$.next_action_reason"), "_sum": vget(obj, "$.summary")})
+        "_nar": vget(obj, "$.next_action_reason"), "_sum": vget(obj, "$.summary")}))
     ex, ex_bad = _section("_exr")
     qs, qs_bad = _section("_qsr")
-    d3 = d2.withColumns({"_ex": ex, "_qs": qs, "_bad": ex_bad | qs_bad})
+    stages.append((False, {"_ex": ex, "_qs": qs, "_bad": ex_bad | qs_bad}))
     leaves = {"_unit": vget("_ex", "$.unit_configuration"), "_budr": vget("_ex", "$.budget_range"),
               "_tl": vget("_ex", "$.timeline"), "_locr": vget("_ex", "$.preferred_locations"),
               "_visit": vget("_ex", "$.site_visit_outcome")}
     for d in S.DIMENSIONS:
         leaves[f"_qr_{d}"] = vget("_qs", f"$.{d}")
-    d4 = with_boundary(d3, leaves)
+    stages.append((True, leaves))
     bad = F.col("_bad")
     dims = {}
     for d in S.DIMENSIONS:
         q, q_bad = _section(f"_qr_{d}")
         dims[f"_q_{d}"] = q
         bad = bad | q_bad
-    d5 = d4.withColumns({**dims, "_bad": bad})
-    d6 = with_boundary(d5, {**{f"_s_{d}": vget(f"_q_{d}", "$.score") for d in S.DIMENSIONS},
-                         **{f"_r_{d}": vget(f"_q_{d}", "$.reason") for d in S.DIMENSIONS},
-                         "_bmin": vget("_budr", "$.min_lakhs"), "_bmax": vget("_budr", "$.max_lakhs")})
+    stages.append((False, {**dims, "_bad": bad}))
+    stages.append((True, {**{f"_s_{d}": vget(f"_q_{d}", "$.score") for d in S.DIMENSIONS},
+                          **{f"_r_{d}": vget(f"_q_{d}", "$.reason") for d in S.DIMENSIONS},
+                          "_bmin": vget("_budr", "$.min_lakhs"), "_bmax": vget("_budr", "$.max_lakhs")}))
     # final values in three groups, each through its own boundary, so no single
     # generated method has to hold the whole record
-    d7 = with_boundary(d6, {
+    stages.append((True, {
         "_o_unit": coerce_enum("_unit", S.UNIT_CONFIGS, S.DEFAULT_UNIT),
         "_o_tl": coerce_enum("_tl", S.TIMELINES, S.DEFAULT_TIMELINE),
         "_o_visit": coerce_enum("_visit", S.SITE_VISIT_OUTCOMES, S.DEFAULT_VISIT),
         "_o_stage": coerce_enum("_stage", S.LAST_STAGES, S.DEFAULT_STAGE),
         "_o_act": coerce_enum("_act", S.ACTIONS, S.DEFAULT_ACTION),
-        "_budget": _budget_from_parts("_budr", "_bmin", "_bmax")})
+        "_budget": _budget_from_parts("_budr", "_bmin", "_bmax")}))
     locs, locs_bad = clean_locations("_locr")
-    d8 = with_boundary(d7, {"_locs": locs, "_bad2": F.col("_bad") | locs_bad,
-                            **{f"_o_s_{d}": coerce_score(f"_s_{d}") for d in S.DIMENSIONS}})
-    d9 = with_boundary(d8, {**{f"_o_r_{d}": falsy_text(f"_r_{d}", S.REASON_MAX) for d in S.DIMENSIONS},
-                            "_o_nar": falsy_text("_nar", S.ACTION_REASON_MAX),
-                            "_o_sum": falsy_text("_sum", S.SUMMARY_MAX)})
+    stages.append((True, {"_locs": locs, "_bad2": F.col("_bad") | locs_bad,
+                          **{f"_o_s_{d}": coerce_score(f"_s_{d}") for d in S.DIMENSIONS}}))
+    stages.append((True, {**{f"_o_r_{d}": falsy_text(f"_r_{d}", S.REASON_MAX) for d in S.DIMENSIONS},
+                          "_o_nar": falsy_text("_nar", S.ACTION_REASON_MAX),
+                          "_o_sum": falsy_text("_sum", S.SUMMARY_MAX)}))
     analysis = F.struct(
         F.struct(
             F.col("_o_unit").alias("unit_configuration"), F.col("_budget").alias("budget_range"),
@@ -269,11 +288,10 @@ def validate_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
               .when(obj.isNull(), F.lit("bad_json"))
               .when(F.col("_bad2"), F.lit("bad_shape"))
               .otherwise(F.lit("ok")))
-    d10 = d9.withColumn("_status", status)
-    out = with_boundary(d10, {"parse_status": F.col("_status"),
-                              "analysis": F.when(F.col("_status") == "ok", analysis)})
-    drop = [c for c in out.columns if c not in df.columns and c not in ("parse_status", "analysis")]
-    return out.drop(*drop)
+    stages.append((False, {"_status": status}))
+    stages.append((True, {"parse_status": F.col("_status"),
+                          "analysis": F.when(F.col("_status") == "ok", analysis)}))
+    return stages
 
 
 def _budget_from_parts(b, mn, mx) -> Column:
