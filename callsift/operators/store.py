@@ -121,3 +121,17 @@ def _get(c: Column, path: str) -> Column:
     for p in path.split("."):
         c = c[p]
     return c
+
+
+def reassign(store: DataFrame, selection: DataFrame, telecaller_id: str, telecaller_name: str) -> DataFrame:
+    """Bulk action: move the selected calls to another telecaller.
+
+    A keyed left join with the selection (its size decides broadcast or
+    sort-merge at run time); unselected calls pass unchanged.
+    """
+    sel = selection.select("call_id").distinct().withColumn("_sel", F.lit(True))
+    j = store.join(sel, "call_id", "left")
+    hit = F.coalesce(F.col("_sel"), F.lit(False))
+    return j.withColumns({"telecaller_id": F.when(hit, F.lit(telecaller_id)).otherwise(F.col("telecaller_id")),
+                          "telecaller_name": F.when(hit, F.lit(telecaller_name)).otherwise(F.col("telecaller_name"))}
+                         ).drop("_sel")

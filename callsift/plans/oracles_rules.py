@@ -103,6 +103,7 @@ LEFT JOIN tw k ON k.call_id = a.call_id AND k.idx = a.ask_idx LEFT JOIN tw ar ON
   CASE WHEN b_lo IS NOT NULL AND (b_lo > 0 OR b_hi > 0) THEN greatest(b_lo, b_hi) END AS budget_max,
   coalesce(tl_m, tl_k, '{S.DEFAULT_TIMELINE}') AS timeline,
   array_to_string(list_sort(list_distinct(list_transform(all_places, lambda p: {_canon}))), '|') AS preferred_locations,
+  list_sort(list_distinct(list_transform(all_places, lambda p: {_canon}))) AS locs_list,
   CASE WHEN visit_idx IS NOT NULL THEN (CASE WHEN vr_idx IS NULL THEN 'call_cut' WHEN vr_refuse THEN 'declined'
        WHEN vr_agree AND vr_date THEN 'committed_with_date' WHEN vr_agree OR vr_defer THEN 'committed_no_date' ELSE 'not_asked' END)
     WHEN any_refuse THEN 'declined' WHEN any_ended THEN 'call_cut' ELSE 'not_asked' END AS site_visit_outcome,
@@ -143,3 +144,45 @@ oracle("rules_text", _rules_sql(
     f"array_to_string(list_filter({_topic_names}, lambda x: NOT list_contains(topics, x)), ', ') AS pitch_reason, "
     f"'Lead discussed ' || unit_configuration || ', ' || {_bud} || '. Outcome: ' || site_visit_outcome || "
     "', stage ' || last_stage_reached || '.' AS summary"))
+
+# ----------------------------------------------------------------- wished-for items
+from ..operators import extras as X  # noqa: E402
+from .oracle_validate import validated_cte  # noqa: E402
+from .oracles_ops import STORED, with_stored  # noqa: E402
+
+oracle("list_date_range", with_stored() + "SELECT call_id, overall_score FROM stored WHERE ts >= TIMESTAMP '2024-01-01 02:00:00' "
+       "AND ts < TIMESTAMP '2024-01-01 05:00:00' AND overall_score >= 1.0 AND overall_score <= 3.0")
+
+_adj = " OR ".join(f"(p_sv = '{a}' AND g_sv = '{b}') OR (p_sv = '{b}' AND g_sv = '{a}')" for a, b in X.ADJACENT_VISITS)
+from .oracles_ops import _PAIRS  # noqa: E402
+oracle("eval_visit_partial", with_ctes(["replies"], validated_cte("replies") + [_PAIRS]) + f"""SELECT CAST(count(*) AS BIGINT) AS total,
+  CAST(count(*) FILTER (WHERE p_sv = g_sv) AS BIGINT) AS exact, CAST(count(*) FILTER (WHERE {_adj}) AS BIGINT) AS adjacent,
+  (count(*) FILTER (WHERE p_sv = g_sv) * 2 + count(*) FILTER (WHERE {_adj})) / (count(*) * 2.0)::DOUBLE AS credit
+FROM pairs WHERE parse_status = 'ok'""")
+
+oracle("normalized_hash", f"SELECT doc_id, substr(sha256(regexp_replace(lower(text), {q(X.NORMALIZE_RE)}, '', 'g')), 1, 32) "
+       "AS norm_hash FROM documents")
+
+oracle("intro_name", with_ctes(["calls"]) + f"""SELECT call_id, nullif(regexp_extract(regexp_extract(transcript,
+  {q(X.FIRST_AGENT_RE)}, 1), {q(X.INTRO_RE)}, 1), '') AS intro_name FROM calls""")
+
+_VER = {
+    "unit_configuration": "coalesce(s.unit_configuration = r.unit_configuration, false)",
+    "budget_range": "(s.budget_min IS NOT DISTINCT FROM r.budget_min AND s.budget_max IS NOT DISTINCT FROM r.budget_max)",
+    "timeline": "coalesce(s.timeline = r.timeline, false)",
+    "preferred_locations": "coalesce(list_sort(list_transform(s.preferred_locations, lambda x: lower(x))) = "
+                           "list_sort(list_transform(r.locs_list, lambda x: lower(x))), false)",
+    "site_visit_outcome": "coalesce(s.site_visit_outcome = r.site_visit_outcome, false)",
+    "last_stage_reached": "coalesce(s.last_stage_reached = r.last_stage_reached, false)",
+    "recommended_next_action": "coalesce(s.recommended_next_action = r.recommended_next_action, false)",
+}
+oracle("verifier_disagreements", with_ctes(["calls", "replies"], validated_cte("replies") + [STORED] + RULES_CTES) +
+       " UNION ALL ".join(f"SELECT '{f}' AS field, CAST(count(*) FILTER (WHERE NOT {m}) AS BIGINT) AS disagreements, "
+                          f"CAST(count(*) AS BIGINT) AS total FROM stored s JOIN r3 r ON r.call_id = s.call_id"
+                          for f, m in _VER.items()))
+
+oracle("bulk_reassign", with_stored() + """SELECT call_id,
+  CASE WHEN lead_id IN (SELECT 'LEAD_' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment = 'AUTOMOBILE')
+       THEN 'TC_900' ELSE telecaller_id END AS telecaller_id,
+  CASE WHEN lead_id IN (SELECT 'LEAD_' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment = 'AUTOMOBILE')
+       THEN 'Reassigned' ELSE telecaller_name END AS telecaller_name FROM stored""")

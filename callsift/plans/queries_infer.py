@@ -101,3 +101,55 @@ def q_rules_text(spark, sf_dir):
     return _rules(spark, sf_dir).select("call_id", r["quality_scores"]["discovery"]["reason"].alias("discovery_reason"),
                                         r["quality_scores"]["pitch"]["reason"].alias("pitch_reason"),
                                         r["summary"].alias("summary"))
+
+
+# ----------------------------------------------------------------- wished-for items
+@register("list_date_range")
+def q_list_date_range(spark, sf_dir):
+    from ..operators.extras import date_score_filter
+    from .queries import stored_calls
+    st = stored_calls(spark, sf_dir).withColumn("call_date", F.to_date("ts"))
+    return st.filter(date_score_filter("2024-01-01 02:00:00", "2024-01-01 05:00:00", 1.0, 3.0)).select(
+        "call_id", "overall_score")
+
+
+@register("eval_visit_partial")
+def q_eval_visit_partial(spark, sf_dir):
+    from ..operators.extras import visit_partial_credit
+    from .queries_ops import _eval_pairs
+    return visit_partial_credit(_eval_pairs(spark, sf_dir).filter("parse_status = 'ok'"))
+
+
+@register("normalized_hash")
+def q_normalized_hash(spark, sf_dir):
+    from ..operators.extras import normalized_hash
+    d = FX.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", normalized_hash("text").alias("norm_hash"))
+
+
+@register("intro_name")
+def q_intro_name(spark, sf_dir):
+    from ..operators.extras import intro_name
+    return FX.calls(spark, sf_dir).select("call_id", intro_name("transcript").alias("intro_name"))
+
+
+@register("verifier_disagreements")
+def q_verifier_disagreements(spark, sf_dir):
+    from ..operators.extras import disagreements
+    from ..operators.rules import rules_analysis
+    from .queries import stored_calls
+    st = stored_calls(spark, sf_dir)
+    rules = rules_analysis(FX.calls(spark, sf_dir).select("call_id", "transcript"))
+    return disagreements(st, rules)
+
+
+@register("bulk_reassign")
+def q_bulk_reassign(spark, sf_dir):
+    """Calls whose lead is in the AUTOMOBILE segment move to one telecaller."""
+    from ..operators.store import reassign
+    from .queries import stored_calls
+    st = stored_calls(spark, sf_dir)
+    cust = FX.table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "AUTOMOBILE")
+    sel = st.join(cust.select(F.concat(F.lit("LEAD_"), F.col("c_custkey").cast("string")).alias("lead_id")), "lead_id",
+                  "left_semi")
+    return reassign(st, sel, "TC_900", "Reassigned").select("call_id", "telecaller_id", "telecaller_name")
