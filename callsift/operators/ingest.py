@@ -38,7 +38,8 @@ def upload_rows(payloads: DataFrame, ingest_ts: Column) -> tuple[DataFrame, Data
     call_id = UPLOAD_<UTC second>_<first 8 hash chars>: unique per content, so
     parallel uploads in one second do not overwrite each other (README, Q13).
     """
-    p = payloads.withColumn("transcript", pick_transcript())
+    missing = {f.name: F.lit(None).cast("string") for f in S.PAYLOAD.fields if f.name not in payloads.columns}
+    p = payloads.withColumns(missing).withColumn("transcript", pick_transcript())
     accepted = p.filter(F.col("transcript").isNotNull())
     rejected = p.filter(F.col("transcript").isNull())
     h = transcript_hash("transcript")

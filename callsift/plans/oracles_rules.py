@@ -186,3 +186,6 @@ oracle("bulk_reassign", with_stored() + """SELECT call_id,
        THEN 'TC_900' ELSE telecaller_id END AS telecaller_id,
   CASE WHEN lead_id IN (SELECT 'LEAD_' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment = 'AUTOMOBILE')
        THEN 'Reassigned' ELSE telecaller_name END AS telecaller_name FROM stored""")
+
+oracle("response_record", with_stored() + "SELECT call_id, false AS cached, unit_configuration, pitch_score, "
+       "last_stage_reached, recommended_next_action, next_action_reason, summary FROM stored")

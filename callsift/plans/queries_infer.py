@@ -153,3 +153,14 @@ def q_bulk_reassign(spark, sf_dir):
     sel = st.join(cust.select(F.concat(F.lit("LEAD_"), F.col("c_custkey").cast("string")).alias("lead_id")), "lead_id",
                   "left_semi")
     return reassign(st, sel, "TC_900", "Reassigned").select("call_id", "telecaller_id", "telecaller_name")
+
+
+@register("response_record")
+def q_response_record(spark, sf_dir):
+    """{call_id, cached, ...analysis} per stored call (S7), top-level analysis fields flattened."""
+    from ..operators.analysis import response_record
+    from .queries import stored_calls
+    r = response_record(stored_calls(spark, sf_dir).withColumn("cached", F.lit(False)))
+    return r.select("call_id", "cached", F.col("extraction.unit_configuration").alias("unit_configuration"),
+                    F.col("quality_scores.pitch.score").alias("pitch_score"), "last_stage_reached",
+                    "recommended_next_action", "next_action_reason", "summary")
