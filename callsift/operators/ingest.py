@@ -18,6 +18,12 @@ def read_jsonl(spark: SparkSession, path: str, schema=S.CALL_RECORD) -> DataFram
             .option("columnNameOfCorruptRecord", "_corrupt").json(path))
 
 
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled JSONL (S3): transcript, optional call_id, gold analysis (budget may be the
+    string "not_discussed", which the typed struct reads as NULL)."""
+    return read_jsonl(spark, path, S.LABEL_RECORD)
+
+
 def split_required(df: DataFrame, required: list[str] = S.CALL_REQUIRED) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantine): a row missing any required field, or unparsable, fails alone."""
     ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in required])

@@ -189,3 +189,8 @@ oracle("bulk_reassign", with_stored() + """SELECT call_id,
 
 oracle("response_record", with_stored() + "SELECT call_id, false AS cached, unit_configuration, pitch_score, "
        "last_stage_reached, recommended_next_action, next_action_reason, summary FROM stored")
+
+oracle("batch_run", with_ctes(["calls", "replies"], validated_cte("replies")) + """SELECT status, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN c.conv_id % 2 = 0 AND v.parse_status = 'ok' THEN 'skipped' WHEN v.parse_status = 'ok' THEN 'ok'
+              ELSE 'fail' END AS status
+  FROM calls c JOIN validated v ON v.conv_id = c.conv_id) GROUP BY status""")

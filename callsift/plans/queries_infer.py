@@ -164,3 +164,21 @@ def q_response_record(spark, sf_dir):
     return r.select("call_id", "cached", F.col("extraction.unit_configuration").alias("unit_configuration"),
                     F.col("quality_scores.pitch.score").alias("pitch_score"), "last_stage_reached",
                     "recommended_next_action", "next_action_reason", "summary")
+
+
+@register("batch_run")
+def q_batch_run(spark, sf_dir):
+    """Incremental batch run (U5): the even conversations are stored, then every call is sent;
+    returns the run's ok / fail / skipped counts."""
+    import uuid
+
+    from ..operators.batch import run_batch
+    from ..session import work_dir
+    root = work_dir(spark, f"batch-{uuid.uuid4().hex[:12]}")
+    c = FX.calls(spark, sf_dir).join(FX.replies(spark, sf_dir), "conv_id").withColumnRenamed("reply", "recorded_reply")
+    ts = F.to_timestamp(F.lit("2026-01-02 03:04:05"))
+    first, _ = run_batch(spark, c.filter(F.col("conv_id") % 2 == 0), None, root, infer.ReplayResponder(), ts,
+                         extra=["recorded_reply"])
+    _, summary = run_batch(spark, c, spark.read.parquet(first), root, infer.ReplayResponder(), ts,
+                           extra=["recorded_reply"])
+    return summary

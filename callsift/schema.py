@@ -71,6 +71,19 @@ CALL_RECORD = T.StructType([
 CALL_REQUIRED = ["call_id", "telecaller_id", "telecaller_name", "lead_id", "lead_name",
                  "duration_sec", "timestamp", "transcript"]
 
+# Labelled record (JSONL): transcript, optional call_id, gold analysis with every part optional
+_GOLD_SCORE = T.StructType([T.StructField("score", T.IntegerType())])
+LABEL_RECORD = T.StructType([
+    T.StructField("transcript", T.StringType()),
+    T.StructField("call_id", T.StringType()),
+    T.StructField("label", T.StructType([
+        T.StructField("extraction", EXTRACTION),
+        T.StructField("quality_scores", T.StructType([T.StructField(d, _GOLD_SCORE) for d in DIMENSIONS])),
+        T.StructField("last_stage_reached", T.StringType()),
+        T.StructField("recommended_next_action", T.StringType()),
+    ])),
+])
+
 # Upload payload (stream input)
 PAYLOAD = T.StructType([T.StructField(k, T.StringType()) for k in
                         PAYLOAD_KEYS + ["telecaller_name", "lead_name"]])
