@@ -114,3 +114,20 @@ def test_retry_rounds_stop_and_count(spark):
     assert waits == [1.5, 3.0]
     m = infer.attempt_log_metrics(spark, log).agg(F.count("latency_ms"), F.count_if("is_error")).collect()[0]
     assert tuple(m) == (5, 4)  # 3 unparsable replies of b2 + 1 transport failure of 03
+
+
+def test_store_snapshot_prunes_partitions_and_pushes_filters(spark):
+    import uuid
+
+    from callsift.operators.extras import date_score_filter
+    from callsift.session import work_dir
+    st = _store(spark).withColumn("call_date", F.to_date("ts"))
+    root = work_dir(spark, f"test-snap-{uuid.uuid4().hex[:8]}")
+    path = store.write_snapshot(st, root)
+    df = store.read_snapshot(spark, path)
+    q = df.filter(date_score_filter("2026-01-01 00:00:00", "2026-01-02 00:00:00", 1.0, None) & (F.col("lead_name") == "ln"))
+    plan = q.select("call_id", "overall_score")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(call_date" in plan
+    assert "PushedFilters: [IsNotNull(ts), IsNotNull(overall_score), IsNotNull(lead_name), GreaterThanOrEqual(ts" in plan
+    assert "transcript" not in plan.split("ReadSchema:")[1].split("\n")[0]
+    assert q.count() == 2
