@@ -151,13 +151,7 @@ def coerce_budget(v) -> Column:
     (JSON null, list, non-numeric text) -> not discussed; both <= 0 -> not
     discussed; reversed bounds are swapped.
     """
-    m = vget(v, "$.min_lakhs")
-    mx = vget(v, "$.max_lakhs")
-    lo = F.when(m.isNull(), F.lit(0.0)).otherwise(to_float(m))
-    hi = F.when(mx.isNull(), lo).otherwise(to_float(mx))
-    good = (is_obj(v) & lo.isNotNull() & hi.isNotNull() & ~F.isnan(lo) & ~F.isnan(hi)
-            & ~((lo <= 0) & (hi <= 0)))
-    return F.when(good, F.struct(F.least(lo, hi).alias("min_lakhs"), F.greatest(lo, hi).alias("max_lakhs")))
+    return _budget_from_parts(v, vget(v, "$.min_lakhs"), vget(v, "$.max_lakhs"))
 
 
 # --------------------------------------------------------------------------- V6

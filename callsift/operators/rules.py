@@ -54,7 +54,6 @@ GAZETTEER = ["Adyar", "Anna Nagar", "Chromepet", "ECR", "Guindy", "Kelambakkam",
              "Siruseri", "T Nagar", "Tambaram", "Thoraipakkam", "Velachery"]
 # ---------------------------------------------------------------------------
 PLACE_RE = r"\b(" + "|".join(g.lower() for g in GAZETTEER) + r")\b"
-TOPIC_RE = "|".join(p for _, p in TOPICS)
 
 
 def _rx(u: Column, pat: str) -> Column:

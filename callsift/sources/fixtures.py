@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.fmt import fmt_duration  # noqa: F401  (re-exported for callers)
 from ..functions.text import transcript_hash
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
