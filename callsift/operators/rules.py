@@ -114,6 +114,31 @@ def _next_of(turns: Column, t: Column, spk: str) -> Column:
     return _first(F.filter(turns, lambda y: (y["idx"] > t["idx"]) & (y["spk"] == spk)))
 
 
+def next_action(flags: Column, visit: Column, stage: Column) -> Column:
+    """The first matching action, from the lead's intents in the transcript (``flags``:
+    refuse, escalate, agreed_visit, send, defer) and the call's visit outcome and stage."""
+    return (F.when(flags["refuse"], F.lit("mark_cold"))
+            .when(flags["escalate"], F.lit("escalate_to_manager"))
+            .when((visit == "committed_with_date") | flags["agreed_visit"], F.lit("confirm_site_visit"))
+            .when(flags["send"], F.lit("send_brochure_whatsapp"))
+            .when(flags["defer"], F.lit("schedule_callback_3_days"))
+            .when(stage == "greeting", F.lit("mark_cold")).otherwise(F.lit("no_action")))
+
+
+def intent_flags(calls: DataFrame, transcript: str = "transcript") -> DataFrame:
+    """Add ``flags`` (the lead intents R8 reads) computed in-row from the transcript."""
+    d = calls.withColumn("_T", _turns(F.col(transcript)))
+    T = F.col("_T")
+    lead = F.filter(T, lambda t: t["spk"] == "Lead")
+    visit_asks = F.filter(T, lambda t: (t["spk"] == "Agent") & t["ask_visit"])
+    reply = _next_of(T, _last(visit_asks), "Lead")
+    flags = F.struct(F.exists(lead, lambda t: t["refuse"]).alias("refuse"),
+                     F.exists(lead, lambda t: t["escalate"]).alias("escalate"),
+                     ((F.size(visit_asks) > 0) & F.coalesce(reply["agree"], F.lit(False))).alias("agreed_visit"),
+                     F.exists(lead, lambda t: t["send"]).alias("send"), F.exists(lead, lambda t: t["defer"]).alias("defer"))
+    return d.withColumn("flags", flags).drop("_T")
+
+
 def rules_analysis(calls: DataFrame, transcript: str = "transcript") -> DataFrame:
     """Add ``rules`` (schema.ANALYSIS shape) computed from the transcript text."""
     d = calls.withColumn("_T", _turns(F.col(transcript)))
@@ -227,13 +252,10 @@ def rules_analysis(calls: DataFrame, transcript: str = "transcript") -> DataFram
     stages = F.array(*[F.lit(s) for s in S.LAST_STAGES])
     stage = F.when(walked["cur"] > 0, F.element_at(stages, walked["cur"])).otherwise(F.lit(S.DEFAULT_STAGE))
     # R8 action
-    agreed_visit = F.col("_visit_asked") & F.coalesce(F.col("_visit_reply")["agree"], F.lit(False))
-    action = (F.when(any_refuse, F.lit("mark_cold"))
-              .when(F.exists(L, lambda t: t["escalate"]), F.lit("escalate_to_manager"))
-              .when((F.col("_visit") == "committed_with_date") | agreed_visit, F.lit("confirm_site_visit"))
-              .when(F.exists(L, lambda t: t["send"]), F.lit("send_brochure_whatsapp"))
-              .when(F.exists(L, lambda t: t["defer"]), F.lit("schedule_callback_3_days"))
-              .when(stage == "greeting", F.lit("mark_cold")).otherwise(F.lit("no_action")))
+    flags = F.struct(any_refuse.alias("refuse"), F.exists(L, lambda t: t["escalate"]).alias("escalate"),
+                     (F.col("_visit_asked") & F.coalesce(F.col("_visit_reply")["agree"], F.lit(False))).alias("agreed_visit"),
+                     F.exists(L, lambda t: t["send"]).alias("send"), F.exists(L, lambda t: t["defer"]).alias("defer"))
+    action = next_action(flags, F.col("_visit"), stage)
     d = d.withColumns({"_stage": stage, "_action": action})
     # R9 texts
     from ..functions.fmt import budget_label

@@ -84,7 +84,7 @@ def _valid_edit() -> Column:
     return ok
 
 
-def apply_edits(store: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_edits(store: DataFrame, edits: DataFrame, keep_edit_columns: bool = False) -> tuple[DataFrame, DataFrame]:
     """(updated store, quarantine) after applying the latest valid edit per field (M2 M3).
 
     Edits are pivoted to one row per call (a fixed set of columns, one per
@@ -109,10 +109,17 @@ def apply_edits(store: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFram
     out = j.withColumn("analysis", a)
     out = out.withColumns({"score_quarters": score_quarters("analysis"), "overall_score": overall_score("analysis"),
                            "edited": F.coalesce(F.col("_edited"), F.lit(False))})
-    out = out.drop("_edited", *[_col(p) for p in EDITABLE])
+    out = out.drop("_edited")
+    if not keep_edit_columns:
+        out = out.drop(*[_col(p) for p in EDITABLE])
     return out, unknown.unionByName(bad)
 
 
+def edit_column(path: str) -> str:
+    """Name of the column holding the applied new value of ``path`` (keep_edit_columns=True)."""
+    return _col(path)
+
+
 def _col(path: str) -> str:
     return "_e_" + path.replace(".", "__")
 

@@ -194,3 +194,14 @@ oracle("batch_run", with_ctes(["calls", "replies"], validated_cte("replies")) +
   SELECT CASE WHEN c.conv_id % 2 = 0 AND v.parse_status = 'ok' THEN 'skipped' WHEN v.parse_status = 'ok' THEN 'ok'
               ELSE 'fail' END AS status
   FROM calls c JOIN validated v ON v.conv_id = c.conv_id) GROUP BY status""")
+
+from .oracles_ops import _EDITS  # noqa: E402
+_r8 = ("CASE WHEN r.any_refuse THEN 'mark_cold' WHEN r.any_escalate THEN 'escalate_to_manager' "
+       "WHEN coalesce(e.\"extraction.site_visit_outcome\", s.site_visit_outcome) = 'committed_with_date' "
+       "OR (r.visit_idx IS NOT NULL AND coalesce(r.vr_agree, false)) THEN 'confirm_site_visit' "
+       "WHEN r.any_send THEN 'send_brochure_whatsapp' WHEN r.any_defer THEN 'schedule_callback_3_days' "
+       "WHEN coalesce(e.\"last_stage_reached\", s.last_stage_reached) = 'greeting' THEN 'mark_cold' ELSE 'no_action' END")
+oracle("edit_next_action", with_ctes(["calls", "replies"], validated_cte("replies") + [STORED] + _EDITS + RULES_CTES) +
+       f"""SELECT s.call_id, CASE WHEN e.call_id IS NULL THEN s.recommended_next_action
+  WHEN e."recommended_next_action" IS NOT NULL THEN e."recommended_next_action" ELSE {_r8} END AS recommended_next_action
+FROM stored s LEFT JOIN pv e ON e.call_id = s.call_id JOIN r1 r ON r.call_id = s.call_id""")

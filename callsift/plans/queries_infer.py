@@ -182,3 +182,21 @@ def q_batch_run(spark, sf_dir):
     _, summary = run_batch(spark, c, spark.read.parquet(first), root, infer.ReplayResponder(), ts,
                            extra=["recorded_reply"])
     return summary
+
+
+@register("edit_next_action")
+def q_edit_next_action(spark, sf_dir):
+    """After edits, the next action follows the edited visit outcome and stage (N4): R8 over the
+    edited record with the transcript's lead intents, unless the action itself was edited."""
+    from ..operators import store as ST
+    from ..operators.rules import intent_flags, next_action
+    from .queries import stored_calls
+    from .queries_ops import _edits
+    out, _ = ST.apply_edits(stored_calls(spark, sf_dir), _edits(spark, sf_dir), keep_edit_columns=True)
+    out = intent_flags(out)
+    a = F.col("analysis")
+    recomputed = next_action(F.col("flags"), a["extraction"]["site_visit_outcome"], a["last_stage_reached"])
+    action = (F.when(~F.col("edited"), a["recommended_next_action"])
+              .when(F.col(ST.edit_column("recommended_next_action")).isNotNull(), a["recommended_next_action"])
+              .otherwise(recomputed))
+    return out.select("call_id", action.alias("recommended_next_action"))
