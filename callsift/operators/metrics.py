@@ -58,23 +58,28 @@ def telemetry(attempts: DataFrame, stored_count: DataFrame, provider: str = "rep
     attempts: latency_ms (NULL when no reply came back), is_error.
     stored_count: a 1-row DataFrame with column ``n`` (the store's row count).
     """
-    agg = attempts.agg(F.count("latency_ms").alias("llm_calls"),
-                       F.count_if(F.col("is_error")).alias("errors"),
-                       F.sum("latency_ms").alias("_total"))
-    pct = rank_rule_percentiles(attempts, "latency_ms", [0.5, 0.95])
-    p = pct.groupBy().agg(F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("_p50"),
-                          F.max(F.when(F.col("q") == 0.95, F.col("value"))).alias("_p95"))
-    # all three inputs are single-row aggregates: joined on a constant key
-    k = F.lit(1).alias("_k")
-    j = (agg.select("*", k).join(p.select("*", k), "_k", "left").join(stored_count.select("n", k), "_k", "left"))
-    return j.select(
-        "llm_calls", "errors",
-        F.bround(F.coalesce(F.col("_p50"), F.lit(0.0)), 0).alias("p50_ms"),
-        F.bround(F.coalesce(F.col("_p95"), F.lit(0.0)), 0).alias("p95_ms"),
-        F.when(F.col("llm_calls") > 0, F.bround(F.col("_total") / F.col("llm_calls"), 0)).otherwise(F.lit(0.0)).alias("avg_ms"),
-        F.col("n").alias("total_calls_in_db"),
+    agg = attempts.agg(F.count("latency_ms").cast("double").alias("llm_calls"),
+                       F.count_if(F.col("is_error")).cast("double").alias("errors"),
+                       F.sum("latency_ms").alias("total"))
+    parts = [
+        agg.select(F.expr("stack(3, 'llm_calls', llm_calls, 'errors', errors, 'total', total) as (metric, value)")),
+        rank_rule_percentiles(attempts, "latency_ms", [0.5, 0.95]).select(
+            F.when(F.col("q") == 0.5, F.lit("p50")).otherwise(F.lit("p95")).alias("metric"), "value"),
+        stored_count.select(F.lit("n").alias("metric"), F.col("n").cast("double").alias("value")),
+    ]
+    # every part is a handful of single-value rows: union them and pivot with one aggregate
+    long = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    m = {k: F.max(F.when(F.col("metric") == k, F.col("value"))) for k in ("llm_calls", "errors", "total", "p50", "p95", "n")}
+    w = long.agg(*[c.alias(k) for k, c in m.items()])
+    calls = F.col("llm_calls").cast("long")
+    return w.select(
+        calls.alias("llm_calls"), F.col("errors").cast("long").alias("errors"),
+        F.bround(F.coalesce(F.col("p50"), F.lit(0.0)), 0).alias("p50_ms"),
+        F.bround(F.coalesce(F.col("p95"), F.lit(0.0)), 0).alias("p95_ms"),
+        F.when(calls > 0, F.bround(F.col("total") / calls, 0)).otherwise(F.lit(0.0)).alias("avg_ms"),
+        F.col("n").cast("long").alias("total_calls_in_db"),
         F.lit(provider).alias("provider"), F.lit(model).alias("model"),
-        (F.col("llm_calls") * F.lit(price_per_call)).cast("double").alias("estimated_cost_usd"))
+        (calls * F.lit(price_per_call)).cast("double").alias("estimated_cost_usd"))
 
 
 # ------------------------------------------------------------------ V12 A5 A6 A7
