@@ -41,7 +41,8 @@ def duration_from_transcript(c) -> Column:
     t = col_(c)
     mins = F.try_element_at(F.regexp_extract_all(t, F.lit(STAMP_RE), 3), F.lit(-1))
     secs = F.try_element_at(F.regexp_extract_all(t, F.lit(STAMP_RE), 4), F.lit(-1))
-    d = mins.try_cast("bigint") * 60 + secs.try_cast("bigint")
+    # try_ arithmetic: an absurd stamp gives NULL (then 0) instead of failing the query under ANSI
+    d = F.try_add(F.try_multiply(mins.try_cast("bigint"), F.lit(60).cast("bigint")), secs.try_cast("bigint"))
     return F.coalesce(d, F.lit(0).cast("bigint"))
 
 
@@ -59,8 +60,8 @@ def explode_turns(df: DataFrame, key: str = "call_id", text: str = "transcript")
         key, F.col("turn_no").cast("int").alias("turn_no"), "line",
         parsed.alias("parsed"),
         F.when(parsed, m(1)).alias("stamp"),
-        F.when(parsed, m(2).try_cast("int") * 60 + m(3).try_cast("int")).alias("start_sec"),
-        F.when(parsed, m(4).try_cast("int") * 60 + m(5).try_cast("int")).alias("end_sec"),
+        F.when(parsed, F.try_add(F.try_multiply(m(2).try_cast("int"), F.lit(60)), m(3).try_cast("int"))).alias("start_sec"),
+        F.when(parsed, F.try_add(F.try_multiply(m(4).try_cast("int"), F.lit(60)), m(5).try_cast("int"))).alias("end_sec"),
         F.when(parsed, m(6)).alias("speaker"),
         F.when(parsed, m(7)).alias("utterance"),
     )

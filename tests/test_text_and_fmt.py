@@ -44,3 +44,11 @@ def test_formatting(spark):
     assert [r["bud"] for r in rows] == ["42 L", "55–70.5 L", "Not discussed"]
     assert [r["loc"] for r in rows] == ["OMR, Velachery", "None", "None"]
     assert [r["band"] for r in rows] == [1, 3, 0]
+
+
+def test_absurd_stamps_do_not_fail(spark):
+    t = "[99999999999999999999:00-99999999999999999:59] Agent: hi\n[00:00-00:04] Lead: ok"
+    df = spark.createDataFrame([("c", t)], "call_id string, transcript string")
+    assert df.select(text.duration_from_transcript("transcript")).collect()[0][0] == 4
+    rows = text.explode_turns(df).orderBy("turn_no").collect()
+    assert rows[0]["start_sec"] is None and rows[1]["end_sec"] == 4
