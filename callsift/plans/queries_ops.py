@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
@@ -256,8 +257,9 @@ def q_first_n(spark, sf_dir):
 # ----------------------------------------------------------------- store
 def _store_and_batch(spark, sf_dir):
     calls = FX.calls(spark, sf_dir)
-    v = validated(spark, sf_dir).filter("parse_status = 'ok'").select("conv_id", "analysis", "score_quarters",
-                                                                      "overall_score")
+    # both sides read the validated replies: kept once rather than validated twice
+    v = validated(spark, sf_dir).filter("parse_status = 'ok'").select(
+        "conv_id", "analysis", "score_quarters", "overall_score").persist(StorageLevel.MEMORY_AND_DISK)
     old = (calls.filter(F.col("conv_id") % 2 == 0).join(v, "conv_id")
            .withColumns({"transcript_hash": transcript_hash("transcript"), "created_at": F.col("ts")}))
     nxt = v.withColumn("conv_id", F.col("conv_id") - 1)
