@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
-from ..session import work_dir
+from ..session import ship_package, work_dir
 from .analysis import analyze
 
 ResponderFactory = Callable[[], Callable[[pd.DataFrame], list]]
@@ -58,6 +58,7 @@ def run_responder(df: DataFrame, factory: ResponderFactory, attempt: int, partit
     row is one model call whatever its size, so equal row counts balance the
     tasks.  ``min_interval_sec`` paces the calls inside each task (U4).
     """
+    ship_package(df.sparkSession)
     src = df.withColumn("_attempt", F.lit(attempt))
     if partitions:
         src = src.repartition(partitions)

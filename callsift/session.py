@@ -52,3 +52,40 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``callsift`` importable in Python workers (mapInPandas) via ``addPyFile``.
+
+    The package is zipped once per SparkContext next to the checkpoint folder
+    when that is a local path (tests), else in a driver-side folder; Spark's
+    file server then hands the zip to every executor, as ``--py-files`` would.
+    """
+    import io
+    import uuid
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    local = base[len("file:"):] if base.startswith("file:") else base
+    if "://" in local or not os.path.isdir(local):
+        local = tempfile.mkdtemp(prefix="callsift-pyfiles-")
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(pkg):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("callsift", os.path.relpath(full, pkg)))
+    path = os.path.join(local, f"callsift-{uuid.uuid4().hex[:8]}.zip")
+    with open(path, "wb") as fh:
+        fh.write(buf.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(id(sc))
