@@ -14,40 +14,44 @@ from .. import schema as S
 # ------------------------------------------------------------------ A3 percentiles
 
 
-def rank_rule_percentiles(df: DataFrame, value: str, qs: list[float], bucket_width: float = 1.0) -> DataFrame:
+def rank_rule_percentiles(df: DataFrame, value: str, qs: list[float],
+                          widths: tuple[float, ...] = (1024.0, 1.0)) -> DataFrame:
     """(q, value_at_q) with the reference rule: sorted[min(int(q*n), n-1)] (Q7).
 
-    Exact, and no task ever sees more than one coarse bucket's distinct values:
-      1. n and the wanted 0-based positions, one row per q;
-      2. counts per coarse bucket (floor(value / width)); the running count
-         over buckets is a window over at most (value range / width) rows;
-      3. the bucket holding each position is found with a range join against
-         the broadcast 1-row-per-q table;
-      4. inside those buckets only, counts per distinct value and a running
-         count per q give the exact value.
-    Pre-aggregation in steps 2 and 4 keeps the shuffle to one row per bucket /
-    value per task, whatever the skew.
+    Exact, by coarse-to-fine selection; no step holds an unbounded set in one task:
+      1. n and the wanted 0-based position per q (one row per q);
+      2. counts per coarse bucket floor(value / widths[0]); the running count over
+         them is a window over at most (value range / widths[0]) rows, and a range
+         join with the broadcast 1-row-per-q table picks each q's bucket;
+      3. for each finer width, counts per finer bucket only inside each q's chosen
+         bucket (at most widths[i-1] / widths[i] rows per q), window partitioned by q;
+      4. last, counts per distinct value inside each q's 1-ms bucket.
+    Every count is a grouped aggregate that combines map-side, whatever the skew.
     """
     v = df.select(F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    v = v.withColumn("_b", F.floor(F.col("_v") / F.lit(bucket_width)))
     n = v.agg(F.count(F.lit(1)).alias("_n"))
-    targets = n.select(F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(q).alias("_q")) for q in qs])).alias("t"),
-                       "_n").select("t.q", F.least(F.floor(F.col("t._q") * F.col("_n")), F.col("_n") - 1)
-                                    .cast("long").alias("_idx"))
-    hist = v.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.select("_b", (F.sum("_c").over(w) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_upto"))
+    targets = n.select(F.explode(F.array(*[F.lit(q) for q in qs])).alias("q"), "_n").select(
+        "q", F.least(F.floor(F.col("q") * F.col("_n")), F.col("_n") - 1).cast("long").alias("_idx"))
+    w0 = widths[0]
+    hist = v.groupBy(F.floor(F.col("_v") / F.lit(w0)).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.select("_k", (F.sum("_c").over(w) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_upto"))
     t = F.broadcast(targets)
     hit = cum.join(t, (t["_idx"] >= cum["_before"]) & (t["_idx"] < cum["_upto"])).select(
-        "q", "_b", (F.col("_idx") - F.col("_before")).alias("_local"))
-    inside = v.join(F.broadcast(hit.select("_b").distinct()), "_b", "left_semi")
-    vals = inside.groupBy("_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    per_q = vals.join(F.broadcast(hit), "_b")
-    wq = Window.partitionBy("q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = per_q.select("q", "_v", "_local", (F.sum("_c").over(wq) - F.col("_c")).alias("_before"),
-                          F.sum("_c").over(wq).alias("_upto"))
-    return ranked.filter((F.col("_local") >= F.col("_before")) & (F.col("_local") < F.col("_upto"))).select(
-        "q", F.col("_v").alias("value"))
+        "q", "_k", (F.col("_idx") - F.col("_before")).alias("_local"))
+    prev = w0
+    for width in list(widths[1:]) + [None]:
+        inside = (v.withColumn("_bp", F.floor(F.col("_v") / F.lit(prev)))
+                  .join(F.broadcast(hit.withColumnRenamed("_k", "_bp")), "_bp"))
+        key = F.floor(F.col("_v") / F.lit(width)) if width else F.col("_v")
+        h = inside.groupBy("q", "_local", key.alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+        wq = Window.partitionBy("q").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+        c = h.select("q", "_k", "_local", (F.sum("_c").over(wq) - F.col("_c")).alias("_before"),
+                     F.sum("_c").over(wq).alias("_upto"))
+        hit = c.filter((F.col("_local") >= F.col("_before")) & (F.col("_local") < F.col("_upto"))).select(
+            "q", "_k", (F.col("_local") - F.col("_before")).alias("_local"))
+        prev = width
+    return hit.select("q", F.col("_k").alias("value"))
 
 
 # ------------------------------------------------------------------ A2 A4 telemetry

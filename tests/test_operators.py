@@ -39,7 +39,7 @@ def test_percentile_rule(spark):
     vals = [round(rnd.expovariate(1 / 50), 2) for _ in range(3001)] + [7.0] * 500
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     qs = [0.0, 0.5, 0.95, 0.999, 1.0]
-    got = {r["q"]: r["value"] for r in metrics.rank_rule_percentiles(df, "v", qs, bucket_width=5.0).collect()}
+    got = {r["q"]: r["value"] for r in metrics.rank_rule_percentiles(df, "v", qs, widths=(64.0, 5.0)).collect()}
     s = sorted(vals)
     for q in qs:
         assert got[q] == s[min(int(q * len(s)), len(s) - 1)]
