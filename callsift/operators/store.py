@@ -93,8 +93,11 @@ def apply_edits(store: DataFrame, edits: DataFrame, keep_edit_columns: bool = Fa
     unknown paths and values that do not coerce go to the quarantine.
     """
     last = latest_edits(edits)
-    known = last.join(store.select("call_id"), "call_id", "left_semi")
-    unknown = last.join(store.select("call_id"), "call_id", "left_anti").withColumn("reason", F.lit("call not found"))
+    # one membership join splits known from unknown calls (the store's keys only)
+    member = last.join(store.select("call_id").withColumn("_known", F.lit(True)), "call_id", "left")
+    known = member.filter(F.col("_known").isNotNull()).drop("_known")
+    unknown = (member.filter(F.col("_known").isNull()).drop("_known")
+               .withColumn("reason", F.lit("call not found")))
     flagged = known.withColumn("_ok", _valid_edit())
     bad = flagged.filter(~F.col("_ok")).drop("_ok").withColumn("reason", F.lit("invalid field or value"))
     good = flagged.filter("_ok").drop("_ok")
