@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,15 +48,18 @@ REACH = 2
 HEAD = ORDER - 1
 #: Bytes of a word's symbols: 256 less the six white-space bytes, and the end of a word.
 ALPHABET = 251
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 40 << 20
+#: Tokens whose heads are numbered at a time, to bound the memory of a block.
+STEP = 1 << 20
 SHARDS = 512
 #: Rows (16 bytes each) up to which the table of code lengths is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 4_000_000
 
-_INDEX = ("kind int, block long, doc_id long, held boolean, ids binary, word binary, wid int, c long")
-_INDEX_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()),
-                          ("ids", pa.binary()), ("word", pa.binary()), ("wid", pa.int32()), ("c", pa.int64())])
-DOCS, WORDS, HEADS = 0, 1, 2
+_INDEX = "kind int, block long, doc_id long, held boolean, ids binary, ends binary, fronts binary, unit binary, at int, c long"
+_INDEX_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("ids", pa.binary()),
+                          ("ends", pa.binary()), ("fronts", pa.binary()), ("unit", pa.binary()), ("at", pa.int32()), ("c", pa.int64())])
+#: Rows of the index: a document, a block (how each of its words ends and begins), a unit of a block.
+DOCS, BLOCKS, UNITS = 0, 1, 2
 
 
 def word_split(text: bytes) -> list[bytes]:
@@ -63,17 +67,18 @@ def word_split(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def heads_of(words: list[bytes], flat: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The distinct heads and the number of each token's head."""
-    end, front = defaultdict(itertools.count().__next__), defaultdict(itertools.count().__next__)
-    of_end = np.fromiter((end[(b"  " + w)[-REACH:]] for w in words), np.int64, len(words))
-    of_front = np.fromiter((front[(w + b" ")[:HEAD]] for w in words), np.int64, len(words))
-    before = np.empty(len(flat), np.int64)
-    before[1:] = of_end[flat[:-1]]
-    before[starts] = of_end[0]
-    pairs, at = np.unique(before * len(front) + of_front[flat], return_inverse=True)
-    ends, fronts, pad = list(end), list(front), b" " * (ORDER - REACH - 1)
-    return [pad + ends[p // len(fronts)] + b" " + fronts[p % len(fronts)] for p in pairs.tolist()], at.astype(np.int32)
+def head_pairs(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, fronts: np.ndarray) -> Iterator[np.ndarray]:
+    """For each token, a number for the end of the word before and the front of its own; a part of the tokens at a time."""
+    first = np.zeros(len(flat), bool)
+    first[starts] = True
+    width = int(fronts.max()) + 1
+    for i in range(0, len(flat), STEP):
+        part = flat[i:i + STEP]
+        before = np.empty(len(part), np.int64)
+        before[1:] = ends[part[:-1]]
+        before[0] = ends[flat[i - 1]] if i else 0
+        before[first[i:i + STEP]] = ends[0]  # a document starts as after an end
+        yield before * width + fronts[part]
 
 
 class _Block:
@@ -95,22 +100,31 @@ class _Block:
         self.size += len(text)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        n = len(self.docs)
-        words = list(self.number)
-        ids = [d[2] for d in self.docs]
-        size = np.fromiter(map(len, ids), np.int64, n)
+        words, ids = list(self.number), [d[2] for d in self.docs]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat, starts = np.concatenate(ids), np.cumsum(size) - size
-        heads, at = heads_of(words, flat, starts)
         learnt = np.repeat(np.array([not d[1] for d in self.docs]), size)
-        empty = lambda k: [None] * k
-        yield from batches(_INDEX_ARROW, {"kind": [DOCS] * n, "block": [self.name] * n, "doc_id": [d[0] for d in self.docs],
-                                          "held": [d[1] for d in self.docs], "ids": [planes(x) for x in ids],
-                                          "word": empty(n), "wid": empty(n), "c": empty(n)}, 1000)
-        for kind, units, number in ((WORDS, words, flat), (HEADS, heads, at)):
-            k, seen = len(units), np.bincount(number[learnt], minlength=len(units))
-            yield from batches(_INDEX_ARROW, {"kind": [kind] * k, "block": [self.name] * k, "doc_id": empty(k), "held": empty(k),
-                                              "ids": empty(k), "word": units,
-                                              "wid": np.arange(k, dtype=np.int32), "c": seen})
+        end, front = defaultdict(itertools.count().__next__), defaultdict(itertools.count().__next__)
+        ends = np.fromiter((end[(b"  " + w)[-REACH:]] for w in words), np.int64, len(words))
+        fronts = np.fromiter((front[(w + b" ")[:HEAD]] for w in words), np.int64, len(words))
+        pairs = np.unique(np.concatenate([np.unique(p) for p in head_pairs(flat, starts, ends, fronts)]))
+        seen = np.zeros(len(pairs), np.int64)
+        for i, p in enumerate(head_pairs(flat, starts, ends, fronts)):
+            seen += np.bincount(np.searchsorted(pairs, p)[learnt[i * STEP:(i + 1) * STEP]], minlength=len(pairs))
+        name = {"kind": DOCS, "block": self.name}
+        yield from self.batch(name | {"doc_id": [d[0] for d in self.docs], "held": [d[1] for d in self.docs],
+                                      "ids": [planes(x) for x in ids]}, len(ids))
+        yield from self.batch(name | {"kind": BLOCKS, "ends": [planes(ends)], "fronts": [planes(fronts)]}, 1)
+        yield from self.batch(name | {"kind": UNITS, "unit": words, "at": np.arange(len(words), dtype=np.int32),
+                                      "c": np.bincount(flat[learnt], minlength=len(words))}, len(words))
+        ends_, fronts_, pad, width = list(end), list(front), b" " * (ORDER - REACH - 1), int(fronts.max()) + 1
+        heads = [pad + ends_[p // width] + b" " + fronts_[p % width] for p in pairs.tolist()]
+        yield from self.batch(name | {"kind": UNITS, "unit": heads, "at": np.arange(len(heads), dtype=np.int32) + len(words), "c": seen}, len(heads))
+
+    @staticmethod
+    def batch(columns: dict, n: int) -> Iterator[pa.RecordBatch]:
+        full = lambda x: [x] * n if x is None or isinstance(x, int) else x
+        yield from batches(_INDEX_ARROW, {f.name: full(columns.get(f.name)) for f in _INDEX_ARROW}, 10_000)
 
 
 def _index(it):
@@ -139,25 +153,25 @@ def grams(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g[where], size
 
 
-def _units(kind: list[int], word: list[bytes]) -> list[bytes]:
-    """Heads are units as they stand; of a word, the symbols after its head are left."""
-    return [w if k == HEADS else b" " + w + b" " for k, w in zip(kind, word)]
+def _units(units: list[bytes]) -> list[bytes]:
+    """Heads, which begin with a space, are units as they stand; of a word, the symbols after its head are left."""
+    return [u if u[:1] == b" " else b" " + u + b" " for u in units]
 
 
 _GRAM = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
-_WORD_GRAM = pa.schema([("kind", pa.int32()), ("word", pa.binary()), ("c", pa.int64()), ("gram", pa.int64())])
+_UNIT_GRAM = pa.schema([("unit", pa.binary()), ("c", pa.int64()), ("gram", pa.int64())])
 
 
 def _count_grams(it):
     for b in it:
-        g, size = grams(_units(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        g, size = grams(_units(b.column(0).to_pylist()))
         u, at = np.unique(g, return_inverse=True)
-        yield from batches(_GRAM, {"gram": u, "n": np.bincount(at, np.repeat(b.column(2).to_numpy(), size)).astype(np.int64)})
+        yield from batches(_GRAM, {"gram": u, "n": np.bincount(at, np.repeat(b.column(1).to_numpy(), size)).astype(np.int64)})
 
 
-def _word_grams(it):
+def _unit_grams(it):
     for b in it:
-        g, size = grams(_units(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        g, size = grams(_units(b.column(0).to_pylist()))
         one = np.maximum(size, 1)  # a word without symbols after its head has one row without a gram
         first = np.cumsum(one) - one
         at = pa.array(np.repeat(np.arange(b.num_rows), one))
@@ -165,7 +179,7 @@ def _word_grams(it):
         none = np.zeros(len(at), bool)
         none[first[size == 0]] = True
         code[~none] = g
-        yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array(code, mask=none)], schema=_WORD_GRAM)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(code, mask=none)], schema=_UNIT_GRAM)
 
 
 class _Level:
@@ -214,18 +228,26 @@ def code_lengths(gram: np.ndarray, n: np.ndarray, low: np.ndarray, low_n: np.nda
     return out
 
 
-def _sum_words(docs: pd.DataFrame, known: pd.DataFrame, n: int, v: int) -> pd.DataFrame:
-    known = known.sort_values(["kind", "wid"])
-    words, head_lp = known[known["kind"] == WORDS], known["lp"].to_numpy()[known["kind"] == HEADS]
-    lp, c = words["lp"].to_numpy(), words["c"].to_numpy()
-    ids = [unplanes(x).astype(np.int32) for x in docs["ids"]]
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                     ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _sum_units(docs: pa.Table, known: pa.Table, n: int, v: int) -> pa.Table:
+    order = np.argsort(known["at"].to_numpy())
+    lp, c = known["lp"].to_numpy()[order].astype(np.float64), known["c"].to_numpy()[order]
+    block, docs = docs.filter(pc.equal(docs["kind"], BLOCKS)), docs.filter(pc.equal(docs["kind"], DOCS))
+    ends, fronts = (unplanes(block[x][0].as_py()).astype(np.int64) for x in ("ends", "fronts"))
+    ids = [unplanes(x).astype(np.int32) for x in docs["ids"].to_pylist()]
     size = np.fromiter(map(len, ids), np.int64, len(ids))
     flat, starts = np.concatenate(ids), np.cumsum(size) - size
-    _, head = heads_of(words["word"].tolist(), flat, starts)
-    return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": docs["held"], "n_tokens": size,
-                         "n_known": group_sums((c > 0).astype(np.int64)[flat], starts),
-                         "base_score": group_sums(np.log10((c + 1) / (n + v + 1))[flat], starts),
-                         "score": group_sums(lp[flat] + head_lp[head], starts)})
+    del ids
+    pairs = np.unique(np.concatenate([np.unique(p) for p in head_pairs(flat, starts, ends, fronts)]))
+    symbols = lp[flat]
+    for i, p in enumerate(head_pairs(flat, starts, ends, fronts)):
+        symbols[i * STEP:(i + 1) * STEP] += lp[len(ends) + np.searchsorted(pairs, p)]
+    known_, base = (c > 0).astype(np.int64), np.log10((c + 1) / (n + v + 1))
+    return pa.table([docs["doc_id"], docs["held"], pa.array(size), pa.array(group_sums(known_[flat], starts)),
+                     pa.array(group_sums(base[flat], starts)), pa.array(group_sums(symbols, starts))], schema=_SCORED)
 
 
 def ppm_scores(docs: DataFrame, mod: int = 7) -> DataFrame:
@@ -234,9 +256,10 @@ def ppm_scores(docs: DataFrame, mod: int = 7) -> DataFrame:
     prepare(spark)
     rows = docs.select("doc_id", held_out(F.col("doc_id"), mod).alias("held"), "text")
     index = written(rows.mapInArrow(_index, _INDEX), "ppm-index", "kind")
-    vocab = index.where(F.col("kind") != DOCS).select("block", "kind", "wid", "word", "c")
-    units = written(vocab.groupBy("kind", "word").agg(F.sum("c").alias("c")), "ppm-units")
-    n, v = units.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    vocab = index.where(F.col("kind") == UNITS).select("block", "at", "unit", "c")
+    units = written(vocab.groupBy("unit").agg(F.sum("c").alias("c")), "ppm-units")
+    is_word = ~F.substring("unit", 1, 1).eqNullSafe(F.lit(b" "))
+    n, v = units.where(is_word).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     counts = units.mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "ppm-grams")
     pair = F.col("gram").bitwiseAND(0xFFFF)
@@ -249,16 +272,14 @@ def ppm_scores(docs: DataFrame, mod: int = 7) -> DataFrame:
     shard = F.pmod(F.hash(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(SHARDS))
     codes = written(counts.groupBy(shard).applyInPandas(code, "gram long, lp double"), "ppm-codes")
     side = F.broadcast(codes) if codes.count() <= BROADCAST_ROWS else codes
-    scored = (units.mapInArrow(_word_grams, "kind int, word binary, c long, gram long").join(side, "gram", "left")
-              .groupBy("kind", "word").agg(F.first("c").alias("c"), F.coalesce(F.sum("lp"), F.lit(0.0)).alias("lp")))
-    spelt = F.when(F.col("kind") == WORDS, F.col("word")).alias("word")  # the documents need their words once more, to tell their heads
-    known = (vocab.select("block", "wid", "kind", "word").join(scored, ["kind", "word"])
-             .select(F.col("block").alias("of"), "kind", "wid", spelt, "c", "lp"))
-    texts = index.where(F.col("kind") == DOCS).select("block", "doc_id", "held", "ids")
+    scored = (units.mapInArrow(_unit_grams, "unit binary, c long, gram long").join(side, "gram", "left")
+              .groupBy("unit").agg(F.first("c").alias("c"), F.coalesce(F.sum("lp"), F.lit(0.0)).cast("float").alias("lp")))
+    known = vocab.select("block", "at", "unit").join(scored, "unit").select(F.col("block").alias("of"), "at", "c", "lp")
+    texts = index.where(F.col("kind") != UNITS).select("kind", "block", "doc_id", "held", "ids", "ends", "fronts")
 
-    def total(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        return _sum_words(docs, known, n, v)
+    def total(docs: pa.Table, known: pa.Table) -> pa.Table:
+        return _sum_units(docs, known, n, v)
 
     out = (texts.groupBy("block").cogroup(known.groupBy("of"))
-           .applyInPandas(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
+           .applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
