@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import lm_score as op1
+from . import packing as op2
+from . import repair as op10
 from .common import read_table
 
 
@@ -12,8 +14,18 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.ppm_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2.packed(read_table(spark, sf_dir, "documents"))
+
+
+def op10_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.read_ids(op10.write_ids(read_table(spark, sf_dir, "documents")))
+
+
 REGISTRY = {
     "op1_lm_score": op1_lm_score,
+    "op2_best_two_fit": op2_best_two_fit,
+    "op10_repair_ids": op10_repair_ids,
 }
 
 ORACLES: dict[str, str] = {}
