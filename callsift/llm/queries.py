@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import langid as op7
 from . import lm_score as op1
 from . import packing as op2
+from . import quality as op5
 from . import repair as op10
+from . import token_counts as op6
 from .common import read_table
 
 
@@ -18,6 +21,18 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.packed(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.token_counts(read_table(spark, sf_dir, "documents"))
+
+
+def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.languages(read_table(spark, sf_dir, "documents"))
+
+
 def op10_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.read_ids(op10.write_ids(read_table(spark, sf_dir, "documents")))
 
@@ -25,6 +40,9 @@ def op10_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_lm_score": op1_lm_score,
     "op2_best_two_fit": op2_best_two_fit,
+    "op5_quality": op5_quality,
+    "op6_token_counts": op6_token_counts,
+    "op7_language_spans": op7_language_spans,
     "op10_repair_ids": op10_repair_ids,
 }
 
