@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import jaccard as op9
 from . import langid as op7
 from . import lm_score as op1
 from . import packing as op2
+from . import pivot_index as op4
 from . import quality as op5
 from . import repair as op10
 from . import token_counts as op6
@@ -21,6 +23,14 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.packed(read_table(spark, sf_dir, "documents"))
 
 
+def op4_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.ngram_join(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -40,9 +50,11 @@ def op10_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_lm_score": op1_lm_score,
     "op2_best_two_fit": op2_best_two_fit,
+    "op4_pivot_near_duplicates": op4_pivot_near_duplicates,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op7_language_spans": op7_language_spans,
+    "op9_ngram_join": op9_ngram_join,
     "op10_repair_ids": op10_repair_ids,
 }
 
