@@ -139,3 +139,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, mod: int = 4, threshold:
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), mod).alias("held_out"), "text")
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
+    prepare(docs.sparkSession)
+    model = train(docs, labels)
+    text = docs.columns.index("text")
+
+    def keep(it):
+        for b in it:
+            x = np.array([statistics(t) for t in text_bytes(b.column(text))], float).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.scores(x) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

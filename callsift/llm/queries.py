@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontam as op8
 from . import jaccard as op9
 from . import langid as op7
+from . import line_dedup as op3
 from . import lm_score as op1
 from . import packing as op2
 from . import pivot_index as op4
@@ -23,6 +26,15 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.packed(read_table(spark, sf_dir, "documents"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op3.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
@@ -50,12 +62,14 @@ def op10_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_lm_score": op1_lm_score,
     "op2_best_two_fit": op2_best_two_fit,
+    "op3_line_templates": op3_line_templates,
     "op4_pivot_near_duplicates": op4_pivot_near_duplicates,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op7_language_spans": op7_language_spans,
+    "op8_simhash_windows": op8_simhash_windows,
     "op9_ngram_join": op9_ngram_join,
     "op10_repair_ids": op10_repair_ids,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_templates": op3.ORACLE}
