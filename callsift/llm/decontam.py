@@ -9,8 +9,8 @@
 3. Candidates within the radius are compared by the weighted Jaccard similarity of their
    shingles (sum of minima over sum of maxima); 0.8 or more is contamination.
 
-The table of item shingles is broadcast up to ``BROADCAST_ROWS`` rows, beyond it Spark
-shuffles.  Copies of a text are looked at once for each doc_id.
+The table of item shingles, and the keys of the texts that hold windows, are broadcast up
+to ``BROADCAST_ROWS`` rows, beyond it Spark shuffles.  Copies of a text are looked at once for each doc_id.
 
 Nulls: rows with a null or empty text or a null doc_id, and items with a null text or
 fewer than five words, match nothing.  Rows that repeat give one row.  An empty table
@@ -78,7 +78,9 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     key = ["doc_id", "tid", "n", "start"]
     starts = hits.join(held, ["doc_id", "tid", "item_id"]).select("doc_id", "tid", "n", F.explode("starts").alias("start")).distinct()
     wanted = written(starts, "leak-starts")
-    some = texts.join(wanted.select("doc_id", "tid").distinct(), ["doc_id", "tid"], "left_semi").dropDuplicates(["doc_id", "tid"])
+    keys = wanted.select("doc_id", "tid").distinct()
+    keys = F.broadcast(keys) if wanted.count() <= BROADCAST_ROWS else keys  # else the texts are shuffled
+    some = texts.join(keys, ["doc_id", "tid"], "left_semi").dropDuplicates(["doc_id", "tid"])
     some = some.select("doc_id", "tid", words(F.col("text")).alias("all"))
     place = F.greatest(F.lit(0), F.least(F.col("start"), F.size("all") - F.col("n")))
     windows = some.join(wanted, ["doc_id", "tid"]).where(F.size("all") >= F.col("n")).withColumn("start", place)

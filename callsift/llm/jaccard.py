@@ -10,7 +10,7 @@ reached only by documents made of little else (any order gives the same links).
 2. one shuffle by shingle; each inverted list is read in a stream.  A first round takes
    the pairs of each list's first class with the others, verifies them and joins them
    into components; a second takes all pairs of a list that lie in different components
-   and can still reach the overlap by size and position.  So groups of near copies never
+   and share so many first shingles that they can still reach the overlap.  So groups of near copies never
    meet pairwise, and no link between components is missed;
 3. verification, per query class and chunk of its candidates: inverted lists of the
    query's shingles over the candidates, the longest set aside; the short lists are
@@ -40,6 +40,8 @@ PERCENT = 85
 SAMPLE, FREQUENT = 8000, 4
 #: Candidates that a query is verified against at a time, and in one task.
 CHUNK, TASK = 256, 2000
+#: Rows (about 24 bytes each) up to which the places that sets are sent to are broadcast; beyond it Spark shuffles the texts.
+BROADCAST_ROWS = 1_000_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -118,11 +120,16 @@ def _runs(columns: list, it, emit):
         yield from emit(*rest)
 
 
-def _can_link(n_a, n_b, pos_a, pos_b, percent: int) -> np.ndarray:
-    """Whether sizes and the places of a common shingle in the order leave room for the overlap."""
-    most = np.minimum(pos_a, pos_b) + 1 + np.minimum(n_a - pos_a, n_b - pos_b) - 1
-    most = np.minimum(most, np.minimum(n_a, n_b))
-    return 100 * most >= percent * (n_a + n_b - most)
+def _enough(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share enough of their first shingles; ``pairs``: a row (a, b, n_a, n_b) per shared one.
+
+    What a linked pair shares beyond its first shingles is at most the rest of the set whose
+    first shingles end earlier; the other shared ones are all in both inverted lists.
+    """
+    n = F.col("n_a") + F.col("n_b")
+    overlap = F.ceil(percent * n / (100 + percent) - 1e-9)
+    rest = F.ceil(percent * F.greatest("n_a", "n_b") / 100 - 1e-9) - 1
+    return pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("c").alias("c")).where(F.col("c") >= overlap - rest).select("a", "b")
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -155,20 +162,29 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int) -> np.n
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The linked ones of ``pairs`` (a, b), by their whole sets."""
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    rows = wanted.join(classes.select("cid", "doc_id"), "cid").join(docs.select("doc_id", "text"), "doc_id").select("cid", "text")
-
-    def cut(it):
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / TASK).cast("int").alias("chunks"))
+    queries = chunks.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"))
+    others = pairs.join(chunks, "a").select(F.col("b").alias("cid"), "a", F.pmod(F.hash("b"), "chunks").alias("chunk"), "b")
+    ways = queries.unionByName(others).join(classes.select("cid", "doc_id"), "cid")
+    ways = written(ways.groupBy("doc_id", "cid").agg(F.collect_list(F.struct("a", "chunk", "b")).alias("ways")), "join-ways")
+    n = ways.agg(F.coalesce(F.sum(F.size("ways")), F.lit(0))).first()[0]
+    side = F.broadcast(ways) if n <= BROADCAST_ROWS else ways  # else the texts are shuffled
+    rows = docs.select("doc_id", "text").join(side, "doc_id").select("text", "cid", "ways")
+
+    def send(it):
         shingle = Shingler(words)
         for b in it:
-            got = [(c, t) for c, t in zip(b.column(0).to_pylist(), map(shingle, text_bytes(b.column(1)))) if class_of(t) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([t.tobytes() for _, t in got], pa.binary())], names=["cid", "tokens"])
-
-    sets = written(rows.mapInArrow(cut, "cid long, tokens binary").dropDuplicates(["cid"]), "join-sets")
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / TASK).cast("int").alias("chunks"))
-    queries = (sets.join(chunks, sets["cid"] == chunks["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "tokens"))
-    others = (pairs.join(chunks, "a").select("a", F.pmod(F.hash("b"), "chunks").alias("chunk"), "b")
-              .join(sets, F.col("b") == sets["cid"]).select("a", "chunk", "b", "tokens"))
+            a_, chunk, b_, tokens = [], [], [], []
+            for text, cid, ways in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                t = shingle(text)
+                if class_of(t) == cid:  # another row may have the same doc_id
+                    for w in ways:
+                        a_.append(w["a"])
+                        chunk.append(w["chunk"])
+                        b_.append(w["b"])
+                        tokens.append(t.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(chunk, pa.int32()), pa.array(b_, pa.int64()), pa.array(tokens, pa.binary())],
+                                             names=["a", "chunk", "b", "tokens"])
 
     def search(it):
         query, held, key = None, [], None
@@ -191,7 +207,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
         if held:
             yield full()
 
-    both = queries.unionByName(others).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    both = rows.mapInArrow(send, "a long, chunk int, b long, tokens binary").repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
     return written(both.mapInArrow(search, "a long, b long"), "join-links")
 
 
@@ -220,50 +236,51 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     rows = written(docs.mapInArrow(index, "doc_id long, n long, cid long, first array<long>"), "join-index")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     lists = (rows.where("cid is not null and doc_id is not null").select("doc_id", "cid", "n", "first").join(classes, ["cid", "doc_id"], "left_semi")
-             .dropDuplicates(["cid"]).select("cid", "n", F.posexplode("first").alias("pos", "token")).select("token", "cid", "n", "pos")
+             .dropDuplicates(["cid"]).select("cid", "n", F.explode("first").alias("token")).select("token", "cid", "n")
              .repartition("token").sortWithinPartitions("token", "n", "cid"))
 
     def shared(it):
-        def emit(token, cid, n, pos):
+        def emit(token, cid, n):
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
             run = np.cumsum(new) - 1
             many = np.bincount(run)[run] > 1
-            lead = np.flatnonzero(new)[run]
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (token, cid, n, pos.astype(np.int64))] + [
-                pa.array(x[lead][many]) for x in (cid, n, pos.astype(np.int64))], names=["token", "cid", "n", "pos", "lead", "lead_n", "lead_pos"])
-
-        yield from _runs([0, 1, 2, 3], it, emit)
-
-    lists = written(lists.mapInArrow(shared, "token long, cid long, n long, pos long, lead long, lead_n long, lead_pos long"), "join-lists")
-    most = F.least(F.least("pos", "lead_pos") + F.least(F.col("n") - F.col("pos"), F.col("lead_n") - F.col("lead_pos")), F.least("n", "lead_n"))
-    pair = F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")
-    stars = written(lists.where((F.col("cid") != F.col("lead")) & (100 * most >= percent * (F.col("n") + F.col("lead_n") - most)))
-                    .select(*pair).distinct(), "join-pairs")
+            lead = np.flatnonzero(new)[run][many]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[many]) for x in (token, cid, n)), pa.array(cid[lead]), pa.array(n[lead])],
+                                             names=["token", "cid", "n", "lead", "lead_n"])
+
+        yield from _runs([0, 1, 2], it, emit)
+
+    lists = written(lists.mapInArrow(shared, "token long, cid long, n long, lead long, lead_n long"), "join-lists")
+    first = F.col("cid") < F.col("lead")
+    stars = lists.where((F.col("cid") != F.col("lead")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")))
+    stars = stars.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"), F.when(first, F.col("n")).otherwise(F.col("lead_n")).alias("n_a"),
+                         F.when(first, F.col("lead_n")).otherwise(F.col("n")).alias("n_b"), F.lit(1).alias("c"))
+    stars = written(_enough(stars, percent), "join-pairs")
     links = _verified(stars, classes, docs, words, percent)
     near = components(links)
 
     def across(it):
-        def emit(token, cid, n, pos, root):
-            bounds, found = np.flatnonzero(np.diff(token)) + 1, [np.zeros((0, 2), np.int64)]
+        def emit(token, cid, n, root):
+            bounds, found = np.flatnonzero(np.diff(token)) + 1, [np.zeros((4, 0), np.int64)]
             for lo, hi in zip([0, *bounds.tolist()], [*bounds.tolist(), len(token)]):
                 for i in range(lo, hi - 1):  # sorted by size: partners end where the size is out of reach
                     j = np.arange(i + 1, lo + np.searchsorted(n[lo:hi], 100 * n[i] // percent, "right"))
                     j = j[root[j] != root[i]]
-                    j = j[_can_link(n[i], n[j], pos[i], pos[j], percent)]
                     if len(j):
-                        found.append(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])], 1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                        low = cid[j] < cid[i]
+                        found.append(np.stack([np.where(low, cid[j], cid[i]), np.where(low, cid[i], cid[j]), np.where(low, n[j], n[i]), np.where(low, n[i], n[j])]))
+            pairs, c = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, pairs), pa.array(c)], names=["a", "b", "n_a", "n_b", "c"])
 
-        yield from _runs([0, 1, 2, 3, 4], it, emit)
+        yield from _runs([0, 1, 2, 3], it, emit)
 
     root = F.coalesce("root", "cid").alias("root")
-    labelled = lists.join(near, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", "pos", root)
+    labelled = lists.join(near, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", root)
     mixed = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     rest = (labelled.join(mixed, "token").repartition("token").sortWithinPartitions("token", "n", "cid")
-            .mapInArrow(across, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"))
-    rest = written(rest, "join-pairs")
+            .mapInArrow(across, "a long, b long, n_a long, n_b long, c long"))
+    rest = written(_enough(rest, percent).join(stars, ["a", "b"], "left_anti"), "join-pairs")
     more = _verified(rest, classes, docs, words, percent)
     root_of = components(links.unionByName(more))
     owned = rows.select("doc_id", "n", "cid").join(root_of, F.col("cid") == F.col("node"), "left").select("doc_id", "n", "cid", F.coalesce("root", "cid").alias("root"))
