@@ -8,7 +8,7 @@ reached only by documents made of little else (any order gives the same links).
 1. one pass over the text: set size, a class id (hash of the set; equal sets are one
    class), and the first shingles in the order;
 2. one shuffle by shingle; each inverted list is read in a stream.  A first round takes
-   the pairs of each list's first class with the others, verifies them and joins them
+   the pairs of each list's centre with the others, verifies them and joins them
    into components; a second takes all pairs of a list that lie in different components
    and share so many first shingles that they can still reach the overlap.  So groups of near copies never
    meet pairwise, and no link between components is missed;
@@ -244,16 +244,22 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
             run = np.cumsum(new) - 1
-            many = np.bincount(run)[run] > 1
-            lead = np.flatnonzero(new)[run][many]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[many]) for x in (token, cid, n)), pa.array(cid[lead]), pa.array(n[lead])],
-                                             names=["token", "cid", "n", "lead", "lead_n"])
+            size = np.bincount(run)[run]
+            many = size > 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (token, cid, n, size)], names=["token", "cid", "n", "size"])
 
         yield from _runs([0, 1, 2], it, emit)
 
-    lists = written(lists.mapInArrow(shared, "token long, cid long, n long, lead long, lead_n long"), "join-lists")
+    lists = written(lists.mapInArrow(shared, "token long, cid long, n long, size long"), "join-lists")
+    # the centre of a list, among sets of about one size, is the one whose first shingles are shared most
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent))).alias("band")
+    drawn = lists.groupBy("cid").agg((F.sum("size") / F.first("n")).alias("drawn"))
+    lists = lists.select("token", "cid", "n")
+    lead = (lists.join(drawn, "cid").select("token", band, "cid", "n", "drawn").groupBy("token", "band")
+            .agg(F.max(F.struct("drawn", (-F.col("cid")).alias("cid"), F.col("n").alias("lead_n"))).alias("lead"))
+            .select("token", "band", (-F.col("lead.cid")).alias("lead"), "lead.lead_n"))
     first = F.col("cid") < F.col("lead")
-    stars = lists.where((F.col("cid") != F.col("lead")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")))
+    stars = lists.select("token", band, "cid", "n").join(lead, ["token", "band"]).where("cid <> lead")
     stars = stars.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"), F.when(first, F.col("n")).otherwise(F.col("lead_n")).alias("n_a"),
                          F.when(first, F.col("lead_n")).otherwise(F.col("n")).alias("n_b"), F.lit(1).alias("c"))
     stars = written(_enough(stars, percent), "join-pairs")
