@@ -29,7 +29,7 @@ SHARD_IDS = 1 << 20
 ROUNDS = 6
 #: New rules of a round, and the uses that a pair needs.
 RULES, LEAST = 1024, 16
-#: Pairs are counted by a hash first; only pairs in full buckets are counted exactly.
+#: Pairs are counted by a hash first; one pair of each full bucket is then counted exactly.
 BUCKETS = 1 << 18
 
 SHARD_DDL = ("part int, shard int, n_docs int, n_ids long, first int, rules binary, lengths binary, symbols binary,"
@@ -42,25 +42,30 @@ _SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.i
 def compress(ids: np.ndarray, starts: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols), symbols, and each document's first symbol; ``first``: the first nonterminal."""
     seq, starts, rules = ids.astype(np.int64), starts.astype(np.int64), []
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         if len(seq) < 2:
             break
         key = (seq[:-1] << 32) | seq[1:]
-        bucket = ((seq[:-1] * 0x9E3779B1 + seq[1:] * 0x85EBCA6B) >> 7) & (BUCKETS - 1)
+        bucket = ((key * (0x9E3779B97F4A7C1 + 2 * turn)) >> 24) & (BUCKETS - 1)
         within = np.ones(len(key), bool)
         within[starts[1:] - 1] = False  # a pair lies in one document
-        full = np.bincount(bucket[within], minlength=BUCKETS)
+        full = np.bincount(bucket, within, BUCKETS)
         least = max(LEAST, int(np.partition(full, -RULES)[-RULES]))
         hot = np.flatnonzero(within & (full >= least)[bucket])
-        pairs, count = np.unique(key[hot], return_counts=True)
-        good = count >= least
-        pairs = pairs[good][np.argsort(-count[good], kind="stable")][:RULES]
-        if not len(pairs):
+        bucket, key = bucket[hot], key[hot]
+        pair_of = np.zeros(BUCKETS, np.int64)
+        pair_of[bucket] = key  # one pair for each full bucket; a pair that loses its bucket has another in the next round
+        same = key == pair_of[bucket]
+        place, bucket = hot[same], bucket[same]
+        count = np.bincount(bucket, minlength=BUCKETS)
+        chosen = np.flatnonzero(count >= LEAST)
+        chosen = chosen[np.argsort(-count[chosen], kind="stable")][:RULES]
+        if not len(chosen):
             break
-        order = np.argsort(pairs)
-        at = np.minimum(np.searchsorted(pairs[order], key[hot]), len(pairs) - 1)
-        same = pairs[order][at] == key[hot]
-        place, number = hot[same], order[at[same]]
+        pairs, number_of = pair_of[chosen], np.full(BUCKETS, -1, np.int64)
+        number_of[chosen] = np.arange(len(chosen))
+        number = number_of[bucket]
+        place, number = place[number >= 0], number[number >= 0]
         run = np.flatnonzero(np.diff(place, prepend=-2) > 1)  # pairs that overlap form a run: every other one is replaced
         use = (np.arange(len(place)) - np.repeat(run, np.diff(run, append=len(place)))) % 2 == 0
         place, number = place[use], number[use]
