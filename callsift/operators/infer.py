@@ -79,7 +79,7 @@ def run_responder(df: DataFrame, factory: ResponderFactory, attempt: int, partit
                     reply = respond(row)[0]
                     lat, err = (time.time() - t0) * 1000.0, None
                 except Exception as e:  # noqa: BLE001  (any transport failure is one failed attempt)
-                    reply, lat, err = None, None, f"{type(e).__name__}: {e}"[:500]
+                    reply, lat, err = None, None, f"{type(e).__name__}: {e}"
                 last = time.time()
                 out.append((row["transcript_hash"].iloc[0], attempt, lat, reply, err, last))
             yield pd.DataFrame(out, columns=["transcript_hash", "attempt", "latency_ms", "reply", "error", "finished_at"])
