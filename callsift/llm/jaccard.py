@@ -10,8 +10,10 @@ reached only by documents made of little else (any order gives the same links).
 2. one shuffle by shingle; each inverted list is read in a stream.  A first round takes
    the pairs of each list's centre with the others, verifies them and joins them
    into components; a second takes all pairs of a list that lie in different components
-   and share so many first shingles that they can still reach the overlap.  So groups of near copies never
-   meet pairwise, and no link between components is missed;
+   and share so many first shingles that they can still reach the overlap.  So groups
+   of near copies never meet pairwise, and no link between components is missed.  Sets that meet
+   many others carry their first shingles along, so that a pair of them is counted in the first
+   list where it meets and written only if it can reach the overlap;
 3. verification, per query class and chunk of its candidates: inverted lists of the
    query's shingles over the candidates, the longest set aside; the short lists are
    merged into counts, and only candidates that can still reach T are probed in the long
@@ -40,6 +42,9 @@ PERCENT = 85
 SAMPLE, FREQUENT = 8000, 4
 #: Candidates that a query is verified against at a time, and in one task.
 CHUNK, TASK = 256, 2000
+#: A set that meets CROWD sets of other components or more in its lists carries its first shingles along if they are at
+#: most CARRIED; two such sets are counted where they first meet.  The result is the same at any numbers.
+CROWD, CARRIED = 2000, 128
 #: Rows (about 24 bytes each) up to which the places that sets are sent to are broadcast; beyond it Spark shuffles the texts.
 BROADCAST_ROWS = 1_000_000
 
@@ -132,6 +137,25 @@ def _enough(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("c").alias("c")).where(F.col("c") >= overlap - rest).select("a", "b")
 
 
+def _meetings(held: list, token: int):
+    """A function of i: with how many of its numbers below ``token``, and of all, each of ``held`` shares i's (None: has none)."""
+    own = np.repeat(np.arange(len(held)), [0 if x is None else len(x) for x in held])
+    flat = np.concatenate([x for x in held if x is not None])
+    order = np.argsort(flat, kind="stable")
+    flat, own = flat[order], own[order]
+
+    def count(numbers: np.ndarray) -> np.ndarray:
+        ends = zip(np.searchsorted(flat, numbers, "left").tolist(), np.searchsorted(flat, numbers, "right").tolist())
+        return np.bincount(np.concatenate([own[:0], *(own[lo:hi] for lo, hi in ends)]), minlength=len(held))
+
+    def of(i: int) -> tuple[np.ndarray, np.ndarray]:
+        cut = np.searchsorted(held[i], token)
+        before = count(held[i][:cut])
+        return before, before + count(held[i][cut:])
+
+    return of
+
+
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Which of ``sets`` reach the overlap with ``query``; all are sorted distinct numbers."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -267,25 +291,47 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     near = components(links)
 
     def across(it):
-        def emit(token, cid, n, root):
-            bounds, found = np.flatnonzero(np.diff(token)) + 1, [np.zeros((4, 0), np.int64)]
+        def emit(token, cid, n, root, held):
+            bounds, found = np.flatnonzero(np.diff(token)) + 1, [np.zeros((5, 0), np.int64)]
             for lo, hi in zip([0, *bounds.tolist()], [*bounds.tolist(), len(token)]):
+                known = np.array([x is not None for x in held[lo:hi]])
+                meet = _meetings([x and np.frombuffer(x, np.int64) for x in held[lo:hi]], token[lo]) if known.sum() > 1 else None
                 for i in range(lo, hi - 1):  # sorted by size: partners end where the size is out of reach
                     j = np.arange(i + 1, lo + np.searchsorted(n[lo:hi], 100 * n[i] // percent, "right"))
-                    j = j[root[j] != root[i]]
+                    j, c = j[root[j] != root[i]], 1
+                    if len(j) and meet and known[i - lo]:
+                        both, (before, shares) = known[j - lo], meet(i - lo)
+                        least = -(-percent * (n[i] + n[j]) // (100 + percent)) + 1 - needed(n[j], percent)
+                        c = np.where(both, shares[j - lo], 1)
+                        now = ~both | ((before[j - lo] == 0) & (c >= least))
+                        j, c = j[now], c[now]
                     if len(j):
                         low = cid[j] < cid[i]
-                        found.append(np.stack([np.where(low, cid[j], cid[i]), np.where(low, cid[i], cid[j]), np.where(low, n[j], n[i]), np.where(low, n[i], n[j])]))
-            pairs, c = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
+                        found.append(np.stack([np.where(low, cid[j], cid[i]), np.where(low, cid[i], cid[j]), np.where(low, n[j], n[i]), np.where(low, n[i], n[j]),
+                                               np.broadcast_to(c, len(j))]))
+            found = np.concatenate(found, axis=1)
+            pairs, at = np.unique(found[:4], axis=1, return_inverse=True)
+            c = np.bincount(at.ravel(), found[4], pairs.shape[1]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*map(pa.array, pairs), pa.array(c)], names=["a", "b", "n_a", "n_b", "c"])
 
-        yield from _runs([0, 1, 2, 3], it, emit)
+        yield from _runs([0, 1, 2, 3, 4], it, emit)
+
+    def as_bytes(it):
+        for b in it:
+            held = [np.sort(x.values.to_numpy()).tobytes() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], names=["cid", "held"])
 
     root = F.coalesce("root", "cid").alias("root")
     labelled = lists.join(near, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", root)
-    mixed = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    rest = (labelled.join(mixed, "token").repartition("token").sortWithinPartitions("token", "n", "cid")
-            .mapInArrow(across, "a long, b long, n_a long, n_b long, c long"))
+    parts = labelled.groupBy("token", "root").agg(F.count("*").alias("own"))
+    mixed = parts.join(parts.groupBy("token").agg(F.sum("own").alias("all")).where("all > 1"), "token").where("all > own")
+    labelled = written(labelled.join(mixed.select("token", "root", (F.col("all") - F.col("own")).alias("others")), ["token", "root"]), "join-mixed")
+    crowded = (labelled.groupBy("cid").agg(F.sum("others").alias("others"), F.count("*").alias("size"))
+               .where((F.col("others") >= CROWD) & (F.col("size") <= CARRIED)).select("cid"))
+    carried = (labelled.join(crowded, "cid").groupBy("cid").agg(F.collect_list("token").alias("held"))
+               .mapInArrow(as_bytes, "cid long, held binary"))
+    rest = (labelled.join(carried, "cid", "left").select("token", "cid", "n", "root", "held")
+            .repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(across, "a long, b long, n_a long, n_b long, c long"))
     rest = written(_enough(rest, percent).join(stars, ["a", "b"], "left_anti"), "join-pairs")
     more = _verified(rest, classes, docs, words, percent)
     root_of = components(links.unionByName(more))
