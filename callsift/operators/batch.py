@@ -17,11 +17,14 @@ from . import dedup, infer, ingest, store
 
 def run_batch(spark: SparkSession, records: DataFrame, store_df: DataFrame | None, snapshot_root: str,
               responder: infer.ResponderFactory, batch_ts: Column, force: bool = False, limit: int | None = None,
-              partitions: int | None = None, extra: list[str] | None = None) -> tuple[str | None, DataFrame]:
+              partitions: int | None = None, extra: list[str] | None = None,
+              min_interval_sec: float = 0.0) -> tuple[str | None, DataFrame]:
     """Process new records; return (path of the new snapshot or None, summary counts).
 
     ``records`` has the call-record columns with ``ts`` as a timestamp; ``extra``
-    names pass-through columns the responder reads (e.g. a recorded reply).
+    names pass-through columns the responder reads (e.g. a recorded reply).  Of the rows of
+    one call_id, in order of time, the first that validates is stored: those before it
+    failed, those after it are skipped.
     """
     valid, bad = ingest.split_required(records.withColumnRenamed("ts", "timestamp"),
                                        required=["call_id", "telecaller_id", "telecaller_name", "lead_id",
@@ -33,20 +36,28 @@ def run_batch(spark: SparkSession, records: DataFrame, store_df: DataFrame | Non
     passthrough = [c for c in (extra or []) if c in todo.columns]
     inputs = todo.groupBy("transcript_hash").agg(
         F.min_by(F.struct("transcript", *passthrough), F.col("call_id")).alias("_r")).select("transcript_hash", "_r.*")
-    log = infer.infer_with_retries(spark, inputs, responder, partitions=partitions,
+    log = infer.infer_with_retries(spark, inputs, responder, partitions=partitions, min_interval_sec=min_interval_sec,
                                    log_dir=f"{snapshot_root.rstrip('/')}/_attempts/{uuid.uuid4().hex[:12]}")
     res = infer.final_results(spark, log)
     done = todo.join(res, "transcript_hash")
-    ok = done.filter("parse_status = 'ok'").select(
-        "call_id", "telecaller_id", "telecaller_name", "lead_id", "lead_name", "duration_sec", "ts", "transcript",
-        "analysis", "overall_score", "score_quarters", "transcript_hash")
+    names = ["telecaller_id", "telecaller_name", "lead_id", "lead_name", "duration_sec", "ts", "transcript",
+             "analysis", "overall_score", "score_quarters", "transcript_hash"]
+    place = F.struct("ts", "transcript_hash", *names[:5])
+    ok = (done.filter("parse_status = 'ok'").groupBy("call_id").agg(F.min_by(F.struct(*names), place).alias("_r"))
+          .select("call_id", "_r.*"))
     if store_df is None:
         merged = ok.withColumns({"created_at": batch_ts, "call_date": F.to_date("ts")})
     else:
         merged = store.merge_calls(store_df, ok, batch_ts)
     snap = store.write_snapshot(merged, snapshot_root)
-    status = done.select(F.when(F.col("parse_status") == "ok", F.lit("ok")).otherwise(F.lit("fail")).alias("status"))
-    status = status.unionByName(bad.select(F.lit("fail").alias("status")))
+    first = done.groupBy("call_id").agg(F.min(F.when(F.col("parse_status") == "ok", place)).alias("first"),
+                                        F.count(F.lit(1)).alias("rows"))
+    early = (done.select("call_id", place.alias("place"), "parse_status").join(first, "call_id")
+             .filter("parse_status <> 'ok' and (first is null or place < first)").groupBy("call_id").agg(F.count(F.lit(1)).alias("failed")))
+    per_id = first.join(early, "call_id", "left").select(
+        "rows", F.col("first").isNotNull().cast("long").alias("ok"), F.coalesce("failed", F.lit(0)).alias("failed"))
+    counts = per_id.select(F.expr("stack(3, 'ok', ok, 'fail', failed, 'skipped', rows - ok - failed) as (status, n)"))
+    counts = counts.unionByName(bad.select(F.lit("fail").alias("status"), F.lit(1).cast("long").alias("n")))
     if skipped is not None:
-        status = status.unionByName(skipped.select(F.lit("skipped").alias("status")))
-    return snap, ingest.batch_summary(status)
+        counts = counts.unionByName(skipped.select(F.lit("skipped").alias("status"), F.lit(1).cast("long").alias("n")))
+    return snap, counts.groupBy("status").agg(F.sum("n").alias("n")).filter("n > 0")

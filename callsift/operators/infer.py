@@ -90,17 +90,22 @@ def run_responder(df: DataFrame, factory: ResponderFactory, attempt: int, partit
 def infer_with_retries(spark: SparkSession, inputs: DataFrame, factory: ResponderFactory,
                        max_attempts: int = S.MAX_ATTEMPTS, wait_sec: float = S.RETRY_WAIT_SEC,
                        partitions: int | None = None, log_dir: str | None = None,
-                       sleep: Callable[[float], None] = time.sleep) -> str:
+                       sleep: Callable[[float], None] = time.sleep, min_interval_sec: float = 0.0) -> str:
     """Run retry rounds over ``inputs`` (one row per distinct transcript_hash); return the log path.
 
-    The driver loops over rounds (at most ``max_attempts``), never over rows.
+    The driver loops over rounds (at most ``max_attempts``), never over rows.  A round that
+    ``log_dir`` holds whole (a replayed run) is not sent again; each round reads only its own replies.
     """
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     log = log_dir or work_dir(spark, f"attempts-{uuid.uuid4().hex[:12]}")
     pending = inputs
     for k in range(1, max_attempts + 1):
-        run_responder(pending, factory, k, partitions).write.mode("append").parquet(log)
-        done = analyze(spark.read.parquet(log)).filter("parse_status = 'ok'").select("transcript_hash")
-        pending = inputs.join(done, "transcript_hash", "left_anti")
+        part = f"{log.rstrip('/')}/round={k}"
+        marker = hadoop_path(f"{part}/_SUCCESS")
+        if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
+            run_responder(pending, factory, k, partitions, min_interval_sec).write.mode("overwrite").parquet(part)
+        failed = analyze(spark.read.parquet(part)).filter("parse_status <> 'ok'").select("transcript_hash")
+        pending = inputs.join(failed, "transcript_hash", "left_semi")
         if k == max_attempts or pending.isEmpty():
             break
         sleep(wait_sec * k)

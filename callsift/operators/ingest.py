@@ -41,7 +41,7 @@ def pick_transcript(keys: list[str] = S.PAYLOAD_KEYS) -> Column:
 def upload_rows(payloads: DataFrame, ingest_ts: Column) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) upload rows with defaults, ids, hash and duration.
 
-    call_id = UPLOAD_<UTC second>_<first 8 hash chars>: unique per content, so
+    call_id = UPLOAD_<UTC second>_<transcript hash>: unique per content, so
     parallel uploads in one second do not overwrite each other (README, Q13).
     """
     missing = {f.name: F.lit(None).cast("string") for f in S.PAYLOAD.fields if f.name not in payloads.columns}
@@ -59,8 +59,7 @@ def upload_rows(payloads: DataFrame, ingest_ts: Column) -> tuple[DataFrame, Data
         duration_from_transcript("transcript").alias("duration_sec"),
         ingest_ts.alias("ts"))
     rows = rows.drop("telecaller_name", "lead_name").withColumnsRenamed({"_tc": "telecaller_name", "_ld": "lead_name"})
-    rows = rows.withColumn("call_id", F.concat(F.lit("UPLOAD_"), F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.lit("_"),
-                                               F.substring("transcript_hash", 1, 8)))
+    rows = rows.withColumn("call_id", F.concat(F.lit("UPLOAD_"), F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.lit("_"), "transcript_hash"))
     return rows, rejected
 
 

@@ -9,8 +9,6 @@ call_date so date-bounded reads prune partitions.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
@@ -42,9 +40,34 @@ def merge_calls(store: DataFrame, batch: DataFrame, batch_ts: Column) -> DataFra
     return out.withColumn("call_date", F.to_date("ts"))
 
 
-def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write a new snapshot under ``root`` and return its path (callers then read it back)."""
-    path = f"{root.rstrip('/')}/snap-{uuid.uuid4().hex[:12]}"
+SNAP_PREFIX = "snap-"
+
+
+def _snapshots(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    """(folder name, committed) of the snapshots under ``root``, oldest first; a committed one has a _SUCCESS marker."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    p = path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    found = [s.getPath() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName().startswith(SNAP_PREFIX)]
+    return sorted((x.getName(), fs.exists(path(x, "_SUCCESS"))) for x in found)
+
+
+def latest_snapshot(spark: SparkSession, root: str, but: str | None = None) -> str | None:
+    """The newest committed snapshot folder, or None; ``but`` leaves out those written under that tag."""
+    names = [n for n, done in _snapshots(spark, root) if done and not (but and n.endswith(f"-{but}"))]
+    return f"{root.rstrip('/')}/{names[-1]}" if names else None
+
+
+def write_snapshot(df: DataFrame, root: str, tag: str = "batch") -> str:
+    """Write a new snapshot under ``root`` and return its path (callers then read it back).
+
+    Batch and stream share one running number, so the newest snapshot has the highest name.
+    """
+    names = _snapshots(df.sparkSession, root)
+    number = 1 + int(names[-1][0][len(SNAP_PREFIX):].split("-")[0]) if names else 0
+    path = f"{root.rstrip('/')}/{SNAP_PREFIX}{number:012d}-{tag}"
     df.write.mode("error").partitionBy("call_date").parquet(path)
     return path
 
@@ -68,9 +91,10 @@ EDITABLE = {
 
 def latest_edits(edits: DataFrame) -> DataFrame:
     """The latest value per (call_id, field) (W3) as a grouped max_by: combines map-side,
-    so many edits of one call never meet in one task."""
-    return edits.groupBy("call_id", "field").agg(F.max_by("value", "edited_at").alias("value"),
-                                                 F.max("edited_at").alias("edited_at"))
+    so many edits of one call never meet in one task.  Edits of one time are ordered by
+    ``edit_id`` where there is one, then by value."""
+    order = F.struct("edited_at", *[c for c in ["edit_id"] if c in edits.columns], "value")
+    return edits.groupBy("call_id", "field").agg(F.max_by("value", order).alias("value"), F.max("edited_at").alias("edited_at"))
 
 
 def _valid_edit() -> Column:
@@ -87,20 +111,22 @@ def _valid_edit() -> Column:
 def apply_edits(store: DataFrame, edits: DataFrame, keep_edit_columns: bool = False) -> tuple[DataFrame, DataFrame]:
     """(updated store, quarantine) after applying the latest valid edit per field (M2 M3).
 
+    Every edit is checked before the latest is chosen, so an invalid one hides no earlier
+    valid one; every edit that is not applicable is quarantined with its reason.
+
     Edits are pivoted to one row per call (a fixed set of columns, one per
     editable path), left-joined to the store, written into the struct with
     ``withField`` and the overall score is recomputed (P14).  Unknown calls,
     unknown paths and values that do not coerce go to the quarantine.
     """
-    last = latest_edits(edits)
     # one membership join splits known from unknown calls (the store's keys only)
-    member = last.join(store.select("call_id").withColumn("_known", F.lit(True)), "call_id", "left")
+    member = edits.join(store.select("call_id").withColumn("_known", F.lit(True)), "call_id", "left")
     known = member.filter(F.col("_known").isNotNull()).drop("_known")
     unknown = (member.filter(F.col("_known").isNull()).drop("_known")
                .withColumn("reason", F.lit("call not found")))
     flagged = known.withColumn("_ok", _valid_edit())
     bad = flagged.filter(~F.col("_ok")).drop("_ok").withColumn("reason", F.lit("invalid field or value"))
-    good = flagged.filter("_ok").drop("_ok")
+    good = latest_edits(flagged.filter("_ok").drop("_ok"))
     pivot = good.groupBy("call_id").agg(
         *[F.max(F.when(F.col("field") == p, pystrip(F.col("value")))).alias(_col(p)) for p in EDITABLE])
     j = store.join(pivot.withColumn("_edited", F.lit(True)), "call_id", "left")

@@ -77,11 +77,11 @@ def filter_predicate(telecaller: str | None = None, visit: str | None = None, ac
     return reduce(lambda a, b: a & b, preds)
 
 
-def list_calls(calls: DataFrame, search: str | None = None, cap: int | None = S.LIST_CAP,
+def list_calls(calls: DataFrame, search: str | None = None, cap: int | None = None,
                reference_cap: bool = False, **filters) -> DataFrame:
-    """Search + filters + newest-first cap (O1, Q9).
+    """Search + filters, newest first, with a cap if the caller passes one (O1, Q9).
 
-    Default: filter, then cap.  ``reference_cap=True`` caps first (the
+    A cap applies after the filters.  ``reference_cap=True`` caps first (the
     reference narrows to the newest 500 on the server and filters those in
     the client); Catalyst keeps the filter above the limit in that case.
     """

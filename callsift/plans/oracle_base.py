@@ -21,6 +21,11 @@ def hash_sql(x: str) -> str:
     return f"substr(sha256({strip_sql(x)}), 1, 32)"
 
 
+def pad_sql(x: str, width: int) -> str:
+    """Zero-padded decimal text; longer numbers stay whole."""
+    return f"lpad(CAST({x} AS VARCHAR), greatest({width}, CAST(length(CAST({x} AS VARCHAR)) AS INTEGER)), '0')"
+
+
 _phrase_rows = ", ".join(f"({p}, '{s}', '{t}')" for p, s, t in PHRASES)
 
 CTE = {
@@ -31,18 +36,18 @@ CTE = {
   FROM conversations c LEFT JOIN phrases p ON p.pid =
     CASE c.role WHEN 'assistant' THEN (c.conv_id*7 + c.turn*3) % 10
                 WHEN 'user' THEN 10 + (c.conv_id*3 + c.turn*7) % 10 END)""",
-    "lines": """lines AS (
+    "lines": f"""lines AS (
   SELECT conv_id, turn, end_sec,
-    '[' || lpad(CAST((start_sec - start_sec % 60) / 60 AS INT) || '', 2, '0') || ':' || lpad(CAST(start_sec % 60 AS INT) || '', 2, '0')
-    || '-' || lpad(CAST((end_sec - end_sec % 60) / 60 AS INT) || '', 2, '0') || ':' || lpad(CAST(end_sec % 60 AS INT) || '', 2, '0')
+    '[' || {pad_sql('CAST((start_sec - start_sec % 60) / 60 AS INT)', 2)} || ':' || lpad(CAST(start_sec % 60 AS INT) || '', 2, '0')
+    || '-' || {pad_sql('CAST((end_sec - end_sec % 60) / 60 AS INT)', 2)} || ':' || lpad(CAST(end_sec % 60 AS INT) || '', 2, '0')
     || '] ' || speaker || ': ' || utterance AS line
   FROM turns)""",
     "tx": """tx AS (
   SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS transcript, max(end_sec) AS duration_sec
   FROM lines GROUP BY conv_id)""",
     "calls": f"""calls AS (
-  SELECT 'CALL_' || lpad(CAST(x.conv_id AS VARCHAR), 6, '0') AS call_id,
-         'TC_' || lpad(CAST(s.s_suppkey AS VARCHAR), 3, '0') AS telecaller_id, s.s_name AS telecaller_name,
+  SELECT 'CALL_' || {pad_sql('x.conv_id', 6)} AS call_id,
+         'TC_' || {pad_sql('s.s_suppkey', 3)} AS telecaller_id, s.s_name AS telecaller_name,
          'LEAD_' || CAST(k.c_custkey AS VARCHAR) AS lead_id, k.c_name AS lead_name,
          x.duration_sec, e.ts, x.transcript, x.conv_id
   FROM tx x JOIN supplier s ON s.s_suppkey = x.conv_id % {N_TELECALLERS}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .. import schema as S
 from ..operators import rubric as R
 from ..operators import store as ST
-from .oracle_base import PY_SPACE_RE2, hash_sql, strip_sql, with_ctes
+from .oracle_base import hash_sql, pad_sql, strip_sql, with_ctes
 from .oracle_validate import validated_cte
 from .oracles import oracle
 
@@ -32,7 +32,7 @@ def ts_text(c: str = "ts") -> str:
 oracle("list_view", with_stored() + f"""SELECT call_id, telecaller_id, telecaller_name, lead_id, lead_name, duration_sec,
   strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, overall_score, site_visit_outcome, last_stage_reached,
   recommended_next_action, unit_configuration, timeline, discovery_score, pitch_score, objection_handling_score,
-  next_step_score FROM stored ORDER BY ts DESC, call_id LIMIT {S.LIST_CAP}""")
+  next_step_score FROM stored""")
 
 
 def like(term: str, cols: list[str]) -> str:
@@ -45,7 +45,7 @@ oracle("list_filtered", with_stored() + "SELECT call_id, telecaller_name, overal
        " AND site_visit_outcome = 'declined' AND coalesce(overall_score, 0) >= 1.0 AND coalesce(discovery_score, 0) >= 1")
 
 oracle("list_sorted", with_stored() + "SELECT call_id, overall_score FROM stored "
-       "ORDER BY overall_score DESC NULLS LAST, ts DESC, call_id LIMIT 10")
+       "")
 
 oracle("filter_counts", with_stored() + "SELECT CAST(count(*) FILTER (WHERE coalesce(overall_score, 0) >= 1.5 "
        "AND coalesce(discovery_score, 0) >= 0) AS BIGINT) AS shown, CAST(count(*) AS BIGINT) AS total FROM stored")
@@ -77,7 +77,7 @@ oracle("detail_labels", with_stored() + f"""SELECT call_id, lead_name || ' · '
 FROM stored""")
 
 oracle("call_lookup", with_stored() + "SELECT call_id, lead_name, overall_score FROM stored WHERE call_id IN "
-       "(SELECT 'CALL_' || lpad(CAST(event_id % 150 AS VARCHAR), 6, '0') FROM events WHERE event_type = 'error')")
+       "(SELECT 'CALL_' || " + pad_sql('event_id % 150', 6) + " FROM events WHERE event_type = 'error')")
 
 oracle("call_count", with_stored() + "SELECT CAST(count(*) AS BIGINT) AS n FROM stored")
 
@@ -182,7 +182,7 @@ SELECT doc_id, _t IS NOT NULL AS accepted, {hash_sql('_t')} AS transcript_hash,
 
 _STAMP = r"\[(\d+):(\d+)-(\d+):(\d+)\]"
 oracle("upload_defaults", "WITH " + _PAY + ",\n" + _PICKED + f"""
-SELECT doc_id, 'UPLOAD_20260102T030405_' || substr({hash_sql('_t')}, 1, 8) AS call_id, 'UPLOAD' AS telecaller_id,
+SELECT doc_id, 'UPLOAD_20260102T030405_' || {hash_sql('_t')} AS call_id, 'UPLOAD' AS telecaller_id,
   coalesce(nullif(telecaller_name, ''), 'Uploaded') AS telecaller_name, 'UPLOAD' AS lead_id,
   coalesce(nullif(lead_name, ''), 'Uploaded Lead') AS lead_name,
   coalesce(CAST(regexp_extract_all(_t, '{_STAMP}', 3)[-1] AS BIGINT) * 60 + CAST(regexp_extract_all(_t, '{_STAMP}', 4)[-1] AS BIGINT), 0) AS duration_sec
@@ -228,18 +228,19 @@ for _f, _allowed in ST.EDITABLE.items():
         _val_parts.append(f"WHEN fld = '{_f}' THEN [{', '.join(q(o) for o in _opts)}][(event_id // {_nf}) % {len(_opts)} + 1]")
 _EDITS = [
     f"e0 AS (SELECT event_id, ts, {_field_case} AS fld FROM events)",
-    "edits AS (SELECT 'CALL_' || lpad(CAST(event_id % 100 AS VARCHAR), 6, '0') AS call_id, fld AS field, "
+    "edits AS (SELECT 'CALL_' || " + pad_sql('event_id % 100', 6) + " AS call_id, fld AS field, event_id, "
     f"coalesce(CASE {' '.join(_val_parts)} END, 'x') AS value, ts AS edited_at FROM e0)",
-    "last AS (SELECT call_id, field, arg_max(value, edited_at) AS value FROM edits GROUP BY call_id, field)",
 ]
 _NUM = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _valid = " OR ".join(
     (f"(field = '{f}' AND regexp_matches({strip_sql('value')}, '{_NUM}'))" if a == "score" else
      f"(field = '{f}' AND {strip_sql('value')} IN ({', '.join(q(o) for o in a)}))") for f, a in ST.EDITABLE.items())
 _EDITS += [
-    f"lk AS (SELECT l.*, ({_valid}) AS ok, l.call_id IN (SELECT call_id FROM stored) AS known FROM last l)",
+    f"lk AS (SELECT l.*, ({_valid}) AS ok, l.call_id IN (SELECT call_id FROM stored) AS known FROM edits l)",
+    "last AS (SELECT * FROM lk WHERE ok AND known QUALIFY row_number() OVER "
+    "(PARTITION BY call_id, field ORDER BY edited_at DESC, event_id DESC) = 1)",
     "pv AS (SELECT call_id, " + ", ".join(f"max(CASE WHEN field = '{f}' THEN {strip_sql('value')} END) AS \"{f}\"" for f in _fields) +
-    " FROM lk WHERE ok AND known GROUP BY call_id)",
+    " FROM last GROUP BY call_id)",
 ]
 
 
@@ -275,12 +276,11 @@ oracle("infer_retry", with_ctes(["calls", "replies"], validated_cte("replies"))
        _INF.format(att=f"CASE WHEN v.parse_status <> 'ok' THEN 3 WHEN {_first} THEN 2 ELSE 1 END"))
 
 oracle("stream_upload", with_ctes(["calls", "replies"], validated_cte("replies")) + """SELECT d.doc_key,
-  'UPLOAD_20260102T030405_' || substr(""" + hash_sql("c.transcript") + """, 1, 8) AS call_id, d.again AS cached,
-  CAST(""" + SUMQ + """ AS DOUBLE) / 4 AS overall_score
+  CASE WHEN v.parse_status = 'ok' THEN 'UPLOAD_20260102T030405_' || """ + hash_sql("c.transcript") + """ ELSE NULL END AS call_id, d.again AND v.parse_status = 'ok' AS cached,
+  CASE WHEN v.parse_status = 'ok' THEN CAST(""" + SUMQ + """ AS DOUBLE) / 4 END AS overall_score, v.parse_status AS status
 FROM calls c JOIN validated v ON v.conv_id = c.conv_id
 JOIN (SELECT conv_id, call_id AS doc_key, false AS again FROM calls
-      UNION ALL SELECT conv_id, call_id || '#2', true FROM calls WHERE conv_id % 5 = 0) d ON d.conv_id = c.conv_id
-WHERE v.parse_status = 'ok'""")
+      UNION ALL SELECT conv_id, call_id || '#2', true FROM calls WHERE conv_id % 5 = 0) d ON d.conv_id = c.conv_id""")
 
 # ----------------------------------------------------------------- S6 JSON export
 _qs_json = ", ".join(f"'{d}', json_object('score', {d}_score, 'reason', {d}_reason)" for d in S.DIMENSIONS)

@@ -63,7 +63,7 @@ def q_stream_upload(spark, sf_dir):
     run_upload_stream(spark, f"{base}/in", f"{base}/store", f"{base}/out", infer.ReplayResponder(),
                       f"{base}/ckpt", ingest_ts=F.to_timestamp(F.lit("2026-01-02 03:04:05")),
                       files_per_trigger=2, extra_schema="doc_key string, recorded_reply string")
-    return spark.read.parquet(f"{base}/out/responses").select("doc_key", "call_id", "cached", "overall_score")
+    return spark.read.parquet(f"{base}/out/responses").select("doc_key", "call_id", "cached", "overall_score", "status")
 
 
 # ----------------------------------------------------------------- rules analyzer

@@ -35,9 +35,9 @@ def q_list_filtered(spark, sf_dir):
 
 @register("list_sorted")
 def q_list_sorted(spark, sf_dir):
-    """Top 10 of the list by overall score (descending, NULLs last): the limit is the report."""
+    """The whole list by overall score (descending, NULLs last)."""
     rows = views.list_projection(stored_calls(spark, sf_dir))
-    return views.sort_calls(rows, "overall_score", descending=True).limit(10).select("call_id", "overall_score")
+    return views.sort_calls(rows, "overall_score", descending=True).select("call_id", "overall_score")
 
 
 @register("filter_counts")
@@ -84,7 +84,7 @@ def q_detail_labels(spark, sf_dir):
 @register("call_lookup")
 def q_call_lookup(spark, sf_dir):
     ev = FX.table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
-    keys = ev.select(F.concat(F.lit("CALL_"), F.lpad((F.col("event_id") % 150).cast("string"), 6, "0")).alias("call_id"))
+    keys = ev.select(F.concat(F.lit("CALL_"), FX.padded(F.col("event_id") % 150, 6)).alias("call_id"))
     return views.lookup(stored_calls(spark, sf_dir), keys).select("call_id", "lead_name", "overall_score")
 
 
@@ -294,8 +294,8 @@ def _edits(spark, sf_dir) -> DataFrame:
             cand = F.element_at(F.array(*[F.lit(o) for o in opts]), ((eid / len(fields)).cast("long") % len(opts) + 1).cast("int"))
         value = F.when(field == f, cand).otherwise(value)
     value = F.coalesce(value, F.lit("x"))
-    return e.select(F.concat(F.lit("CALL_"), F.lpad((eid % 100).cast("string"), 6, "0")).alias("call_id"),
-                    field.alias("field"), value.alias("value"), F.col("ts").cast("timestamp").alias("edited_at"))
+    return e.select(F.concat(F.lit("CALL_"), FX.padded(eid % 100, 6)).alias("call_id"),
+                    field.alias("field"), value.alias("value"), F.col("ts").cast("timestamp").alias("edited_at"), eid.alias("edit_id"))
 
 
 @register("apply_edits")

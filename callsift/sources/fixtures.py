@@ -71,9 +71,14 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def padded(c, width: int) -> F.Column:
+    """Zero-padded decimal text; longer numbers stay whole."""
+    text = c.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def _mmss(c) -> F.Column:
-    return F.concat(F.lpad(F.floor(c / 60).cast("int").cast("string"), 2, "0"), F.lit(":"),
-                    F.lpad((c % 60).cast("int").cast("string"), 2, "0"))
+    return F.concat(padded(F.floor(c / 60), 2), F.lit(":"), padded((c % 60).cast("int"), 2))
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +114,8 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
           .join(k, k["c_custkey"] == (x["conv_id"] * 17) % N_LEADS)
           .join(e, e["event_id"] == x["conv_id"]))
     return j.select(
-        F.concat(F.lit("CALL_"), F.lpad(F.col("conv_id").cast("string"), 6, "0")).alias("call_id"),
-        F.concat(F.lit("TC_"), F.lpad(F.col("s_suppkey").cast("string"), 3, "0")).alias("telecaller_id"),
+        F.concat(F.lit("CALL_"), padded(F.col("conv_id"), 6)).alias("call_id"),
+        F.concat(F.lit("TC_"), padded(F.col("s_suppkey"), 3)).alias("telecaller_id"),
         F.col("s_name").alias("telecaller_name"),
         F.concat(F.lit("LEAD_"), F.col("c_custkey").cast("string")).alias("lead_id"),
         F.col("c_name").alias("lead_name"),

@@ -9,38 +9,21 @@
   4. merges the new calls into the store as a new snapshot (M1) and appends
      the response records for the epoch.
 The store itself is the dedup memory (no streaming state), so dedup has no
-time limit, and a replayed epoch rewrites the same snapshot and response
-files (overwrite by epoch id) instead of adding rows twice.
+time limit.  A replayed epoch starts from the newest snapshot that is not its
+own, finds its model replies in the attempt log instead of asking again, and
+overwrites its responses; rejected and failed uploads are answered with a status.
 """
 
 from __future__ import annotations
 
 import datetime
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..operators import dedup, infer, ingest, store
-
-SNAP_PREFIX = "snap-"
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def latest_snapshot(spark: SparkSession, root: str) -> str | None:
-    """The newest committed snapshot folder (written with a _SUCCESS marker), or None."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()
-                   and s.getPath().getName().startswith(SNAP_PREFIX)
-                   and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    return f"{root.rstrip('/')}/{names[-1]}" if names else None
-
+from ..operators.store import latest_snapshot
 
 def read_store(spark: SparkSession, root: str) -> DataFrame | None:
     snap = latest_snapshot(spark, root)
@@ -48,10 +31,13 @@ def read_store(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def process_uploads(spark: SparkSession, payloads: DataFrame, store_root: str, responder: infer.ResponderFactory,
-                    epoch: int, ingest_ts: Column, out_root: str, partitions: int | None = None) -> None:
+                    epoch: int, ingest_ts: Column, out_root: str, partitions: int | None = None,
+                    min_interval_sec: float = 0.0) -> None:
     """One micro-batch of uploads (also usable as a plain batch job)."""
-    rows, _rejected = ingest.upload_rows(payloads, ingest_ts)
-    current = read_store(spark, store_root)
+    rows, rejected = ingest.upload_rows(payloads, ingest_ts)
+    tag = f"{zlib.crc32(out_root.encode()):08x}.{epoch}"  # this epoch of this stream
+    base = latest_snapshot(spark, store_root, but=tag)
+    current = spark.read.parquet(base) if base else None
     if current is not None:
         looked = dedup.cache_lookup(rows, current, created="created_at")
     else:
@@ -61,9 +47,10 @@ def process_uploads(spark: SparkSession, payloads: DataFrame, store_root: str, r
     inputs = fresh.groupBy("transcript_hash").agg(
         F.min_by(F.struct("transcript", *[c for c in ["recorded_reply"] if c in fresh.columns]), F.col("call_id")).alias("_r")
     ).select("transcript_hash", "_r.*")
-    log = infer.infer_with_retries(spark, inputs, responder, wait_sec=0.0, partitions=partitions,
+    log = infer.infer_with_retries(spark, inputs, responder, wait_sec=0.0, partitions=partitions, min_interval_sec=min_interval_sec,
                                    log_dir=f"{out_root.rstrip('/')}/attempts/epoch={epoch}")
-    res = infer.final_results(spark, log).filter("parse_status = 'ok'")
+    answers = infer.final_results(spark, log)
+    res = answers.filter("parse_status = 'ok'")
     firsts = dedup.in_batch_duplicates(fresh, "transcript_hash", "doc_key").filter("is_first")
     new_calls = firsts.join(res, "transcript_hash").select(
         "call_id", "telecaller_id", "telecaller_name", "lead_id", "lead_name", "duration_sec", "ts", "transcript",
@@ -72,26 +59,28 @@ def process_uploads(spark: SparkSession, payloads: DataFrame, store_root: str, r
         merged = new_calls.withColumns({"created_at": ingest_ts, "call_date": F.to_date("ts")})
     else:
         merged = store.merge_calls(current, new_calls, ingest_ts)
-    snap = f"{store_root.rstrip('/')}/{SNAP_PREFIX}{epoch:012d}"
-    merged.write.mode("overwrite").partitionBy("call_date").parquet(snap)
+    snap = store.write_snapshot(merged, store_root, tag)
     # responses: fresh uploads answered by their hash's analysis, cached ones by the stored call
     stored_now = spark.read.parquet(snap)
     # a later upload of a transcript first seen in this same batch is answered from that first one
     marked = dedup.in_batch_duplicates(fresh, "transcript_hash", "doc_key")
-    fresh_out = marked.join(res, "transcript_hash").select(
-        "doc_key", F.concat(F.lit("UPLOAD_"), F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.lit("_"),
-                            F.substring("transcript_hash", 1, 8)).alias("call_id"),
-        (~F.col("is_first")).alias("cached"), "overall_score")
+    ok = F.col("parse_status") == "ok"
+    fresh_out = marked.join(answers, "transcript_hash").select(
+        "doc_key", F.when(ok, F.concat(F.lit("UPLOAD_"), F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.lit("_"), "transcript_hash")).alias("call_id"),
+        (ok & ~F.col("is_first")).alias("cached"), "overall_score", F.col("parse_status").alias("status"))
     cached_out = looked.filter("cached").join(
         stored_now.select(F.col("call_id").alias("cached_call_id"), "overall_score"), "cached_call_id").select(
-        "doc_key", F.col("cached_call_id").alias("call_id"), F.lit(True).alias("cached"), "overall_score")
-    (fresh_out.unionByName(cached_out).withColumn("epoch", F.lit(epoch))
+        "doc_key", F.col("cached_call_id").alias("call_id"), F.lit(True).alias("cached"), "overall_score", F.lit("ok").alias("status"))
+    rejected_out = rejected.select("doc_key", F.lit(None).cast("string").alias("call_id"), F.lit(False).alias("cached"),
+                                   F.lit(None).cast("double").alias("overall_score"), F.lit("rejected").alias("status"))
+    (fresh_out.unionByName(cached_out).unionByName(rejected_out).withColumn("epoch", F.lit(epoch))
      .write.mode("overwrite").parquet(f"{out_root.rstrip('/')}/responses/epoch={epoch}"))
 
 
 def run_upload_stream(spark: SparkSession, payload_dir: str, store_root: str, out_root: str,
                       responder: infer.ResponderFactory, checkpoint: str, ingest_ts: Column | None = None,
-                      files_per_trigger: int | None = None, extra_schema: str = "") -> None:
+                      files_per_trigger: int | None = None, extra_schema: str = "",
+                      min_interval_sec: float = 0.0) -> None:
     """Process every payload file present now (``availableNow``) and stop."""
     schema = S.PAYLOAD.simpleString()[len("struct<"):-1].replace(":", " ")
     if extra_schema:
@@ -105,7 +94,7 @@ def run_upload_stream(spark: SparkSession, payload_dir: str, store_root: str, ou
         # one literal per micro-batch: a recomputed task sees the same ingest time
         now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
         ts = ingest_ts if ingest_ts is not None else F.to_timestamp(F.lit(now))
-        process_uploads(spark, df, store_root, responder, epoch, ts, out_root)
+        process_uploads(spark, df, store_root, responder, epoch, ts, out_root, min_interval_sec=min_interval_sec)
 
     q = (src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

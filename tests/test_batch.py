@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from callsift.operators import infer, ingest
 from callsift.operators.batch import run_batch
+from callsift.operators.store import apply_edits, latest_snapshot, write_snapshot
+from callsift.plans.queries import stored_calls
 from callsift.session import work_dir
 from callsift.sources import fixtures as FX
 
@@ -27,6 +29,44 @@ def test_batch_run_twice_adds_nothing(spark):
     assert second.get("skipped") == n1 and second.get("ok", 0) == 0
 
 
+def test_repeated_ids_are_stored_once_and_batch_snapshots_are_in_order(spark):
+    root = work_dir(spark, f"test-batch-{uuid.uuid4().hex[:8]}")
+    c = FX.calls(spark, SF_SMALL).join(FX.replies(spark, SF_SMALL), "conv_id").withColumnRenamed("reply", "recorded_reply")
+    late = c.withColumns({"ts": F.expr("ts + interval 1 hour"), "transcript": F.concat("transcript", F.lit(" again"))})
+    # the first row of every third id fails, its repeat validates
+    early = c.withColumn("recorded_reply", F.when(F.col("conv_id") % 3 == 0, F.lit("no")).otherwise(F.col("recorded_reply")))
+    ts = F.to_timestamp(F.lit("2026-01-02 03:04:05"))
+    snap, summary = run_batch(spark, early.unionByName(late), None, root, infer.ReplayResponder(), ts, extra=["recorded_reply"])
+    got = dict(tuple(r) for r in summary.collect())
+    alone, plain = run_batch(spark, c, None, root + "b", infer.ReplayResponder(), ts, extra=["recorded_reply"])
+    plain = dict(tuple(r) for r in plain.collect())
+    stored = spark.read.parquet(snap)
+    third = spark.read.parquet(alone).filter("cast(substring(call_id, 6) as int) % 3 = 0").count()
+    assert stored.count() == stored.select("call_id").distinct().count() == got["ok"] == plain["ok"]
+    assert got["fail"] == 2 * plain["fail"] + third and got["skipped"] == plain["ok"] - third
+    assert stored.filter("transcript like '% again'").count() == third
+    for _ in range(3):
+        snap = write_snapshot(stored.limit(1), root)
+        assert latest_snapshot(spark, root) == snap
+
+
+def test_an_invalid_edit_hides_no_earlier_valid_one(spark):
+    calls = stored_calls(spark, SF_SMALL)
+    some = calls.select("call_id").first()[0]
+    path = "extraction.timeline"
+    edits = spark.createDataFrame([(some, path, "immediate", "2026-01-01 00:00:00", 1), (some, path, "6_to_12_months", "2026-01-01 00:00:00", 2),
+                                   (some, path, "bogus", "2026-01-02 00:00:00", 3), ("nobody", path, "immediate", "2026-01-02 00:00:00", 4)],
+                                  "call_id string, field string, value string, edited_at string, edit_id long")
+    out, bad = apply_edits(calls, edits.withColumn("edited_at", F.to_timestamp("edited_at")))
+    assert out.filter(F.col("call_id") == some).select("analysis.extraction.timeline", "edited").first() == ("6_to_12_months", True)
+    assert sorted(r["edit_id"] for r in bad.collect()) == [3, 4]
+
+
+def test_long_numbers_are_not_cut(spark):
+    rows = spark.createDataFrame([(7,), (1234567,), (12345678,)], "n long").select(FX.padded(F.col("n"), 6)).collect()
+    assert [r[0] for r in rows] == ["000007", "1234567", "12345678"]
+
+
 def test_read_labels(spark):
     d = tempfile.mkdtemp(prefix="callsift-labels-")
     rows = [{"transcript": "t1", "call_id": "C1", "label": {"extraction": {"unit_configuration": "2BHK",

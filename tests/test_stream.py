@@ -21,7 +21,7 @@ def _payloads(spark):
 
 
 def _rows(df):
-    return sorted(tuple(r) for r in df.select("doc_key", "call_id", "cached", "overall_score").collect())
+    return sorted((tuple(r) for r in df.select("doc_key", "call_id", "cached", "overall_score", "status").collect()), key=str)
 
 
 def test_stream_replay_adds_nothing_and_equals_batch(spark):
@@ -39,9 +39,29 @@ def test_stream_replay_adds_nothing_and_equals_batch(spark):
     run_upload_stream(spark, f"{base}/in", f"{base}/store", f"{base}/out", **args)
     assert _rows(spark.read.parquet(f"{base}/out/responses")) == out1
     assert latest_snapshot(spark, f"{base}/store") == snap1
-    # one distinct stored call per validated transcript
-    assert n_store == len({r[1] for r in out1}) and all(r[2] for r in out1 if r[0].endswith("#2"))
+    # every payload is answered; one distinct stored call per validated transcript
+    assert len(out1) == first.count() + again.count()
+    assert n_store == len({r[1] for r in out1 if r[4] == "ok"}) and all(r[2] for r in out1 if r[0].endswith("#2") and r[4] == "ok")
+    assert all(r[1] is None and not r[2] for r in out1 if r[4] != "ok")
     # the same payloads as one batch give the same answers
     process_uploads(spark, first.unionByName(again), f"{base}/bstore", infer.ReplayResponder(), 0,
                     F.to_timestamp(F.lit(TS)), f"{base}/bout")
     assert _rows(spark.read.parquet(f"{base}/bout/responses")) == out1
+
+
+def test_replayed_epoch_changes_nothing(spark):
+    base = work_dir(spark, f"test-stream-{uuid.uuid4().hex[:8]}")
+    first, again = _payloads(spark)
+    blank = first.limit(1).withColumns({"doc_key": F.lit("blank"), "transcript": F.lit(" ")})
+    args = (infer.ReplayResponder(),)
+
+    def run(df, epoch):
+        process_uploads(spark, df, f"{base}/store", *args, epoch, F.to_timestamp(F.lit(TS)), f"{base}/out")
+        store = sorted(tuple(r) for r in spark.read.parquet(latest_snapshot(spark, f"{base}/store")).select("call_id", "overall_score").collect())
+        return store, _rows(spark.read.parquet(f"{base}/out/responses")), spark.read.parquet(f"{base}/out/attempts").count()
+
+    one = run(first.unionByName(blank), 0)
+    assert run(first.unionByName(blank), 0) == one
+    assert [r[4] for r in one[1] if r[0] == "blank"] == ["rejected"]
+    two = run(again, 1)
+    assert run(again, 1) == two and two[0] == one[0]
