@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import schema as S
 from ..functions.text import transcript_hash
 from . import dedup, infer, ingest, store
 
@@ -21,15 +22,14 @@ def run_batch(spark: SparkSession, records: DataFrame, store_df: DataFrame | Non
               min_interval_sec: float = 0.0) -> tuple[str | None, DataFrame]:
     """Process new records; return (path of the new snapshot or None, summary counts).
 
-    ``records`` has the call-record columns with ``ts`` as a timestamp; ``extra``
+    ``records`` has the call-record columns, the time as instant ``ts`` or as ISO text ``timestamp``; ``extra``
     names pass-through columns the responder reads (e.g. a recorded reply).  Of the rows of
     one call_id, in order of time, the first that validates is stored: those before it
     failed, those after it are skipped.
     """
-    valid, bad = ingest.split_required(records.withColumnRenamed("ts", "timestamp"),
-                                       required=["call_id", "telecaller_id", "telecaller_name", "lead_id",
-                                                 "lead_name", "duration_sec", "timestamp", "transcript"])
-    valid = ingest.first_n(valid.withColumnRenamed("timestamp", "ts"), limit)
+    valid, bad = ingest.split_required(ingest.typed_time(records), required=[
+        "ts" if c == "timestamp" else c for c in S.CALL_REQUIRED])
+    valid = ingest.first_n(valid, limit)
     todo = valid if (force or store_df is None) else dedup.skip_seen(valid, store_df)
     skipped = valid.join(todo.select("call_id"), "call_id", "left_anti") if store_df is not None else None
     todo = todo.withColumn("transcript_hash", transcript_hash("transcript"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
+from ..functions.coerce import coerce_budget
 from ..functions.text import blank_to_null, duration_from_transcript, transcript_hash
 
 
@@ -19,9 +20,24 @@ def read_jsonl(spark: SparkSession, path: str, schema=S.CALL_RECORD) -> DataFram
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled JSONL (S3): transcript, optional call_id, gold analysis (budget may be the
-    string "not_discussed", which the typed struct reads as NULL)."""
-    return read_jsonl(spark, path, S.LABEL_RECORD)
+    """Labelled JSONL (S3): transcript, optional call_id, gold analysis with a typed budget.
+
+    ``budget_given`` tells "not_discussed" (true, NULL budget) from a missing or unusable budget (false).
+    """
+    raw = read_jsonl(spark, path, S.LABEL_RECORD)
+    gold = F.col("label")["extraction"]["budget_range"]
+    typed = coerce_budget(gold)
+    said = F.try_variant_get(gold, "$", "string") == F.lit("not_discussed")
+    return raw.withColumns({"budget_given": typed.isNotNull() | F.coalesce(said, F.lit(False)),
+                            "label": F.col("label").withField("extraction.budget_range", typed)})
+
+
+def typed_time(records: DataFrame) -> DataFrame:
+    """Call records with the instant ``ts`` read from the text ``timestamp`` (any ISO offset), which is kept;
+    a text that is no time gives a NULL ``ts`` and is quarantined by :func:`split_required` (S1)."""
+    if "ts" in records.columns or "timestamp" not in records.columns:
+        return records
+    return records.withColumn("ts", F.col("timestamp").try_cast("timestamp"))
 
 
 def split_required(df: DataFrame, required: list[str] = S.CALL_REQUIRED) -> tuple[DataFrame, DataFrame]:

@@ -7,51 +7,42 @@ executor.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema as S
+from ..functions.text import transcript_hash
+from ..session import work_dir
 
 # ------------------------------------------------------------------ A3 percentiles
 
 
-def rank_rule_percentiles(df: DataFrame, value: str, qs: list[float],
-                          widths: tuple[float, ...] = (1024.0, 1.0)) -> DataFrame:
+def rank_rule_percentiles(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
     """(q, value_at_q) with the reference rule: sorted[min(int(q*n), n-1)] (Q7).
 
-    Exact, by coarse-to-fine selection; no step holds an unbounded set in one task:
-      1. n and the wanted 0-based position per q (one row per q);
-      2. counts per coarse bucket floor(value / widths[0]); the running count over
-         them is a window over at most (value range / widths[0]) rows, and a range
-         join with the broadcast 1-row-per-q table picks each q's bucket;
-      3. for each finer width, counts per finer bucket only inside each q's chosen
-         bucket (at most widths[i-1] / widths[i] rows per q), window partitioned by q;
-      4. last, counts per distinct value inside each q's 1-ms bucket.
-    Every count is a grouped aggregate that combines map-side, whatever the skew.
+    One scan: counts per distinct value (combined map-side) are dealt by range of value
+    and written once.  The ranges' totals, one row each, give every wanted position its
+    range; the running count then orders the distinct values within those ranges only.
+    The one window without a partition runs over the totals (one row per shuffle partition).
     """
-    v = df.select(F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    n = v.agg(F.count(F.lit(1)).alias("_n"))
-    targets = n.select(F.explode(F.array(*[F.lit(q) for q in qs])).alias("q"), "_n").select(
-        "q", F.least(F.floor(F.col("q") * F.col("_n")), F.col("_n") - 1).cast("long").alias("_idx"))
-    w0 = widths[0]
-    hist = v.groupBy(F.floor(F.col("_v") / F.lit(w0)).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.select("_k", (F.sum("_c").over(w) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_upto"))
-    t = F.broadcast(targets)
-    hit = cum.join(t, (t["_idx"] >= cum["_before"]) & (t["_idx"] < cum["_upto"])).select(
-        "q", "_k", (F.col("_idx") - F.col("_before")).alias("_local"))
-    prev = w0
-    for width in list(widths[1:]) + [None]:
-        inside = (v.withColumn("_bp", F.floor(F.col("_v") / F.lit(prev)))
-                  .join(F.broadcast(hit.withColumnRenamed("_k", "_bp")), "_bp"))
-        key = F.floor(F.col("_v") / F.lit(width)) if width else F.col("_v")
-        h = inside.groupBy("q", "_local", key.alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
-        wq = Window.partitionBy("q").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-        c = h.select("q", "_k", "_local", (F.sum("_c").over(wq) - F.col("_c")).alias("_before"),
-                     F.sum("_c").over(wq).alias("_upto"))
-        hit = c.filter((F.col("_local") >= F.col("_before")) & (F.col("_local") < F.col("_upto"))).select(
-            "q", "_k", (F.col("_local") - F.col("_before")).alias("_local"))
-        prev = width
-    return hit.select("q", F.col("_k").alias("value"))
+    spark = df.sparkSession
+    counts = (df.select(F.col(value).alias("_v")).filter(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+              .repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
+    path = f"{work_dir(spark, 'percentiles')}/{uuid.uuid4().hex}"
+    counts.write.parquet(path)
+    counts = spark.read.parquet(path)
+    upto = Window.orderBy("_p")
+    ranges = counts.groupBy("_p").agg(F.sum("_c").alias("_t")).withColumn("_upto", F.sum("_t").over(upto))
+    ranges = ranges.withColumn("_n", F.sum("_t").over(Window.partitionBy()))
+    at = F.least(F.floor(F.col("q") * F.col("_n")), F.col("_n") - 1)
+    wanted = (ranges.withColumn("q", F.explode(F.array(*[F.lit(q) for q in qs]))).withColumn("_at", at)
+              .filter((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_t")))
+              .select("_p", "q", (F.col("_at") - F.col("_upto") + F.col("_t")).alias("_local")))
+    inside = counts.join(F.broadcast(wanted), "_p")  # one row per wanted q
+    c = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy("q").orderBy("_v")))
+    return c.filter((F.col("_local") < F.col("_upto")) & (F.col("_local") >= F.col("_upto") - F.col("_c"))).select(
+        "q", F.col("_v").alias("value"))
 
 
 # ------------------------------------------------------------------ A2 A4 telemetry
@@ -95,13 +86,33 @@ def _lower_sorted(c: Column) -> Column:
     return F.array_sort(F.transform(c, lambda x: F.lower(x)))
 
 
-def field_matches(pred: str = "pred", gold: str = "gold") -> dict[str, Column]:
+def pair_labels(preds: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each label with its prediction (J4): that of its call_id, else that of the first call with its transcript.
+
+    preds: call_id, transcript_hash, pred, parse_status; labels: call_id, transcript, label, budget_given.
+    A label that meets neither has the status ``no_prediction``.
+    """
+    keyed = labels.withColumn("transcript_hash", transcript_hash("transcript"))
+    # labels without an id are spread by their hash; no call_id begins with a blank
+    keyed = keyed.withColumn("_key", F.coalesce("call_id", F.concat(F.lit(" "), "transcript_hash")))
+    own = preds.select(F.col("call_id").alias("_key"), F.col("call_id").alias("_own"))
+    same = preds.groupBy("transcript_hash").agg(F.min("call_id").alias("_same"))
+    # ids first, so that the predictions are read and moved once
+    found = (keyed.join(own, "_key", "left").join(same, "transcript_hash", "left")
+             .select("call_id", "transcript_hash", F.col("label").alias("gold"), "budget_given",
+                     F.coalesce("_own", "_same", "_key").alias("_pair")))
+    answers = preds.select(F.col("call_id").alias("_pair"), "pred", "parse_status")
+    return found.join(answers, "_pair", "left").drop("_pair").fillna("no_prediction", ["parse_status"])
+
+
+def field_matches(pred: str = "pred", gold: str = "gold", given: str | None = None) -> dict[str, Column]:
     """Per field: does the prediction equal the gold label (V12)?
 
     Lists compare as case-insensitive sorted multisets (NULL prediction = [],
     missing gold list = [], NULL gold list never matches); the budget union
     compares both bounds (NULL = not discussed on both sides); scalars compare
-    exactly and a missing gold scalar never matches.
+    exactly and a missing gold scalar never matches.  ``given`` names a boolean
+    column that is false where the gold budget is missing, which never matches.
     """
     p, g = F.col(pred), F.col(gold)
     pe, ge = p["extraction"], g["extraction"]
@@ -112,6 +123,8 @@ def field_matches(pred: str = "pred", gold: str = "gold") -> dict[str, Column]:
     gl = _lower_sorted(F.coalesce(ge["preferred_locations"], F.array().cast("array<string>")))
     out["preferred_locations"] = F.coalesce(pl == gl, F.lit(False))
     out["budget_range"] = pe["budget_range"].eqNullSafe(ge["budget_range"])
+    if given:
+        out["budget_range"] = out["budget_range"] & F.col(given)
     for f in ("last_stage_reached", "recommended_next_action"):
         out[f] = F.coalesce(p[f] == g[f], F.lit(False))
     return out
@@ -119,7 +132,7 @@ def field_matches(pred: str = "pred", gold: str = "gold") -> dict[str, Column]:
 
 def field_accuracy(pairs: DataFrame) -> DataFrame:
     """(field, correct, total, pct) over prediction/gold pairs that produced output (A5, Q17)."""
-    m = field_matches()
+    m = field_matches(given="budget_given" if "budget_given" in pairs.columns else None)
     agg = pairs.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(f"c_{f}") for f, c in m.items()])
     stack = ", ".join(f"'{f}', c_{f}" for f in FIELDS)
     long = agg.select("total", F.expr(f"stack({len(FIELDS)}, {stack}) as (field, correct)"))

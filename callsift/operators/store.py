@@ -9,10 +9,10 @@ call_date so date-bounded reads prune partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schema as S
-from ..functions.coerce import coerce_score_text, overall_score, score_quarters
+from ..functions.coerce import coerce_score_text, overall_score, score_quarters, with_boundary
 from ..functions.text import pystrip
 
 UPDATE_COLS = ["analysis", "overall_score", "score_quarters", "transcript_hash"]
@@ -73,7 +73,8 @@ def write_snapshot(df: DataFrame, root: str, tag: str = "batch") -> str:
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A snapshot as stored calls; one without any call is an empty table."""
+    return spark.read.schema(S.STORED_CALL).parquet(path)
 
 
 # ---------------------------------------------------------------- edits
@@ -98,7 +99,8 @@ def latest_edits(edits: DataFrame) -> DataFrame:
 
 
 def _valid_edit() -> Column:
-    f, v = F.col("field"), pystrip(F.col("value"))
+    """May the stripped value ``_value`` be written to ``field``?"""
+    f, v = F.col("field"), F.col("_value")
     ok = F.lit(False)
     for path, allowed in EDITABLE.items():
         if allowed == "score":
@@ -124,18 +126,19 @@ def apply_edits(store: DataFrame, edits: DataFrame, keep_edit_columns: bool = Fa
     known = member.filter(F.col("_known").isNotNull()).drop("_known")
     unknown = (member.filter(F.col("_known").isNull()).drop("_known")
                .withColumn("reason", F.lit("call not found")))
-    flagged = known.withColumn("_ok", _valid_edit())
+    # the check is not pushed below its inputs, where it would repeat their expressions
+    flagged = with_boundary(with_boundary(known, {"_value": pystrip(F.col("value"))}), {"_ok": _valid_edit()}).drop("_value")
     bad = flagged.filter(~F.col("_ok")).drop("_ok").withColumn("reason", F.lit("invalid field or value"))
     good = latest_edits(flagged.filter("_ok").drop("_ok"))
     pivot = good.groupBy("call_id").agg(
         *[F.max(F.when(F.col("field") == p, pystrip(F.col("value")))).alias(_col(p)) for p in EDITABLE])
     j = store.join(pivot.withColumn("_edited", F.lit(True)), "call_id", "left")
-    a = F.col("analysis")
-    for path, allowed in EDITABLE.items():
-        v = F.col(_col(path))
-        new = coerce_score_text(v) if allowed == "score" else v
-        a = a.withField(path, F.when(v.isNotNull(), new).otherwise(_get(F.col("analysis"), path)))
-    out = j.withColumn("analysis", a)
+    scores = {p: coerce_score_text(F.col(_col(p))) for p, allowed in EDITABLE.items() if allowed == "score"}
+    j = with_boundary(j, {f"{_col(p)}_n": F.when(F.col(_col(p)).isNotNull(), c) for p, c in scores.items()})
+    new = {p: F.col(f"{_col(p)}_n" if p in scores else _col(p)) for p in EDITABLE}
+    edited = _edited_struct(S.ANALYSIS, F.col("analysis"), new)
+    out = with_boundary(j, {"_analysis": F.when(F.col("analysis").isNotNull(), edited)})
+    out = out.withColumn("analysis", F.col("_analysis")).drop("_analysis", *[f"{_col(p)}_n" for p in scores])
     out = out.withColumns({"score_quarters": score_quarters("analysis"), "overall_score": overall_score("analysis"),
                            "edited": F.coalesce(F.col("_edited"), F.lit(False))})
     out = out.drop("_edited")
@@ -153,10 +156,19 @@ def _col(path: str) -> str:
     return "_e_" + path.replace(".", "__")
 
 
-def _get(c: Column, path: str) -> Column:
-    for p in path.split("."):
-        c = c[p]
-    return c
+def _edited_struct(schema: T.StructType, c: Column, new: dict[str, Column], prefix: str = "") -> Column:
+    """The struct ``c`` built once, with the non-NULL new values of the editable paths."""
+    fields = []
+    for f in schema.fields:
+        path = prefix + f.name
+        if path in new:
+            value = F.coalesce(new[path], c[f.name])
+        elif any(p.startswith(path + ".") for p in new):
+            value = _edited_struct(f.dataType, c[f.name], new, path + ".")
+        else:
+            value = c[f.name]
+        fields.append(value.alias(f.name))
+    return F.struct(*fields)
 
 
 def reassign(store: DataFrame, selection: DataFrame, telecaller_id: str, telecaller_name: str) -> DataFrame:

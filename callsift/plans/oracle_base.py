@@ -7,7 +7,7 @@ DuckDB's RE2 regexes and string literals keep backslashes literally.
 
 from __future__ import annotations
 
-from ..sources.fixtures import N_LEADS, N_TELECALLERS, PHRASES
+from ..sources.fixtures import PHRASES
 
 PY_SPACE_RE2 = r"[\t\n\x0B\f\r \x1c-\x1f\x85\p{Z}]"
 
@@ -50,8 +50,8 @@ CTE = {
          'TC_' || {pad_sql('s.s_suppkey', 3)} AS telecaller_id, s.s_name AS telecaller_name,
          'LEAD_' || CAST(k.c_custkey AS VARCHAR) AS lead_id, k.c_name AS lead_name,
          x.duration_sec, e.ts, x.transcript, x.conv_id
-  FROM tx x JOIN supplier s ON s.s_suppkey = x.conv_id % {N_TELECALLERS}
-            JOIN customer k ON k.c_custkey = (x.conv_id * 17) % {N_LEADS}
+  FROM tx x JOIN supplier s ON s.s_suppkey = x.conv_id % (SELECT max(s_suppkey) + 1 FROM supplier)
+            JOIN customer k ON k.c_custkey = (x.conv_id * 17) % (SELECT max(c_custkey) + 1 FROM customer)
             JOIN events e ON e.event_id = x.conv_id)""",
     "bodies": """bodies AS (
   SELECT conv_id, '{"extraction": {"unit_configuration": '

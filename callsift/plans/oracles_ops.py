@@ -10,6 +10,7 @@ from .oracle_validate import validated_cte
 from .oracles import oracle
 
 INGEST_TS = "2026-01-02 03:04:05"
+N_CONV = "(SELECT max(conv_id) + 1 FROM conversations)"
 SUMQ = "(v.discovery_score + v.pitch_score + v.objection_handling_score + v.next_step_score)"
 STORED = ("stored AS (SELECT c.*, " + hash_sql("c.transcript") + " AS transcript_hash, v.* EXCLUDE (conv_id), "
           f"{SUMQ} AS score_quarters, CAST({SUMQ} AS DOUBLE) / 4 AS overall_score "
@@ -77,7 +78,7 @@ oracle("detail_labels", with_stored() + f"""SELECT call_id, lead_name || ' · '
 FROM stored""")
 
 oracle("call_lookup", with_stored() + "SELECT call_id, lead_name, overall_score FROM stored WHERE call_id IN "
-       "(SELECT 'CALL_' || " + pad_sql('event_id % 150', 6) + " FROM events WHERE event_type = 'error')")
+       "(SELECT 'CALL_' || " + pad_sql('event_id % ' + N_CONV, 6) + " FROM events WHERE event_type = 'error')")
 
 oracle("call_count", with_stored() + "SELECT CAST(count(*) AS BIGINT) AS n FROM stored")
 
@@ -136,6 +137,28 @@ oracle("eval_dimensions", with_ctes(["replies"], validated_cte("replies") + [_PA
 oracle("eval_failures", with_ctes(["replies"], validated_cte("replies") + [_PAIRS]) +
        "SELECT parse_status, CAST(count(*) AS BIGINT) AS n FROM pairs GROUP BY parse_status")
 
+_LABELS = [
+    "preds AS (SELECT c.call_id, c.conv_id, " + hash_sql("c.transcript") + " AS th, v.* EXCLUDE (conv_id) FROM calls c "
+    "JOIN validated v ON v.conv_id = c.conv_id)",
+    "same AS (SELECT * FROM preds QUALIFY row_number() OVER (PARTITION BY th ORDER BY call_id) = 1)",
+    # a label without a call_id is paired with the first call of its transcript
+    "lp AS (SELECT l.call_id AS own_id, l.conv_id AS g, p.* FROM preds l JOIN preds p ON p.call_id = l.call_id WHERE l.conv_id % 4 <> 0 "
+    "UNION ALL SELECT NULL, l.conv_id, p.* FROM preds l JOIN same p ON p.th = l.th WHERE l.conv_id % 4 = 0)",
+]
+_LABEL_MATCH = {
+    "unit_configuration": "unit_configuration = '2BHK'", "timeline": "timeline = 'immediate'",
+    "budget_range": "CASE g % 3 WHEN 0 THEN false WHEN 1 THEN budget_min IS NULL "
+                    "ELSE coalesce(budget_min = 0 AND budget_max = 60, false) END",
+    "preferred_locations": "len(preferred_locations) = 0", "site_visit_outcome": "false",
+    "last_stage_reached": "last_stage_reached = 'pitch'", "recommended_next_action": "recommended_next_action = 'mark_cold'",
+}
+oracle("label_accuracy", with_ctes(["calls", "replies"], validated_cte("replies") + _LABELS) + " UNION ALL ".join(
+    f"SELECT '{f}' AS field, CAST(count(*) FILTER (WHERE {m}) AS BIGINT) AS correct, CAST(count(*) AS BIGINT) AS total, "
+    f"CASE WHEN count(*) > 0 THEN round_even(CAST(count(*) FILTER (WHERE {m}) AS DOUBLE) * 100 / count(*), 1) END AS pct "
+    f"FROM lp WHERE parse_status = 'ok'" for f, m in _LABEL_MATCH.items()))
+oracle("label_failures", with_ctes(["calls", "replies"], validated_cte("replies") + _LABELS) +
+       "SELECT own_id AS call_id, th AS transcript_hash, parse_status FROM lp WHERE parse_status <> 'ok'")
+
 oracle("eval_labels", """WITH j AS (SELECT l.quality, l.toxic, d.n_chars, d.text FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
 a AS (SELECT count(*) AS total, count(*) FILTER (WHERE CAST(n_chars >= 300 AS INTEGER) = quality) AS cq,
   count(*) FILTER (WHERE CAST(contains(lower(text), 'hate') AS INTEGER) = toxic) AS ct FROM j)
@@ -228,7 +251,7 @@ for _f, _allowed in ST.EDITABLE.items():
         _val_parts.append(f"WHEN fld = '{_f}' THEN [{', '.join(q(o) for o in _opts)}][(event_id // {_nf}) % {len(_opts)} + 1]")
 _EDITS = [
     f"e0 AS (SELECT event_id, ts, {_field_case} AS fld FROM events)",
-    "edits AS (SELECT 'CALL_' || " + pad_sql('event_id % 100', 6) + " AS call_id, fld AS field, event_id, "
+    "edits AS (SELECT 'CALL_' || " + pad_sql('event_id % ' + N_CONV, 6) + " AS call_id, fld AS field, event_id, "
     f"coalesce(CASE {' '.join(_val_parts)} END, 'x') AS value, ts AS edited_at FROM e0)",
 ]
 _NUM = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"

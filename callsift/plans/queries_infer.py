@@ -21,7 +21,7 @@ def _inputs(spark, sf_dir):
 
 def _run(spark, sf_dir, responder):
     calls, inputs = _inputs(spark, sf_dir)
-    log = infer.infer_with_retries(spark, inputs, responder, wait_sec=0.0, partitions=8)
+    log = infer.infer_with_retries(spark, inputs, responder, wait_sec=0.0)
     res = infer.final_results(spark, log)
     return calls.join(res, "transcript_hash").select("call_id", "parse_status", "attempts", "overall_score")
 
@@ -55,14 +55,14 @@ def q_stream_upload(spark, sf_dir):
     c = FX.calls(spark, sf_dir).join(FX.replies(spark, sf_dir), "conv_id")
     pay = c.select("conv_id", F.col("call_id").alias("doc_key"), "transcript", "telecaller_name", "lead_name",
                    F.col("reply").alias("recorded_reply"))
-    first = pay.drop("conv_id").repartition(2)
+    first = pay.drop("conv_id")
     again = pay.filter(F.col("conv_id") % 5 == 0).drop("conv_id").withColumn(
-        "doc_key", F.concat(F.col("doc_key"), F.lit("#2"))).repartition(2)
-    first.write.json(f"{base}/in")
-    again.write.mode("append").json(f"{base}/in")
-    run_upload_stream(spark, f"{base}/in", f"{base}/store", f"{base}/out", infer.ReplayResponder(),
-                      f"{base}/ckpt", ingest_ts=F.to_timestamp(F.lit("2026-01-02 03:04:05")),
-                      files_per_trigger=2, extra_schema="doc_key string, recorded_reply string")
+        "doc_key", F.concat(F.col("doc_key"), F.lit("#2")))
+    for part in (first, again):
+        part.write.mode("append").json(f"{base}/in")
+        run_upload_stream(spark, f"{base}/in", f"{base}/store", f"{base}/out", infer.ReplayResponder(),
+                          f"{base}/ckpt", ingest_ts=F.to_timestamp(F.lit("2026-01-02 03:04:05")),
+                          extra_schema="doc_key string, recorded_reply string")
     return spark.read.parquet(f"{base}/out/responses").select("doc_key", "call_id", "cached", "overall_score", "status")
 
 

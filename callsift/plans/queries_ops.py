@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..functions import fmt
+from ..functions.coerce import with_boundary
 from ..functions.text import transcript_hash
 from ..operators import dedup, ingest, metrics, rubric, store, views
 from ..operators.analysis import analyze
+from ..session import work_dir
 from ..sources import fixtures as FX
 from .queries import register, stored_calls, validated
 
@@ -20,6 +24,10 @@ def _ts_text(c="ts"):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+def _n_conv(spark, sf_dir):
+    return FX.n_keys(FX.table(spark, sf_dir, "conversations"), "conv_id")
+
+
 # ----------------------------------------------------------------- views
 @register("list_view")
 def q_list_view(spark, sf_dir):
@@ -84,7 +92,7 @@ def q_detail_labels(spark, sf_dir):
 @register("call_lookup")
 def q_call_lookup(spark, sf_dir):
     ev = FX.table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
-    keys = ev.select(F.concat(F.lit("CALL_"), FX.padded(F.col("event_id") % 150, 6)).alias("call_id"))
+    keys = ev.select(F.concat(F.lit("CALL_"), FX.padded(F.col("event_id") % _n_conv(spark, sf_dir), 6)).alias("call_id"))
     return views.lookup(stored_calls(spark, sf_dir), keys).select("call_id", "lead_name", "overall_score")
 
 
@@ -139,6 +147,37 @@ def q_eval_failures(spark, sf_dir):
     return _eval_pairs(spark, sf_dir).groupBy("parse_status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _label_pairs(spark, sf_dir) -> DataFrame:
+    """Labels written as JSONL and read back, each with its prediction.  Budgets are missing, "not_discussed"
+    or an object by conv_id % 3; every fourth label has no call_id and is paired by its transcript."""
+    c = FX.calls(spark, sf_dir)
+    m = F.col("conv_id") % 3
+    budget = F.when(m == 1, F.lit('"not_discussed"')).when(m == 2, F.lit('{"min_lakhs": 0, "max_lakhs": 60}'))
+    label = F.struct(
+        F.struct(F.lit("2BHK").alias("unit_configuration"), F.parse_json(budget).alias("budget_range"),
+                 F.lit("immediate").alias("timeline")).alias("extraction"),
+        F.lit("pitch").alias("last_stage_reached"), F.lit("mark_cold").alias("recommended_next_action"))
+    path = f"{work_dir(spark, 'labels')}/{uuid.uuid4().hex}"
+    c.select(F.to_json(F.struct("transcript", F.when(F.col("conv_id") % 4 != 0, F.col("call_id")).alias("call_id"),
+                                label.alias("label")))).write.text(path)
+    labels, _ = ingest.split_required(ingest.read_labels(spark, path), ["transcript", "label"])
+    preds = c.join(validated(spark, sf_dir), "conv_id").select(
+        "call_id", transcript_hash("transcript").alias("transcript_hash"), F.col("analysis").alias("pred"), "parse_status")
+    return metrics.pair_labels(preds, labels)
+
+
+@register("label_accuracy")
+def q_label_accuracy(spark, sf_dir):
+    """Field accuracy against a labels file."""
+    return metrics.field_accuracy(_label_pairs(spark, sf_dir).filter("parse_status = 'ok'"))
+
+
+@register("label_failures")
+def q_label_failures(spark, sf_dir):
+    """The labels without a valid prediction, with the reason."""
+    return _label_pairs(spark, sf_dir).filter("parse_status <> 'ok'").select("call_id", "transcript_hash", "parse_status")
+
+
 @register("eval_labels")
 def q_eval_labels(spark, sf_dir):
     """Accuracy of two document rules against the labels table (A5 on 0/1 fields)."""
@@ -285,7 +324,8 @@ def _edits(spark, sf_dir) -> DataFrame:
     field = F.when(eid % 10 == 9, F.lit("extraction.bogus"))
     for i, f in enumerate(fields):
         field = field.when(eid % len(fields) == i, F.lit(f))
-    value = F.lit(None).cast("string")
+    e = with_boundary(e, {"field": field})
+    field, value = F.col("field"), F.lit(None).cast("string")
     for f, allowed in store.EDITABLE.items():
         if allowed == "score":
             cand = F.concat(F.lit(" "), ((eid / len(fields)).cast("long") % 7).cast("string"))
@@ -294,8 +334,8 @@ def _edits(spark, sf_dir) -> DataFrame:
             cand = F.element_at(F.array(*[F.lit(o) for o in opts]), ((eid / len(fields)).cast("long") % len(opts) + 1).cast("int"))
         value = F.when(field == f, cand).otherwise(value)
     value = F.coalesce(value, F.lit("x"))
-    return e.select(F.concat(F.lit("CALL_"), FX.padded(eid % 100, 6)).alias("call_id"),
-                    field.alias("field"), value.alias("value"), F.col("ts").cast("timestamp").alias("edited_at"), eid.alias("edit_id"))
+    return e.select(F.concat(F.lit("CALL_"), FX.padded(eid % _n_conv(spark, sf_dir), 6)).alias("call_id"),
+                    "field", value.alias("value"), F.col("ts").cast("timestamp").alias("edited_at"), eid.alias("edit_id"))
 
 
 @register("apply_edits")

@@ -71,13 +71,15 @@ CALL_RECORD = T.StructType([
 CALL_REQUIRED = ["call_id", "telecaller_id", "telecaller_name", "lead_id", "lead_name",
                  "duration_sec", "timestamp", "transcript"]
 
-# Labelled record (JSONL): transcript, optional call_id, gold analysis with every part optional
+# Labelled record (JSONL): transcript, optional call_id, gold analysis with every part optional;
+# the budget is an object or the text "not_discussed"
 _GOLD_SCORE = T.StructType([T.StructField("score", T.IntegerType())])
 LABEL_RECORD = T.StructType([
     T.StructField("transcript", T.StringType()),
     T.StructField("call_id", T.StringType()),
     T.StructField("label", T.StructType([
-        T.StructField("extraction", EXTRACTION),
+        T.StructField("extraction", T.StructType([
+            T.StructField(f.name, T.VariantType() if f.name == "budget_range" else f.dataType) for f in EXTRACTION.fields])),
         T.StructField("quality_scores", T.StructType([T.StructField(d, _GOLD_SCORE) for d in DIMENSIONS])),
         T.StructField("last_stage_reached", T.StringType()),
         T.StructField("recommended_next_action", T.StringType()),

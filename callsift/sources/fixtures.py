@@ -39,14 +39,17 @@ PHRASES = [
     (18, "Lead", "let me discuss with family and tell you"),
     (19, "Lead", "not interested, call pannadheenga"),
 ]
-N_TELECALLERS = 8
-N_LEADS = 150
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def n_keys(t: DataFrame, key: str) -> F.Column:
+    """Size of the key range 0..n-1 of a table, as a scalar subquery: derived keys spread over the whole table."""
+    return t.agg(F.max(key) + 1).scalar()
+
+
 def phrases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PHRASES, "pid int, speaker string, phrase string")
 
@@ -110,9 +113,9 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     k = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     e = table(spark, sf_dir, "events").select("event_id", "ts")
-    j = (x.join(s, s["s_suppkey"] == x["conv_id"] % N_TELECALLERS)
-          .join(k, k["c_custkey"] == (x["conv_id"] * 17) % N_LEADS)
-          .join(e, e["event_id"] == x["conv_id"]))
+    x = x.withColumns({"s_suppkey": F.col("conv_id") % n_keys(s, "s_suppkey"),
+                       "c_custkey": (F.col("conv_id") * 17) % n_keys(k, "c_custkey")})
+    j = x.join(s, "s_suppkey").join(k, "c_custkey").join(e, e["event_id"] == x["conv_id"])
     return j.select(
         F.concat(F.lit("CALL_"), padded(F.col("conv_id"), 6)).alias("call_id"),
         F.concat(F.lit("TC_"), padded(F.col("s_suppkey"), 3)).alias("telecaller_id"),

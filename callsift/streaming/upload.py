@@ -27,17 +27,23 @@ from ..operators.store import latest_snapshot
 
 def read_store(spark: SparkSession, root: str) -> DataFrame | None:
     snap = latest_snapshot(spark, root)
-    return spark.read.parquet(snap) if snap else None
+    return store.read_snapshot(spark, snap) if snap else None
 
 
 def process_uploads(spark: SparkSession, payloads: DataFrame, store_root: str, responder: infer.ResponderFactory,
                     epoch: int, ingest_ts: Column, out_root: str, partitions: int | None = None,
-                    min_interval_sec: float = 0.0) -> None:
-    """One micro-batch of uploads (also usable as a plain batch job)."""
+                    min_interval_sec: float = 0.0, extra: tuple[str, ...] = ("recorded_reply",)) -> None:
+    """One micro-batch of uploads (also usable as a plain batch job).
+
+    ``extra`` names payload columns that the responder reads.  Payloads without a ``doc_key``
+    are answered under a key made of the epoch and their place in the batch.
+    """
+    if "doc_key" not in payloads.columns:
+        payloads = payloads.withColumn("doc_key", F.concat(F.lit(f"{epoch}-"), F.monotonically_increasing_id().cast("string")))
     rows, rejected = ingest.upload_rows(payloads, ingest_ts)
     tag = f"{zlib.crc32(out_root.encode()):08x}.{epoch}"  # this epoch of this stream
     base = latest_snapshot(spark, store_root, but=tag)
-    current = spark.read.parquet(base) if base else None
+    current = store.read_snapshot(spark, base) if base else None
     if current is not None:
         looked = dedup.cache_lookup(rows, current, created="created_at")
     else:
@@ -45,7 +51,7 @@ def process_uploads(spark: SparkSession, payloads: DataFrame, store_root: str, r
     fresh = looked.filter(~F.col("cached"))
     # one model call per distinct new transcript (the first upload of it in this batch)
     inputs = fresh.groupBy("transcript_hash").agg(
-        F.min_by(F.struct("transcript", *[c for c in ["recorded_reply"] if c in fresh.columns]), F.col("call_id")).alias("_r")
+        F.min_by(F.struct("transcript", *[c for c in extra if c in fresh.columns]), F.col("call_id")).alias("_r")
     ).select("transcript_hash", "_r.*")
     log = infer.infer_with_retries(spark, inputs, responder, wait_sec=0.0, partitions=partitions, min_interval_sec=min_interval_sec,
                                    log_dir=f"{out_root.rstrip('/')}/attempts/epoch={epoch}")
@@ -61,7 +67,7 @@ def process_uploads(spark: SparkSession, payloads: DataFrame, store_root: str, r
         merged = store.merge_calls(current, new_calls, ingest_ts)
     snap = store.write_snapshot(merged, store_root, tag)
     # responses: fresh uploads answered by their hash's analysis, cached ones by the stored call
-    stored_now = spark.read.parquet(snap)
+    stored_now = store.read_snapshot(spark, snap)
     # a later upload of a transcript first seen in this same batch is answered from that first one
     marked = dedup.in_batch_duplicates(fresh, "transcript_hash", "doc_key")
     ok = F.col("parse_status") == "ok"
@@ -80,7 +86,7 @@ def process_uploads(spark: SparkSession, payloads: DataFrame, store_root: str, r
 def run_upload_stream(spark: SparkSession, payload_dir: str, store_root: str, out_root: str,
                       responder: infer.ResponderFactory, checkpoint: str, ingest_ts: Column | None = None,
                       files_per_trigger: int | None = None, extra_schema: str = "",
-                      min_interval_sec: float = 0.0) -> None:
+                      min_interval_sec: float = 0.0, extra: tuple[str, ...] = ("recorded_reply",)) -> None:
     """Process every payload file present now (``availableNow``) and stop."""
     schema = S.PAYLOAD.simpleString()[len("struct<"):-1].replace(":", " ")
     if extra_schema:
@@ -94,7 +100,7 @@ def run_upload_stream(spark: SparkSession, payload_dir: str, store_root: str, ou
         # one literal per micro-batch: a recomputed task sees the same ingest time
         now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
         ts = ingest_ts if ingest_ts is not None else F.to_timestamp(F.lit(now))
-        process_uploads(spark, df, store_root, responder, epoch, ts, out_root, min_interval_sec=min_interval_sec)
+        process_uploads(spark, df, store_root, responder, epoch, ts, out_root, min_interval_sec=min_interval_sec, extra=extra)
 
     q = (src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

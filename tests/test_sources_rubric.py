@@ -1,8 +1,9 @@
+import datetime
 import json
 import os
 import tempfile
 
-from callsift.operators import ingest, rubric
+from callsift.operators import ingest, metrics, rubric
 
 
 def test_jsonl_blank_and_bad_lines_are_quarantined(spark):
@@ -29,3 +30,45 @@ def test_rubric_block_and_json(spark):
     assert list(j) == ["discovery", "pitch", "objection_handling", "next_step"]
     assert j["pitch"]["note"] == "" and sorted(j["pitch"]["anchors"]) == ["0", "1", "2", "3", "4", "5"]
     assert rubric.SYSTEM_PROMPT.count("## ") == 4
+
+
+def test_labels_budget_and_pairing(spark):
+    d = tempfile.mkdtemp(prefix="callsift-test-")
+    budgets = [{}, {"budget_range": "not_discussed"}, {"budget_range": {"min_lakhs": 40, "max_lakhs": 50}},
+               {"budget_range": None}, {"budget_range": "soon"}]
+    with open(os.path.join(d, "labels.jsonl"), "w") as f:
+        for i, b in enumerate(budgets):
+            row = {"transcript": f"t{i}", "label": {"extraction": b, "last_stage_reached": "pitch"}}
+            f.write(json.dumps(row if i % 2 else dict(row, call_id=f"C{i}")) + "\n")
+        f.write(json.dumps({"transcript": "unseen", "label": {}}) + "\n")
+    labels, bad = ingest.split_required(ingest.read_labels(spark, d), ["transcript", "label"])
+    assert bad.count() == 0
+    got = {r["transcript"]: (r["budget_given"], r["label"]["extraction"] and r["label"]["extraction"]["budget_range"]) for r in labels.collect()}
+    assert [got[f"t{i}"][0] for i in range(5)] == [False, True, True, False, False]
+    assert tuple(got["t2"][1]) == (40.0, 50.0) and got["t1"][1] is None
+    preds = spark.createDataFrame(
+        [(f"C{i}", f"t{i}", (("2BHK", None, "unclear", [], "declined"), None, "pitch", "mark_cold", "", ""), "ok") for i in range(5)],
+        "call_id string, transcript string, pred struct<extraction:struct<unit_configuration:string,budget_range:struct<min_lakhs:double,"
+        "max_lakhs:double>,timeline:string,preferred_locations:array<string>,site_visit_outcome:string>,quality_scores:string,"
+        "last_stage_reached:string,recommended_next_action:string,next_action_reason:string,summary:string>, parse_status string")
+    preds = preds.withColumn("transcript_hash", ingest.transcript_hash("transcript")).drop("transcript")
+    pairs = metrics.pair_labels(preds, labels).cache()
+    assert [r["parse_status"] for r in pairs.filter("parse_status <> 'ok'").collect()] == ["no_prediction"]
+    acc = {r["field"]: (r["correct"], r["total"]) for r in metrics.field_accuracy(pairs.filter("parse_status = 'ok'")).collect()}
+    assert acc["budget_range"] == (1, 5) and acc["last_stage_reached"] == (5, 5)
+
+
+def test_jsonl_times_are_instants(spark):
+    df = spark.createDataFrame([("a", "2026-04-10T00:32:00+05:30"), ("b", "2026-04-10T00:32:00Z"), ("c", "soon")], "call_id string, timestamp string")
+    got = {r["call_id"]: r["t"] for r in ingest.typed_time(df).selectExpr("call_id", "unix_seconds(ts) t").collect()}
+    base = int(datetime.datetime(2026, 4, 9, 19, 2, tzinfo=datetime.timezone.utc).timestamp())
+    assert got == {"a": base, "b": base + 19800, "c": None}
+
+
+def test_percentiles_follow_the_rank_rule(spark):
+    values = [float(i * i % 97) for i in range(1000)] + [1e9, -5.0, 0.0, -0.0] + [7.0] * 500
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(5)
+    got = {r["q"]: r["value"] for r in metrics.rank_rule_percentiles(df, "v", [0.0, 0.5, 0.9, 0.99, 1.0]).collect()}
+    ranked = sorted(values)
+    assert got == {q: ranked[min(int(q * len(ranked)), len(ranked) - 1)] for q in got} and len(got) == 5
+    assert metrics.rank_rule_percentiles(df.limit(0), "v", [0.5]).count() == 0

@@ -65,3 +65,12 @@ def test_replayed_epoch_changes_nothing(spark):
     assert [r[4] for r in one[1] if r[0] == "blank"] == ["rejected"]
     two = run(again, 1)
     assert run(again, 1) == two and two[0] == one[0]
+
+
+def test_plain_payload_is_answered(spark):
+    base = work_dir(spark, f"test-stream-{uuid.uuid4().hex[:8]}")
+    pay = spark.createDataFrame([("same words", None, None), (None, "same words", "x"), (" ", None, None)],
+                                "transcript string, text string, lead_name string")
+    process_uploads(spark, pay.coalesce(1), f"{base}/store", infer.ReplayResponder(), 0, F.to_timestamp(F.lit(TS)), f"{base}/out")
+    rows = _rows(spark.read.parquet(f"{base}/out/responses"))
+    assert len(rows) == 3 and len({r[0] for r in rows}) == 3 and [r[4] for r in rows].count("rejected") == 1
