@@ -93,6 +93,13 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(docs).count() == len(TEXTS) and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_rows_that_share_an_id(spark):
+    rows = [(1, f"{LINE}\nown text of the first"), (None, f"{LINE}\nsecond line of one row"), (None, "only in this row\nand this too"), (None, None),
+            (7, f"kept start\n{LINE}"), (7, "other start\nother end")]
+    got = {(r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, rows[0][1], 0), (None, "second line of one row", 1), (None, rows[2][1], 0), (None, None, 0), (7, "kept start", 1), (7, rows[5][1], 0)}
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
