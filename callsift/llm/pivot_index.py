@@ -1,10 +1,17 @@
 """Near-duplicate vectors by a pivot-permutation index, verified by cosine in double precision.
 
-The pivots are a bounded sample of the vectors.  A vector is described by its ``NEAREST``
-nearest pivots in order, and stands in the inverted list of each, within its label.  Two
-vectors are candidates if they share at least ``SHARED`` pivots; each candidate pair is
-looked at in the list of its smallest shared pivot only, and links if its cosine reaches
-the threshold.  A long list is cut into parts of about ``PART`` vectors, and each pair of
+The pivots are a bounded sample of the vectors, thinned: of two within twice the threshold's
+angle one stays, so a dense group owns few pivots however large it is.  Two kinds of lists:
+
+1. A vector within that angle of its nearest pivot has it as its home.  The list of a pivot
+   holds the vectors within (its farthest home vector + the threshold's angle); by the
+   triangle inequality every linked partner of a home vector is there.  Pairs are looked at in the
+   smaller of their homes.  This is exact, and covers every group that the sample has met.
+2. Vectors without a home are far from all of the sample.  Each stands in the lists of its
+   ``NEAREST`` nearest pivots; two are candidates if they share at least ``SHARED`` (or all, if there
+   are fewer pivots), and are looked at in the list of their smallest shared pivot.
+
+Lists are kept within a label.  A long list is cut into parts of about ``PART`` vectors, and each pair of
 parts is a group of its own, so no list lies in one task; a group returns counts of links
 and a spanning forest, never the pairs.  Equal vectors of one label are one row with a weight.
 
@@ -27,6 +34,8 @@ from .components import components
 FEWEST, MOST = 32, 2048
 NEAREST, SHARED = 10, 2
 PART = 1200
+#: The home of a vector without one; what the rounding of angles may come to.
+NO_HOME, SLACK = (1 << 31) - 1, 1e-6
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -50,20 +59,40 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(i.tolist(), low[i].tolist()))
 
 
-def link_counts(x: np.ndarray, near: np.ndarray, weight: np.ndarray, side: np.ndarray, pivot: int, threshold: float) -> tuple[np.ndarray, list]:
-    """Weighted links of each vector and a forest of them, over the pairs whose smallest shared pivot is ``pivot``.
+def thinned(p: np.ndarray, most: float) -> np.ndarray:
+    """The rows of ``p`` in order, without those whose cosine with an earlier kept one is above ``most``."""
+    free, kept = np.ones(len(p), bool), []
+    for i in range(len(p)):
+        if free[i]:
+            kept.append(i)
+            free &= p @ p[i] <= most
+    return p[kept]
 
+
+def angles(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ p.T, -1, 1))
+
+
+def link_counts(x: np.ndarray, home: np.ndarray, near: np.ndarray | None, weight: np.ndarray, side: np.ndarray, pivot: int, shared: int, threshold: float) -> tuple[np.ndarray, list]:
+    """Weighted links of each vector and a forest of them, over the pairs that belong to the list of ``pivot``.
+
+    near None: pairs whose smaller home is the pivot; else pairs whose smallest shared pivot it is.
     side 0: within one part; sides 1 and 2: pairs between two parts only.
     """
-    names, at = np.unique(near, return_inverse=True)
-    has = np.zeros((len(x), len(names)), np.float32)
-    has[np.arange(len(x))[:, None], at.reshape(near.shape)] = 1
-    below = has[:, :np.searchsorted(names, pivot)]
+    if near is not None:
+        names, at = np.unique(near, return_inverse=True)
+        has = np.zeros((len(x), len(names)), np.float32)
+        has[np.arange(len(x))[:, None], at.reshape(near.shape)] = 1
+        below = has[:, :np.searchsorted(names, pivot)]
     left, right = (np.flatnonzero(side == s) for s in (1, 2)) if side.any() else (np.arange(len(x)), np.arange(len(x)))
     links, edges = np.zeros(len(x), np.int64), ([], [])
     for i in range(0, len(left), 256):
         l = left[i:i + 256]
-        ok = (has[l] @ has[right].T >= SHARED) & (below[l] @ below[right].T == 0) & (x[l] @ x[right].T >= threshold)
+        ok = x[l] @ x[right].T >= threshold
+        if near is None:
+            ok &= np.minimum(home[l][:, None], home[right][None, :]) == pivot
+        else:
+            ok &= (has[l] @ has[right].T >= shared) & (below[l] @ below[right].T == 0)
         ok &= l[:, None] != right[None, :]
         links[l] += ok @ weight[right]
         if side.any():
@@ -86,34 +115,61 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93) -> DataFrame:
     count = one.count()
     take = int(min(MOST, max(FEWEST, 2 * count ** 0.5)))
     sample = one.select("id", "x").orderBy(F.xxhash64("id")).limit(take).toPandas()["x"]  # at most MOST vectors
-    pivots = {n: unit(np.array([v for v in sample if len(v) == n])) for n in {len(v) for v in sample}}
+    reach = float(np.arccos(threshold))
+    most = float(np.cos(min(np.pi, 2 * reach)))  # a home is at most so far
+    pivots = {n: thinned(unit(np.array([v for v in sample if len(v) == n])), most) for n in {len(v) for v in sample}}
+
+    def placed(pdf: pd.DataFrame):
+        """Rows of one length each, their angles to the pivots and their homes (NO_HOME for none)."""
+        for n, own in pdf.groupby(pdf["x"].str.len()):
+            far = angles(unit(np.array(own["x"].tolist())), pivots.get(n, np.ones((1, n)) / n ** 0.5))
+            best = far.argmin(1)
+            yield n, own, far, np.where(far[np.arange(len(own)), best] <= 2 * reach + SLACK, best, NO_HOME)
+
+    def widths(it):
+        for pdf in it:
+            for n, own, far, home in placed(pdf):
+                some = np.flatnonzero(home != NO_HOME)
+                yield pd.DataFrame({"dim": n, "home": home[some], "width": far[some, home[some]]}).groupby(["dim", "home"], as_index=False).max()
+
+    width = {}
+    for r in one.select("x").mapInPandas(widths, "dim int, home int, width double").groupBy("dim", "home").agg(F.max("width").alias("width")).collect():
+        width.setdefault(r.dim, {})[r.home] = r.width  # a number per pivot
 
     def describe(it):
         for pdf in it:
-            for n, own in pdf.groupby(pdf["x"].str.len()):
-                p = pivots.get(n, np.ones((1, n)))
-                far = -unit(np.array(own["x"].tolist())) @ p.T
-                near = np.argsort(far, axis=1, kind="stable")[:, :NEAREST]
-                yield own.assign(near=list(near.astype(np.int32)))
-
-    described = one.select("label", "id", "weight", "x").mapInPandas(describe, f"label {one.schema['label'].dataType.simpleString()}, id long, weight long, x array<double>, near array<int>")
+            for n, own, far, home in placed(pdf):
+                wide = np.full(far.shape[1], -1.0)  # no home vectors, no list
+                for h, w in width.get(n, {}).items():
+                    wide[h] = w + reach + SLACK
+                # a partner with a smaller home looks at the pair there
+                inside = (far <= wide) & (np.arange(far.shape[1]) <= home[:, None])
+                near = np.argsort(far, axis=1, kind="stable")[:, :NEAREST].astype(np.int32)
+                yield own.assign(home=home.astype(np.int32), lists=[np.flatnonzero(r).astype(np.int32) for r in inside],
+                                 near=[r if h == NO_HOME else r[:0] for r, h in zip(near, home)])
+
+    described = one.select("label", "id", "weight", "x").mapInPandas(describe, f"label {one.schema['label'].dataType.simpleString()}, id long, weight long, x array<double>, home int, lists array<int>, near array<int>")
     described = written(described, "pivot-described")
-    entry = described.select("label", F.size("x").alias("dim"), F.explode("near").alias("pivot"), "id", "weight", "x", "near")
-    parts = (described.select("label", F.size("x").alias("dim"), F.explode("near").alias("pivot")).groupBy("label", "dim", "pivot")
-             .agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # -1 - pivot names the list of the vectors without a home
+    both = F.explode(F.concat("lists", F.transform("near", lambda p: -1 - p))).alias("pivot")
+    entry = described.select("label", F.size("x").alias("dim"), both, "id", "weight", "x", "home", "near")
+    parts = (described.select("label", F.size("x").alias("dim"), both, "home").groupBy("label", "dim", "pivot")
+             .agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("n"), F.min("home").alias("low"))
+             .where("n > 1 and (pivot < 0 or low = pivot)").drop("n", "low"))
     entry = entry.join(parts, ["label", "dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # part p meets itself and every other part: one row for each meeting
     entry = entry.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     lo, hi = F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")
     side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side")
-    entry = entry.select("label", "dim", "pivot", lo, hi, side, "id", "weight", "x", "near")
+    entry = entry.select("label", "dim", "pivot", lo, hi, side, "id", "weight", "x", "home", "near")
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["id"].to_numpy()
         pdf = pdf.iloc[np.argsort(ids, kind="stable")]
-        ids = pdf["id"].to_numpy()
-        links, tree = link_counts(unit(np.array(pdf["x"].tolist())), np.array(pdf["near"].tolist()), pdf["weight"].to_numpy(),
-                                  pdf["side"].to_numpy(), int(pdf["pivot"].iloc[0]), threshold)
+        ids, pivot = pdf["id"].to_numpy(), int(pdf["pivot"].iloc[0])
+        near = np.array(pdf["near"].tolist()) if pivot < 0 else None
+        links, tree = link_counts(unit(np.array(pdf["x"].tolist())), pdf["home"].to_numpy(), near, pdf["weight"].to_numpy(), pdf["side"].to_numpy(),
+                                  -1 - pivot if pivot < 0 else pivot, min(SHARED, near.shape[1]) if pivot < 0 else 0, threshold)
         some = np.flatnonzero(links)
         root = dict(tree)
         return pd.DataFrame({"id": ids[some], "links": links[some], "root": [ids[root.get(i, i)] for i in some.tolist()]})
