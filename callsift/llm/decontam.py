@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-1. A window as long as an item is looked at wherever the text holds a five-word shingle
-   of that item, laid so that the shingles meet; texts that hold fewer of an item's
-   shingles than the similarity needs have no such window (nothing is lost by that).
+1. A window as long as an item is looked at from every word from which it holds as many of
+   that item's five-word shingles, in any order, as the similarity needs; no other window can reach it.
+   A text shorter than the item is a window as a whole.
 2. Windows and items have 64-bit SimHash fingerprints over their words.  The fingerprint
    is cut into ``RADIUS + 1`` blocks: two that differ in at most ``RADIUS`` bits agree in
    a block, so equality joins on (size, block, value) find all of them.
@@ -13,8 +13,8 @@ The table of item shingles, and the keys of the texts that hold windows, are bro
 to ``BROADCAST_ROWS`` rows, beyond it Spark shuffles.  Copies of a text are looked at once for each doc_id.
 
 Nulls: rows with a null or empty text or a null doc_id, and items with a null text or
-fewer than five words, match nothing.  Rows that repeat give one row.  An empty table
-gives no rows.
+fewer than five words, match nothing.  Rows that repeat give one row; an item_id with several
+texts is matched by each.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -60,39 +60,45 @@ def blocks(rows: DataFrame, radius: int) -> DataFrame:
 
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity, start_word: the best window of each document for each item that it holds."""
-    items = items.where("item_id is not null and text is not null").select("item_id", words(F.col("text")).alias("w"))
+    items = items.where("item_id is not null and text is not null").select("item_id", F.xxhash64("text").alias("v"), words(F.col("text")).alias("w"))
     items = items.where(F.size("w") >= SHINGLE).withColumn("n", F.size("w"))
-    items = written(items.dropDuplicates(["item_id"]), "leak-items")
-    each = items.select("item_id", "n", F.posexplode(shingles(F.col("w"))).alias("q", "h"))
-    item_sh = each.groupBy("item_id", "h").agg(F.count("*").alias("c"))
-    table = written(each.join(item_sh, ["item_id", "h"]), "leak-shingles")
-    side = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    item = ["item_id", "v"]
+    items = written(items.dropDuplicates(item), "leak-items")
+    each = items.select(*item, "n", F.explode(shingles(F.col("w"))).alias("h"))
+    item_sh = written(each.groupBy(*item, "n", "h").agg(F.count("*").alias("c")), "leak-shingles")
+    side = F.broadcast(item_sh) if item_sh.count() <= BROADCAST_ROWS else item_sh
 
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tid", F.xxhash64("text"))
     spelt = texts.select("doc_id", "tid", words(F.col("text")).alias("w"))
     hits = (spelt.select("doc_id", "tid", F.posexplode(shingles(F.col("w"))).alias("p", "h")).join(side, "h")
-            .select("doc_id", "tid", "item_id", "n", "h", "c", (F.col("p") - F.col("q")).alias("start")))
-    hits = written(hits.groupBy("doc_id", "tid", "item_id", "n", "h", "c").agg(F.collect_set("start").alias("starts")), "leak-hits")
-    held = hits.groupBy("doc_id", "tid", "item_id").agg(F.sum("c").alias("held"), F.first("n").alias("n"))
-    held = held.where(F.col("held") >= F.ceil(similarity * (F.col("n") - SHINGLE + 1))).select("doc_id", "tid", "item_id")
+            .groupBy("doc_id", "tid", *item, "n", "h", "c").agg(F.collect_set("p").alias("at")))
+    held = hits.groupBy("doc_id", "tid", *item, "n").agg(F.sum("c").alias("held"), F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+    held = written(held.where(F.col("held") >= F.ceil(similarity * (F.col("n") - SHINGLE + 1))), "leak-held")
     key = ["doc_id", "tid", "n", "start"]
-    starts = hits.join(held, ["doc_id", "tid", "item_id"]).select("doc_id", "tid", "n", F.explode("starts").alias("start")).distinct()
-    wanted = written(starts, "leak-starts")
-    keys = wanted.select("doc_id", "tid").distinct()
-    keys = F.broadcast(keys) if wanted.count() <= BROADCAST_ROWS else keys  # else the texts are shuffled
+    keys = held.select("doc_id", "tid").distinct()
+    keys = F.broadcast(keys) if held.count() <= BROADCAST_ROWS else keys  # else the texts are shuffled
     some = texts.join(keys, ["doc_id", "tid"], "left_semi").dropDuplicates(["doc_id", "tid"])
-    some = some.select("doc_id", "tid", words(F.col("text")).alias("all"))
-    place = F.greatest(F.lit(0), F.least(F.col("start"), F.size("all") - F.col("n")))
-    windows = some.join(wanted, ["doc_id", "tid"]).where(F.size("all") >= F.col("n")).withColumn("start", place)
-    windows = written(windows.select(*key, F.slice("all", F.col("start") + 1, F.col("n")).alias("w")).dropDuplicates(key), "leak-windows")
+    some = written(some.select("doc_id", "tid", words(F.col("text")).alias("all")), "leak-texts")
+    # starts whose first shingle of the item is at[i] and whose window holds the least number of them
+    size = F.col("n") - SHINGLE + 1
+    least = F.ceil(2 * similarity / (1 + similarity) * size - 1e-9).cast("int")
+    spans = held.join(some.select("doc_id", "tid", F.size("all").alias("size")), ["doc_id", "tid"]).withColumn("least", least)
+    first = F.transform("at", lambda p, i: F.struct(
+        F.greatest(F.lit(0), F.get("at", i + F.col("least") - 1) - size + 1, F.coalesce(F.when(i > 0, F.get("at", i - 1) + 1), F.lit(0))).alias("lo"),
+        F.least(p, F.col("size") - F.col("n")).alias("hi"), F.get("at", i + F.col("least") - 1).isNotNull().alias("full")))
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(True).alias("full")))
+    spans = spans.select("doc_id", "tid", "n", F.explode(F.when(F.col("size") <= F.col("n"), whole).otherwise(F.filter(first, lambda x: x["full"] & (x["lo"] <= x["hi"])))).alias("span"))
+    wanted = spans.select("doc_id", "tid", "n", F.explode(F.sequence("span.lo", "span.hi")).alias("start")).distinct()
+    windows = some.join(wanted, ["doc_id", "tid"]).select(*key, F.slice("all", F.col("start") + 1, F.col("n")).alias("w"))
+    windows = written(windows, "leak-windows")
 
     ours = blocks(fingerprints(windows, key), radius)
-    theirs = blocks(fingerprints(items, ["item_id", "n"]), radius).withColumnRenamed("fp", "item_fp")
+    theirs = blocks(fingerprints(items, [*item, "n"]), radius).withColumnRenamed("fp", "item_fp")
     near = ours.join(theirs, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select(*key, "item_id").distinct()
-    window_sh = windows.select(*key, F.explode(shingles(F.col("w"))).alias("h")).groupBy(*key, "h").agg(F.count("*").alias("m"))
-    both = near.join(window_sh, key).join(item_sh, ["item_id", "h"]).groupBy(*key, "item_id").agg(F.sum(F.least("m", "c")).alias("common"))
-    total = 2 * (F.col("n") - SHINGLE + 1) - F.col("common")
+    near = near.select(*key, *item).distinct()
+    window_sh = windows.select(*key, F.size("w").alias("m"), F.explode(shingles(F.col("w"))).alias("h")).groupBy(*key, "m", "h").agg(F.count("*").alias("own"))
+    both = near.join(window_sh, key).join(item_sh.drop("n"), [*item, "h"]).groupBy(*key, "m", *item).agg(F.sum(F.least("own", "c")).alias("common"))
+    total = F.col("n") + F.col("m") - 2 * (SHINGLE - 1) - F.col("common")
     found = both.withColumn("similarity", F.col("common") / total).where(F.col("similarity") >= similarity)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("start_word"))

@@ -186,6 +186,16 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminated(empty, items).count() == 0 and decontam.clean(docs, items).count() == len(TEXTS)
 
 
+def test_decontamination_of_moved_and_missing_words(spark):
+    w = [f"w{i}" for i in range(100)]
+    other = "another item of quite different words that has the same id as the first one"
+    items = spark.createDataFrame([(1, " ".join(w)), (1, other)], "item_id long, text string")
+    rows = [(1, " ".join(w[:-1])), (2, " ".join(w[:-5])), (3, " ".join([*"abcdef", *w[50:], *w[:50], *"ghijkl"])),
+            (4, " ".join([*"abcdef", *w[20:], *w[:20], *"ghijkl"])), (5, f"before {other} after"), (6, " ".join(w[:60]))]
+    got = {(r.doc_id, round(r.similarity, 4), r.start_word) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(1, round(95 / 96, 4), 0), (2, round(91 / 96, 4), 0), (3, round(92 / 100, 4), 6), (4, round(92 / 100, 4), 6), (5, 1.0, 1)}
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts:
