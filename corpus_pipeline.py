@@ -29,8 +29,8 @@ def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    copies = jaccard.ngram_join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__copy")).distinct()
+    """One document of each group of near copies (five-word shingles, 0.8): the one with the smallest doc_id."""
+    copies = jaccard.ngram_join(docs, words=5, percent=80).where("component_id <> doc_id").select(F.col("doc_id").alias("__copy")).distinct()
     return docs.join(copies, F.col("doc_id") == F.col("__copy"), "left_anti")
 
 

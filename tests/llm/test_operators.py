@@ -219,6 +219,16 @@ def test_ngram_join(spark, docs, empty):
     assert jaccard.ngram_join(docs).count() == len(TEXTS) and jaccard.ngram_join(empty).count() == 0
 
 
+def test_near_duplicate_stage_takes_five_words(spark):
+    import corpus_pipeline
+
+    w = [f"v{i}" for i in range(50)]  # one word changed: 41/51 of the 5-word and 43/51 of the 4-word shingles
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:25], "edit", *w[26:]])), (3, "some other text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}
+    assert {r.component_id for r in jaccard.ngram_join(docs).collect()} == {1, 2, 3}
+
+
 def test_divide_skip_counts():
     rng = np.random.default_rng(5)
     q = np.unique(rng.integers(0, 400, 100))
