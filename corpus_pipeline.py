@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsift.llm import decontam, jaccard, line_dedup, packing, quality
+from callsift.llm.common import written
 from callsift.session import work_dir
 
 
@@ -28,15 +29,35 @@ def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return rows.withColumns(size).select(*docs.columns)
 
 
+def row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with __key: a hash of doc_id and text, so rows without an id can be told apart and repeated rows are one."""
+    return docs.withColumn("__key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 0.8): the one with the smallest doc_id."""
-    copies = jaccard.ngram_join(docs, words=5, percent=80).where("component_id <> doc_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("__copy"), "left_anti")
+    """One document of each group of near copies (five-word shingles, 0.8): the one with the smallest doc_id, null last.
+
+    Rows that repeat count as copies; rows without words are copies of nothing and all stay.
+    """
+    keyed = row_key(docs)
+    found = jaccard.ngram_join(keyed.select(F.col("__key").alias("doc_id"), "text"), words=5, percent=80)
+    found = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__copy")).agg(F.min("component_id").alias("root"), F.count("*").alias("n"))
+    ids = keyed.select(F.col("__key").alias("__copy"), "doc_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__copy"))
+    first = found.join(ids, "__copy").groupBy("root").agg(F.min_by("__copy", rank).alias("best"))
+    found = written(found.join(first, "root").select("__copy", "n", (F.col("__copy") == F.col("best")).alias("kept")), "pipeline-copies")
+    gone = found.where("n > 1 or not kept").select(F.col("__copy").alias("__key"))
+    repeated = found.where("n > 1 and kept").select(F.col("__copy").alias("__key"))
+    return (keyed.join(gone, "__key", "left_anti").unionByName(keyed.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
+            .select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold no benchmark item, with or without an id."""
+    keyed = row_key(docs)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    bad = decontam.contaminated(keyed.select(F.col("__key").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(bad, "__key", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

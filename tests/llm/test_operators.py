@@ -229,6 +229,19 @@ def test_near_duplicate_stage_takes_five_words(spark):
     assert {r.component_id for r in jaccard.ngram_join(docs).collect()} == {1, 2, 3}
 
 
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, item = (" ".join(f"{x}{i}" for i in range(40)) for x in "abi")
+    rows = [(7, a), (3, a), (None, a), (None, b), (None, b), (5, "c " + item), (5, "c " + item), (None, f"d {item} e"), (None, ""), (8, None), (9, "other text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert order(got) == sorted([(3, a), (None, b), (5, "c " + item), (None, ""), (8, None), (9, "other text")], key=str)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert order(corpus_pipeline.decontaminate(spark, docs, str(tmp_path))) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+
+
 def test_divide_skip_counts():
     rng = np.random.default_rng(5)
     q = np.unique(rng.integers(0, 400, 100))
