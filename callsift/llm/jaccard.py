@@ -1,4 +1,6 @@
-"""Exact Jaccard join on word n-grams by T-occurrence search with DivideSkip.
+"""Components of the exact Jaccard join on word n-grams, by T-occurrence search with DivideSkip.
+
+The operator gives components, not the pairs of the join: links inside a component are not all searched.
 
 A linked pair shares at least T = 85 % of either set, so in any one order of all
 shingles the two share one of their first n - T + 1.  The order is by hash, with the
