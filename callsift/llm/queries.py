@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import decontam as op8
 from . import jaccard as op9
 from . import langid as op7
+from . import license_scan as op11
 from . import line_dedup as op3
 from . import lm_score as op1
 from . import packing as op2
@@ -59,6 +60,10 @@ def op10_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.read_ids(op10.write_ids(read_table(spark, sf_dir, "documents")))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.license_labels(read_table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_lm_score": op1_lm_score,
     "op2_best_two_fit": op2_best_two_fit,
@@ -70,6 +75,7 @@ REGISTRY = {
     "op8_simhash_windows": op8_simhash_windows,
     "op9_ngram_join": op9_ngram_join,
     "op10_repair_ids": op10_repair_ids,
+    "op11_license_scan": op11_license_scan,
 }
 
-ORACLES: dict[str, str] = {"op3_line_templates": op3.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_templates": op3.ORACLE, "op11_license_scan": op11.ORACLE}
