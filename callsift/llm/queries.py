@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import collocations as op13
 from . import decontam as op8
+from . import hard_negatives as op12
 from . import jaccard as op9
 from . import langid as op7
 from . import license_scan as op11
@@ -64,6 +66,18 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11.license_labels(read_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    x = F.when(finite, F.transform("embedding", lambda v: F.floor(256 * v.cast("double"))))
+    return op12.hard_negatives(rows.select("vec_id", label.alias("label"), x.alias("x")), F.col("vec_id") % 50 == 0)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.collocations(read_table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_lm_score": op1_lm_score,
     "op2_best_two_fit": op2_best_two_fit,
@@ -76,6 +90,9 @@ REGISTRY = {
     "op9_ngram_join": op9_ngram_join,
     "op10_repair_ids": op10_repair_ids,
     "op11_license_scan": op11_license_scan,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op3_line_templates": op3.ORACLE, "op11_license_scan": op11.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_templates": op3.ORACLE, "op11_license_scan": op11.ORACLE, "op12_hard_negatives": op12.ORACLE,
+                            "op13_collocations": op13.ORACLE}
