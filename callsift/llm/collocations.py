@@ -11,10 +11,11 @@ Grams of full length are the edges of the graph (from their first words to their
   occurs only inside its edges, with the same count, so it is dropped as a candidate there and then.
 
 Two prunings lose nothing, as a phrase is never more frequent than any part of it: edges under the least
-count are not stored in the graph (they stay in the flow), and a piece is also cut between two words whose pair
-surely stays under the least count.  The pairs are counted in a table of ``CELLS`` hashed cells (summed over all documents,
-saturating at 255; a cell's sum is never below a pair's count), which comes back as one bit a cell, a fixed size
-whatever the corpus.
+count are not stored in the graph (they stay in the flow), and a gram ends before a word, pair or triple of words that
+surely stays under the least count.  Words, pairs and triples are counted in one table of hashed cells (summed over all
+documents, saturating at 255; a cell's sum is never below a phrase's count), which comes back as one bit a cell.  The table
+has a cell for every ``BYTES_A_CELL`` bytes of text, up to ``MOST_CELLS``, so the broadcast is at most an eighth of that in bytes;
+on a corpus beyond that size it prunes less and less, and more grams are shuffled.
 
 Counts are combined within a task and before each shuffle, so a common word sends a row per task.  Ranks are
 taken within parts of a language first, so a language that holds most phrases is no single group.
@@ -33,14 +34,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, prepare, text_bytes, written
 
 LONGEST, LEAST, TOP, CONTAINED = 4, 30, 2000, 80
-#: Cells of the pair table (a byte each in a task, a bit each in the broadcast), and cells sent as one row.
-CELLS, SLAB = 1 << 24, 1 << 16
+#: Size of the table of cells (a byte each in a task, a bit each in the broadcast), and cells sent as one row.
+BYTES_A_CELL, MOST_CELLS, SLAB = 16, 1 << 26, 1 << 16
 #: Distinct grams that a task holds before it hands them on.
 HELD = 200_000
 #: Parts that a language's phrases are ranked in first.
@@ -57,11 +59,11 @@ def pieces(text: bytes) -> list[list[bytes]]:
     return [words for words in ([w for w in p.split(b" ") if w] for p in _PIECES.split(text)) if words]
 
 
-class Pairs:
-    """Hashed cells of word pairs; a worker keeps the hashes of the words it has met."""
+class Cells:
+    """Hashed cells of words, pairs and triples; a worker keeps the hashes of the words it has met."""
 
     def __init__(self, cells: int):
-        self.cells, self.hashes = cells, {}
+        self.cells, self.hashes = np.uint64(cells - 1), {}
 
     def hash(self, word: bytes) -> int:
         if len(self.hashes) > 500_000:
@@ -69,13 +71,18 @@ class Pairs:
         h = self.hashes[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def cells_of(self, salt: int, words: list[bytes]) -> np.ndarray:
-        """The cell of each pair of neighbours."""
+    def of(self, lang: str, words: list[bytes]) -> list[np.ndarray]:
+        """Cells of each word, of each pair and of each triple of neighbours."""
         known = self.hashes
-        h = np.array([known.get(w) or self.hash(w) for w in words], np.uint64)
-        mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + np.uint64(salt))
-        mixed ^= mixed >> np.uint64(29)
-        return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)) % np.uint64(self.cells)
+        h = np.array([known.get(w) or self.hash(w) for w in words], np.uint64) + np.uint64(xxhash.xxh3_64_intdigest(lang))
+        pair = mixed(h[:-1]) ^ h[1:]
+        return [(mixed(x) & self.cells).astype(np.uint32) for x in (h, pair, mixed(pair[:-1]) ^ h[2:])]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def flat(text: bytes) -> tuple[list[bytes], np.ndarray]:
@@ -84,31 +91,39 @@ def flat(text: bytes) -> tuple[list[bytes], np.ndarray]:
     return [w for p in parts for w in p], np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
+def table_size(docs: DataFrame) -> int:
+    """Cells for the bytes of text, a power of two."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_CELLS, max(1 << 10, 1 << (size // BYTES_A_CELL).bit_length()))
+
+
 def frequent_cells(docs: DataFrame, least: int, cells: int) -> np.ndarray:
-    """Which cells hold at least ``least`` pairs, over all documents."""
+    """Which cells hold at least ``least`` words, pairs and triples, over all documents: a bit each."""
     slab = min(SLAB, cells)
 
     def count(it):
-        table, pairs = np.zeros(cells, np.uint8), Pairs(cells)
+        table, kinds = np.zeros(cells, np.uint8), Cells(cells)
         for batch in it:
-            found = []
+            found = [np.zeros(0, np.uint32)]
             for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 words, piece = flat(text)
-                if len(words) > 1:
-                    found.append(pairs.cells_of(xxhash.xxh3_64_intdigest(lang), words)[piece[1:] == piece[:-1]])
-            if found:
-                cell, n = np.unique(np.concatenate(found), return_counts=True)
-                table[cell] = np.minimum(table[cell].astype(np.int64) + n, 255)
+                if words:
+                    one, two, three = kinds.of(lang, words)
+                    found += [one, two[piece[1:] == piece[:-1]], three[piece[2:] == piece[:-2]]]
+            cell = np.sort(np.concatenate(found))
+            start = np.flatnonzero(np.r_[cell[:1] == cell[:1], cell[1:] != cell[:-1]])
+            n, cell = np.diff(np.r_[start, len(cell)]), cell[start]
+            table[cell] = np.minimum(table[cell] + np.minimum(n, 255), 255)
         rows = table.reshape(-1, slab)
-        some = np.flatnonzero(rows.any(1))
-        for i in range(0, len(some), 16):
-            yield pa.RecordBatch.from_arrays([pa.array(some[i:i + 16], pa.int32()), pa.array([rows[s].tobytes() for s in some[i:i + 16]], pa.binary())], ["slab", "counts"])
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for some in np.array_split(np.flatnonzero(rows.any(1)), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(rows[s].tobytes()) for s in some], pa.binary())], ["slab", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slab, np.int64)
+        total, unpack = np.zeros(slab, np.int64), zstandard.ZstdDecompressor().decompress
         for batch in groups:
             for c in batch.column(batch.schema.get_field_index("counts")).to_pylist():
-                total += np.frombuffer(c, np.uint8)
+                total += np.frombuffer(unpack(c), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(total >= min(least, 255)).tobytes()], pa.binary())], ["slab", "bits"])
 
     bits = np.zeros(cells // 8, np.uint8).reshape(-1, slab // 8)
@@ -118,33 +133,48 @@ def frequent_cells(docs: DataFrame, least: int, cells: int) -> np.ndarray:
     return bits.ravel()
 
 
-def grams(docs: DataFrame, longest: int, least: int, cells: int) -> DataFrame:
-    """lang, phrase, words, n: how often each gram starts at a position (see the module's head)."""
+def sizes(piece: np.ndarray, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, longest: int) -> np.ndarray:
+    """Words of the gram at each position; 0 for a word that is surely under the least count."""
+    n = len(piece)
+    joined = np.zeros(n, bool)
+    joined[:-1] = (piece[1:] == piece[:-1]) & pair & word[1:] & word[:-1]
+    third = np.zeros(n, bool)
+    third[:-2] = triple
+    shift = lambda x, k: np.r_[x[k:], np.zeros(min(k, n), bool)]
+    size, reach = word.astype(np.int64) + joined, joined
+    for k in range(3, longest + 1):
+        reach = reach & shift(joined, k - 2) & shift(third, k - 3)
+        size += reach
+    return size
+
+
+def grams(docs: DataFrame, longest: int, least: int, cells: int | None = None) -> DataFrame:
+    """lang, phrase, words, n: how often each gram starts at a position (see the module's head).
+
+    Positions whose word is surely under the least count are counted under the empty phrase.
+    """
+    cells = cells or table_size(docs)
     known = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, least, cells))
 
     def cut(it):
-        bits, pairs, held = known.value, Pairs(cells), defaultdict(Counter)
+        bits, kinds, held = known.value, Cells(cells), defaultdict(Counter)
+        frequent = lambda c: (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
 
         def given():
             for lang, count in held.items():
                 yield from batches(_GRAMS, {"lang": [lang] * len(count), "phrase": [g.decode("utf-8", "replace") for g in count],
-                                            "words": [g.count(b" ") + 1 for g in count], "n": list(count.values())})
+                                            "words": [g.count(b" ") + 1 if g else 0 for g in count], "n": list(count.values())})
             held.clear()
 
         for batch in it:
             for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 words, piece = flat(text)
-                if not words:
-                    continue
-                cell = pairs.cells_of(xxhash.xxh3_64_intdigest(lang), words).astype(np.int64)
-                joined = (piece[1:] == piece[:-1]) & ((bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1)
-                # words that a gram may take from each position
-                ahead = np.r_[joined, False].astype(np.int64)
-                size, more = np.ones(len(words), np.int64), ahead.copy()
-                for k in range(1, longest):
-                    size += more
-                    more = np.r_[more[1:], 0] * ahead
-                held[lang].update([words[i] if n == 1 else b" ".join(words[i:i + n]) for i, n in enumerate(size.tolist())])
+                if words:
+                    size = sizes(piece, *map(frequent, kinds.of(lang, words)), longest)
+                    at = np.flatnonzero(size)
+                    count = held[lang]
+                    count[b""] += len(words) - len(at)
+                    count.update([words[i] if n == 1 else b" ".join(words[i:i + n]) for i, n in zip(at.tolist(), size[at].tolist())])
             if sum(map(len, held.values())) > HELD:
                 yield from given()
         yield from given()
@@ -197,7 +227,7 @@ def unary_paths(edges: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return settled
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, contained: int = CONTAINED, longest: int = LONGEST, cells: int = CELLS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, contained: int = CONTAINED, longest: int = LONGEST, cells: int | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first phrases of 2 to ``longest`` words."""
     prepare(docs.sparkSession)
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
