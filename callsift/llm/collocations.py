@@ -11,8 +11,8 @@ Grams of full length are the edges of the graph (from their first words to their
   occurs only inside its edges, with the same count, so it is dropped as a candidate there and then.
 
 Two prunings lose nothing, as a phrase is never more frequent than any part of it: edges under the least
-count are not stored in the graph (they stay in the flow), and a gram ends before a word, pair or triple of words that
-surely stays under the least count.  Words, pairs and triples are counted in one table of hashed cells (summed over all
+count are not stored in the graph (they stay in the flow), and a gram ends before the word with which it would hold
+a phrase that surely stays under the least count.  Phrases of all lengths are counted in one table of hashed cells (summed over all
 documents, saturating at 255; a cell's sum is never below a phrase's count), which comes back as one bit a cell.  The table
 has a cell for every ``BYTES_A_CELL`` bytes of text, up to ``MOST_CELLS``, so the broadcast is at most an eighth of that in bytes;
 on a corpus beyond that size it prunes less and less, and more grams are shuffled.
@@ -44,7 +44,7 @@ LONGEST, LEAST, TOP, CONTAINED = 4, 30, 2000, 80
 #: Size of the table of cells (a byte each in a task, a bit each in the broadcast), and cells sent as one row.
 BYTES_A_CELL, MOST_CELLS, SLAB = 16, 1 << 26, 1 << 16
 #: Distinct grams that a task holds before it hands them on.
-HELD = 200_000
+HELD = 500_000
 #: Parts that a language's phrases are ranked in first.
 PARTS = 32
 
@@ -60,10 +60,10 @@ def pieces(text: bytes) -> list[list[bytes]]:
 
 
 class Cells:
-    """Hashed cells of words, pairs and triples; a worker keeps the hashes of the words it has met."""
+    """Hashed cells of phrases; a worker keeps the hashes of the words it has met."""
 
-    def __init__(self, cells: int):
-        self.cells, self.hashes = np.uint64(cells - 1), {}
+    def __init__(self, cells: int, longest: int):
+        self.cells, self.longest, self.hashes = np.uint64(cells - 1), longest, {}
 
     def hash(self, word: bytes) -> int:
         if len(self.hashes) > 500_000:
@@ -71,12 +71,16 @@ class Cells:
         h = self.hashes[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def of(self, lang: str, words: list[bytes]) -> list[np.ndarray]:
-        """Cells of each word, of each pair and of each triple of neighbours."""
-        known = self.hashes
-        h = np.array([known.get(w) or self.hash(w) for w in words], np.uint64) + np.uint64(xxhash.xxh3_64_intdigest(lang))
-        pair = mixed(h[:-1]) ^ h[1:]
-        return [(mixed(x) & self.cells).astype(np.uint32) for x in (h, pair, mixed(pair[:-1]) ^ h[2:])]
+    def of(self, lang: str, words: list[bytes], piece: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per length the places where a phrase of one piece begins, and their cells."""
+        known, out = self.hashes, []
+        one = phrase = np.array([known.get(w) or self.hash(w) for w in words], np.uint64) + np.uint64(xxhash.xxh3_64_intdigest(lang))
+        for k in range(1, min(self.longest, len(words)) + 1):
+            if k > 1:
+                phrase = mixed(phrase[:-1]) ^ one[k - 1:]
+            at = np.flatnonzero(piece[k - 1:] == piece[:len(piece) - k + 1])
+            out.append((at, (mixed(phrase[at]) & self.cells).astype(np.uint32)))
+        return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -97,19 +101,18 @@ def table_size(docs: DataFrame) -> int:
     return min(MOST_CELLS, max(1 << 10, 1 << (size // BYTES_A_CELL).bit_length()))
 
 
-def frequent_cells(docs: DataFrame, least: int, cells: int) -> np.ndarray:
-    """Which cells hold at least ``least`` words, pairs and triples, over all documents: a bit each."""
+def frequent_cells(docs: DataFrame, longest: int, least: int, cells: int) -> np.ndarray:
+    """Which cells hold at least ``least`` phrases, over all documents: a bit each."""
     slab = min(SLAB, cells)
 
     def count(it):
-        table, kinds = np.zeros(cells, np.uint8), Cells(cells)
+        table, kinds = np.zeros(cells, np.uint8), Cells(cells, longest)
         for batch in it:
             found = [np.zeros(0, np.uint32)]
             for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 words, piece = flat(text)
                 if words:
-                    one, two, three = kinds.of(lang, words)
-                    found += [one, two[piece[1:] == piece[:-1]], three[piece[2:] == piece[:-2]]]
+                    found += [cell for _, cell in kinds.of(lang, words, piece)]
             cell = np.sort(np.concatenate(found))
             start = np.flatnonzero(np.r_[cell[:1] == cell[:1], cell[1:] != cell[:-1]])
             n, cell = np.diff(np.r_[start, len(cell)]), cell[start]
@@ -133,18 +136,17 @@ def frequent_cells(docs: DataFrame, least: int, cells: int) -> np.ndarray:
     return bits.ravel()
 
 
-def sizes(piece: np.ndarray, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, longest: int) -> np.ndarray:
-    """Words of the gram at each position; 0 for a word that is surely under the least count."""
-    n = len(piece)
-    joined = np.zeros(n, bool)
-    joined[:-1] = (piece[1:] == piece[:-1]) & pair & word[1:] & word[:-1]
-    third = np.zeros(n, bool)
-    third[:-2] = triple
-    shift = lambda x, k: np.r_[x[k:], np.zeros(min(k, n), bool)]
-    size, reach = word.astype(np.int64) + joined, joined
-    for k in range(3, longest + 1):
-        reach = reach & shift(joined, k - 2) & shift(third, k - 3)
-        size += reach
+def sizes(n: int, frequent: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Words of the gram at each of n positions: the longest phrase of which every part may be frequent (0: not even the word).
+
+    ``frequent``: per length the places where a phrase begins and whether it may be.
+    """
+    size, whole = np.zeros(n, np.int64), None
+    for at, may in frequent:
+        now = np.zeros(n + 1, bool)
+        now[at] = may if whole is None else may & whole[at] & whole[at + 1]
+        size += now[:-1]
+        whole = now
     return size
 
 
@@ -154,10 +156,10 @@ def grams(docs: DataFrame, longest: int, least: int, cells: int | None = None) -
     Positions whose word is surely under the least count are counted under the empty phrase.
     """
     cells = cells or table_size(docs)
-    known = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, least, cells))
+    known = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, longest, least, cells))
 
     def cut(it):
-        bits, kinds, held = known.value, Cells(cells), defaultdict(Counter)
+        bits, kinds, held = known.value, Cells(cells, longest), defaultdict(Counter)
         frequent = lambda c: (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
 
         def given():
@@ -170,7 +172,7 @@ def grams(docs: DataFrame, longest: int, least: int, cells: int | None = None) -
             for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 words, piece = flat(text)
                 if words:
-                    size = sizes(piece, *map(frequent, kinds.of(lang, words)), longest)
+                    size = sizes(len(words), [(at, frequent(cell)) for at, cell in kinds.of(lang, words, piece)])
                     at = np.flatnonzero(size)
                     count = held[lang]
                     count[b""] += len(words) - len(at)
