@@ -65,3 +65,14 @@ def explode_turns(df: DataFrame, key: str = "call_id", text: str = "transcript")
         F.when(parsed, m(6)).alias("speaker"),
         F.when(parsed, m(7)).alias("utterance"),
     )
+
+
+def parsed_turns(text: str = "transcript") -> Column:
+    """The lines of a transcript as an array of (line, parsed, stamp, speaker, utterance), as ``explode_turns`` gives them in rows."""
+    m = lambda x, i: F.regexp_extract(x, TURN_RE, i)
+
+    def turn(x: Column) -> Column:
+        ok = x.rlike(TURN_RE)
+        return F.struct(x.alias("line"), ok.alias("parsed"), F.when(ok, m(x, 1)).alias("stamp"), F.when(ok, m(x, 6)).alias("speaker"), F.when(ok, m(x, 7)).alias("utterance"))
+
+    return F.transform(F.split(F.col(text), "\n", -1), turn)

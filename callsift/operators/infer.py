@@ -10,9 +10,12 @@ Retry rounds replace the in-process retry loop: round k sends every still
 pending transcript hash, *writes* the round's attempts to the attempt log
 (Parquet in the shared checkpoint folder) and parses the written replies
 natively; hashes that validated leave the pending set (an anti-join against
-the log).  Because the log is written before it is used, no model call is
-ever repeated by a recomputation, and losing an executor only re-runs the
-round's unfinished tasks.
+the log).  A round is cut into waves by hash, each written before the next is sent: what
+is lost with a task, an executor or the whole run is asked again for one wave only, and a run that is
+started again with the same log continues behind the last whole wave.
+
+Beside its replies each wave writes how often each latency occurred, so telemetry adds up
+those tables and reads no attempt.
 """
 
 from __future__ import annotations
@@ -22,15 +25,20 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import BarrierTaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..session import ship_package, work_dir
+from . import files
 from .analysis import analyze
+from .metrics import latency_counts
 
 ResponderFactory = Callable[[], Callable[[pd.DataFrame], list]]
 ATTEMPT_SCHEMA = ("transcript_hash string, attempt int, latency_ms double, reply string, error string, "
                   "finished_at double")
+#: Transcripts of one wave: what may have to be asked again after a loss.
+WAVE = 100_000
 
 
 class ReplayResponder:
@@ -51,60 +59,90 @@ class ReplayResponder:
 
 
 def run_responder(df: DataFrame, factory: ResponderFactory, attempt: int, partitions: int | None = None,
-                  min_interval_sec: float = 0.0) -> DataFrame:
+                  min_interval_sec: float = 0.0, rate_per_sec: float | None = None) -> DataFrame:
     """One model call per row (U1): columns transcript_hash, transcript (+ what the responder reads).
 
     Rows are spread round-robin over ``partitions`` tasks first: the cost of a
     row is one model call whatever its size, so equal row counts balance the
-    tasks.  ``min_interval_sec`` paces the calls inside each task (U4).
+    tasks.  ``min_interval_sec`` paces the calls inside each task (U4), ``rate_per_sec`` those of the whole job: its
+    tasks then start together (a barrier stage of as many tasks as there are slots, at most) and each takes an
+    equal share of the rate, in turn.
     """
     ship_package(df.sparkSession)
     src = df.withColumn("_attempt", F.lit(attempt))
+    if rate_per_sec:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        partitions = min(partitions or slots, slots)
     if partitions:
         src = src.repartition(partitions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         respond = factory()
-        last = 0.0
+        interval, due = min_interval_sec, 0.0
+        if rate_per_sec:
+            task = BarrierTaskContext.get()
+            tasks = len(task.getTaskInfos())
+            task.barrier()
+            interval = max(interval, tasks / rate_per_sec)
+            due = time.time() + task.partitionId() / rate_per_sec
         for pdf in batches:
             out = []
             for i in range(len(pdf)):
                 row = pdf.iloc[i:i + 1]
-                if min_interval_sec:
-                    wait = last + min_interval_sec - time.time()
-                    if wait > 0:
-                        time.sleep(wait)
+                if interval:
+                    time.sleep(max(0.0, due - time.time()))
+                    due = max(due, time.time()) + interval if rate_per_sec else due
                 t0 = time.time()
                 try:
                     reply = respond(row)[0]
                     lat, err = (time.time() - t0) * 1000.0, None
                 except Exception as e:  # noqa: BLE001  (any transport failure is one failed attempt)
                     reply, lat, err = None, None, f"{type(e).__name__}: {e}"
-                last = time.time()
-                out.append((row["transcript_hash"].iloc[0], attempt, lat, reply, err, last))
+                done = time.time()
+                due = max(due, done + interval) if not rate_per_sec else due
+                out.append((row["transcript_hash"].iloc[0], attempt, lat, reply, err, done))
             yield pd.DataFrame(out, columns=["transcript_hash", "attempt", "latency_ms", "reply", "error", "finished_at"])
 
-    return src.mapInPandas(run, ATTEMPT_SCHEMA)
+    return src.mapInPandas(run, ATTEMPT_SCHEMA, barrier=bool(rate_per_sec))
+
+
+def _wave(waves: int) -> Column:
+    return F.pmod(F.crc32("transcript_hash"), F.lit(waves))
+
+
+def _waves(spark: SparkSession, part: str, pending: DataFrame, wave: int) -> int:
+    """Into how many waves a round is cut; a round begun before keeps its number."""
+    begun = [n for n in files.names(spark, part) if n.startswith("wave=")]
+    return int(begun[0].rsplit("-of-", 1)[1]) if begun else max(1, -(-pending.count() // wave))
 
 
 def infer_with_retries(spark: SparkSession, inputs: DataFrame, factory: ResponderFactory,
                        max_attempts: int = S.MAX_ATTEMPTS, wait_sec: float = S.RETRY_WAIT_SEC,
                        partitions: int | None = None, log_dir: str | None = None,
-                       sleep: Callable[[float], None] = time.sleep, min_interval_sec: float = 0.0) -> str:
+                       sleep: Callable[[float], None] = time.sleep, min_interval_sec: float = 0.0,
+                       rate_per_sec: float | None = None, wave: int = WAVE) -> str:
     """Run retry rounds over ``inputs`` (one row per distinct transcript_hash); return the log path.
 
-    The driver loops over rounds (at most ``max_attempts``), never over rows.  A round that
-    ``log_dir`` holds whole (a replayed run) is not sent again; each round reads only its own replies.
+    The driver loops over rounds (at most ``max_attempts``) and waves of about ``wave`` transcripts, never over rows.  A
+    wave that ``log_dir`` holds whole (a run started again) is not sent again; each round reads only its own replies.
+    ``inputs`` is written to the log first, so that it is computed once.
     """
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    log = log_dir or work_dir(spark, f"attempts-{uuid.uuid4().hex[:12]}")
-    pending = inputs
+    log = (log_dir or work_dir(spark, f"attempts-{uuid.uuid4().hex[:12]}")).rstrip("/")
+    if not files.exists(spark, f"{log}/_inputs/_SUCCESS"):
+        inputs.write.mode("overwrite").parquet(f"{log}/_inputs")
+    inputs = pending = spark.read.schema(inputs.schema).parquet(f"{log}/_inputs")
     for k in range(1, max_attempts + 1):
-        part = f"{log.rstrip('/')}/round={k}"
-        marker = hadoop_path(f"{part}/_SUCCESS")
-        if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
-            run_responder(pending, factory, k, partitions, min_interval_sec).write.mode("overwrite").parquet(part)
-        failed = analyze(spark.read.parquet(part)).filter("parse_status <> 'ok'").select("transcript_hash")
+        part = f"{log}/round={k}"
+        waves = _waves(spark, part, pending, wave)
+        for w in range(waves):
+            path = f"{part}/wave={w:06d}-of-{waves}"
+            if not files.exists(spark, f"{path}/_SUCCESS"):
+                asked = pending.where(_wave(waves) == w) if waves > 1 else pending
+                run_responder(asked, factory, k, partitions, min_interval_sec, rate_per_sec).write.mode("overwrite").parquet(path)
+        replies = analyze(spark.read.parquet(part))
+        if not files.exists(spark, f"{log}/_latencies/round={k}/_SUCCESS"):
+            latency_counts(_outcomes(replies)).write.mode("overwrite").parquet(f"{log}/_latencies/round={k}")
+        failed = replies.filter("parse_status <> 'ok'").select("transcript_hash")
         pending = inputs.join(failed, "transcript_hash", "left_semi")
         if k == max_attempts or pending.isEmpty():
             break
@@ -112,6 +150,15 @@ def infer_with_retries(spark: SparkSession, inputs: DataFrame, factory: Responde
     return log
 
 
+def _outcomes(replies: DataFrame) -> DataFrame:
+    return replies.select("latency_ms", (F.col("error").isNotNull() | (F.col("parse_status") != "ok")).alias("is_error"))
+
+
+def logged_latencies(spark: SparkSession, log: str) -> DataFrame:
+    """The latency counts of all rounds of a log, without reading its attempts."""
+    return spark.read.parquet(f"{log.rstrip('/')}/_latencies").select("latency_ms", "is_error", "n")
+
+
 def final_results(spark: SparkSession, log: str) -> DataFrame:
     """Per hash: the validated analysis of the attempt that succeeded, else the last attempt,
     with the number of attempts (one grouped pass over the log)."""
@@ -131,5 +178,4 @@ def attempt_log_metrics(spark: SparkSession, log: str) -> DataFrame:
     validate; a reply that came back counts as a model call even if it then
     failed validation (the reference records latency before parsing).
     """
-    v = analyze(spark.read.parquet(log))
-    return v.select("latency_ms", (F.col("error").isNotNull() | (F.col("parse_status") != "ok")).alias("is_error"))
+    return _outcomes(analyze(spark.read.parquet(log)))

@@ -7,31 +7,33 @@ executor.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema as S
 from ..functions.text import transcript_hash
-from ..session import work_dir
+from ..session import kept
 
 # ------------------------------------------------------------------ A3 percentiles
 
 
-def rank_rule_percentiles(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
+def latency_counts(outcomes: DataFrame) -> DataFrame:
+    """latency_ms, is_error, n: how often each occurred.  Tables of several rounds or runs may be put together."""
+    return outcomes.groupBy("latency_ms", "is_error").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rank_rule_percentiles(df: DataFrame, value: str, qs: list[float], weight: str | None = None) -> DataFrame:
     """(q, value_at_q) with the reference rule: sorted[min(int(q*n), n-1)] (Q7).
 
+    ``weight`` names a column that says how often a row's value occurred (a table of counts).
     One scan: counts per distinct value (combined map-side) are dealt by range of value
     and written once.  The ranges' totals, one row each, give every wanted position its
     range; the running count then orders the distinct values within those ranges only.
     The one window without a partition runs over the totals (one row per shuffle partition).
     """
-    spark = df.sparkSession
-    counts = (df.select(F.col(value).alias("_v")).filter(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    times = F.col(weight) if weight else F.lit(1)
+    counts = (df.select(F.col(value).alias("_v"), times.alias("_w")).filter(F.col("_v").isNotNull()).groupBy("_v").agg(F.sum("_w").alias("_c"))
               .repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
-    path = f"{work_dir(spark, 'percentiles')}/{uuid.uuid4().hex}"
-    counts.write.parquet(path)
-    counts = spark.read.parquet(path)
+    counts = kept(counts, "percentiles")
     upto = Window.orderBy("_p")
     ranges = counts.groupBy("_p").agg(F.sum("_c").alias("_t")).withColumn("_upto", F.sum("_t").over(upto))
     ranges = ranges.withColumn("_n", F.sum("_t").over(Window.partitionBy()))
@@ -46,19 +48,20 @@ def rank_rule_percentiles(df: DataFrame, value: str, qs: list[float]) -> DataFra
 
 
 # ------------------------------------------------------------------ A2 A4 telemetry
-def telemetry(attempts: DataFrame, stored_count: DataFrame, provider: str = "replay", model: str = "none",
+def telemetry(counts: DataFrame, stored_count: DataFrame, provider: str = "replay", model: str = "none",
               price_per_call: float = 0.0) -> DataFrame:
     """One row: llm_calls, errors, p50/p95/avg ms (rounded half-even to 0 decimals), store size, cost.
 
-    attempts: latency_ms (NULL when no reply came back), is_error.
+    counts: ``latency_counts`` of any number of rounds (latency_ms is NULL when no reply came back); no attempt is read.
     stored_count: a 1-row DataFrame with column ``n`` (the store's row count).
     """
-    agg = attempts.agg(F.count("latency_ms").cast("double").alias("llm_calls"),
-                       F.count_if(F.col("is_error")).cast("double").alias("errors"),
-                       F.sum("latency_ms").alias("total"))
+    replied = F.when(F.col("latency_ms").isNotNull(), F.col("n"))
+    agg = counts.agg(F.coalesce(F.sum(replied), F.lit(0)).cast("double").alias("llm_calls"),
+                     F.coalesce(F.sum(F.when(F.col("is_error"), F.col("n"))), F.lit(0)).cast("double").alias("errors"),
+                     F.sum(F.col("latency_ms") * F.col("n")).alias("total"))
     parts = [
         agg.select(F.expr("stack(3, 'llm_calls', llm_calls, 'errors', errors, 'total', total) as (metric, value)")),
-        rank_rule_percentiles(attempts, "latency_ms", [0.5, 0.95]).select(
+        rank_rule_percentiles(counts, "latency_ms", [0.5, 0.95], "n").select(
             F.when(F.col("q") == 0.5, F.lit("p50")).otherwise(F.lit("p95")).alias("metric"), "value"),
         stored_count.select(F.lit("n").alias("metric"), F.col("n").cast("double").alias("value")),
     ]

@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
+from ..functions import fmt
+from ..functions.text import parsed_turns
+from .rubric import RUBRIC
 
 SORT_KEYS = {"timestamp": "ts", "telecaller_name": "telecaller_name", "lead_name": "lead_name",
              "duration_sec": "duration_sec", "overall_score": "overall_score"}
@@ -115,3 +118,30 @@ def telecaller_names(rows: DataFrame) -> DataFrame:
 def lookup(calls: DataFrame, keys: DataFrame, key: str = "call_id") -> DataFrame:
     """Detail rows for many keys at once: a left-semi join (P3); absent keys yield nothing."""
     return calls.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def newest(rows: DataFrame, n: int, order_by_text: bool = False) -> DataFrame:
+    """The newest ``n`` rows by instant (``ts``), or by the text of their time as the reference compares it (``timestamp``, Q1)."""
+    return rows.orderBy(F.col("timestamp" if order_by_text else "ts").desc_nulls_last(), F.col("call_id")).limit(n)
+
+
+def call_detail(calls: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
+    """The detail record per call (T8): title, labels, every field, ``scores`` (score, reason and rubric anchor per
+    dimension) and ``turns`` (the transcript's lines).  One projection: the 24 anchors are a literal map, the turns stay in the row."""
+    a, ex = F.col("analysis"), F.col("analysis.extraction")
+    anchors = F.create_map(*[F.lit(x) for d, (_, texts, _) in RUBRIC.items() for s, text in texts.items() for x in (f"{d}:{s}", text)])
+
+    def score(d: str) -> Column:
+        one = a["quality_scores"][d]
+        return F.struct(F.lit(d).alias("dimension"), fmt.dimension_label(F.lit(d)).alias("dimension_label"), one["score"].alias("score"),
+                        one["reason"].alias("reason"), F.try_element_at(anchors, F.concat(F.lit(f"{d}:"), one["score"].cast("string"))).alias("anchor"))
+
+    return calls.select(
+        "call_id", F.concat_ws(" · ", "lead_name", "telecaller_name").alias("title"),
+        F.concat_ws(" · ", fmt.fmt_date("ts", zone), fmt.fmt_duration("duration_sec")).alias("subtitle"),
+        fmt.quarters_two_decimals("score_quarters").alias("overall_text"), ex["unit_configuration"].alias("unit_configuration"),
+        fmt.budget_label(ex["budget_range"]).alias("budget_label"), ex["timeline"].alias("timeline"),
+        fmt.locations_label(ex["preferred_locations"]).alias("locations_label"), ex["site_visit_outcome"].alias("site_visit_outcome"),
+        a["last_stage_reached"].alias("last_stage_reached"), a["recommended_next_action"].alias("recommended_next_action"),
+        a["next_action_reason"].alias("next_action_reason"), a["summary"].alias("summary"),
+        F.array(*[score(d) for d in S.DIMENSIONS]).alias("scores"), parsed_turns("transcript").alias("turns"))

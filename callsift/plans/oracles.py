@@ -111,3 +111,4 @@ oracle("transcript_hash", with_ctes(["calls"]) + f"SELECT call_id, {hash_sql('tr
 
 from . import oracles_ops  # noqa: E402,F401  (registers the remaining oracles)
 from . import oracles_rules  # noqa: E402,F401
+from . import oracles_store  # noqa: E402,F401

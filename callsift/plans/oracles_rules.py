@@ -26,14 +26,14 @@ _canon = "CASE p " + " ".join(f"WHEN {q(g.lower())} THEN {q(g)}" for g in R.GAZE
 _stage_names = "[" + ", ".join(q(s) for s in S.LAST_STAGES) + "]"
 
 RULES_CTES = [
-    "ln AS (SELECT call_id, unnest(string_split(transcript, chr(10))) AS line, "
+    "ln AS MATERIALIZED (SELECT call_id, unnest(string_split(transcript, chr(10))) AS line, "
     "generate_subscripts(string_split(transcript, chr(10)), 1) - 1 AS idx FROM calls)",
-    f"t0 AS (SELECT call_id, idx, regexp_extract(line, {q(TURN_RE)}, 6) AS spk, "
+    f"t0 AS MATERIALIZED (SELECT call_id, idx, regexp_extract(line, {q(TURN_RE)}, 6) AS spk, "
     f"lower(regexp_extract(line, {q(TURN_RE)}, 7)) AS u FROM ln)",
-    "t1 AS (SELECT *, contains(u, '?') AS qm, regexp_extract_all(u, " + q(R.UNIT_RE) + ", 0)[-1] AS um, "
+    "t1 AS MATERIALIZED (SELECT *, contains(u, '?') AS qm, regexp_extract_all(u, " + q(R.UNIT_RE) + ", 0)[-1] AS um, "
     f"regexp_extract(u, {q(R.AMOUNT_RE)}, 1) AS a1, regexp_extract(u, {q(R.AMOUNT_RE)}, 2) AS a2, "
     f"regexp_extract(u, {q(R.AMOUNT_RE)}, 3) AS a3, regexp_extract(u, {q(R.MONTHS_RE)}, 1) AS mo FROM t0 WHERE spk <> '')",
-    "tf AS (SELECT call_id, idx, spk, u, qm, "
+    "tf AS MATERIALIZED (SELECT call_id, idx, spk, u, qm, "
     "CASE WHEN um LIKE '%bhk%' THEN regexp_extract(um, '([234])', 1) || 'BHK' WHEN um LIKE 'villa%' THEN 'villa' "
     "WHEN um LIKE 'plot%' THEN 'plot' END AS unit, "
     "CASE WHEN a1 <> '' THEN CAST(a1 AS DOUBLE) * (CASE WHEN a3 LIKE 'c%' THEN 100.0 ELSE 1.0 END) END AS lo, "
@@ -43,25 +43,28 @@ RULES_CTES = [
     f"CASE WHEN {rx(R.IMMEDIATE_RE)} THEN 'immediate' WHEN {rx(R.EXPLORING_RE)} THEN 'exploring' END AS tl_kw, "
     f"regexp_extract_all(u, {q(R.PLACE_RE)}, 1) AS places, {_areas} AS areas, {_topics} AS topics, "
     + ", ".join(f"{rx(p)} AS {n}" for n, p in _bools.items()) + " FROM t1)",
-    "tw AS (SELECT *, min(CASE WHEN spk = 'Lead' THEN idx END) OVER (PARTITION BY call_id ORDER BY idx "
+    "tw AS MATERIALIZED (SELECT *, min(CASE WHEN spk = 'Lead' THEN idx END) OVER (PARTITION BY call_id ORDER BY idx "
     "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nl_idx, min(CASE WHEN spk = 'Agent' THEN idx END) OVER "
     "(PARTITION BY call_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS na_idx FROM tf)",
-    "tt AS (SELECT t.*, nl.pushback AS nl_pushback, nl.agree AS nl_agree, nl.not_here AS nl_not_here, "
+    "tt AS MATERIALIZED (SELECT t.*, nl.pushback AS nl_pushback, nl.agree AS nl_agree, nl.not_here AS nl_not_here, "
     "na.topics AS na_topics, na.digit AS na_digit, na.generic AS na_generic FROM tw t "
     "LEFT JOIN tw nl ON nl.call_id = t.call_id AND nl.idx = t.nl_idx LEFT JOIN tw na ON na.call_id = t.call_id AND na.idx = t.na_idx)",
     # per-turn stage rank
-    "tr AS (SELECT t.*, greatest(CASE WHEN greet THEN 1 ELSE 0 END, "
+    # the turns that answer an objection, and those that answer a request
+    "replies_to AS MATERIALIZED (SELECT call_id, idx, bool_or(objection) AS to_objection, bool_or(ask) AS to_ask FROM ("
+    "SELECT call_id, na_idx AS idx, true AS objection, false AS ask FROM tt WHERE spk = 'Lead' AND objection AND na_idx IS NOT NULL UNION ALL "
+    "SELECT call_id, nl_idx, false, true FROM tt WHERE spk = 'Agent' AND (ask_visit OR ask_fu OR ask_br) AND nl_idx IS NOT NULL) GROUP BY call_id, idx)",
+    "tr AS MATERIALIZED (SELECT t.*, greatest(CASE WHEN greet THEN 1 ELSE 0 END, "
     "CASE WHEN spk = 'Agent' AND qm AND (len(areas) > 0 OR vague) THEN 2 ELSE 0 END, "
     "CASE WHEN spk = 'Agent' AND len(topics) > 0 THEN 3 ELSE 0 END, "
-    "CASE WHEN spk = 'Agent' AND idx IN (SELECT o.na_idx FROM tt o WHERE o.call_id = t.call_id AND o.spk = 'Lead' "
-    "AND o.objection AND o.na_idx IS NOT NULL) THEN 4 ELSE 0 END, "
+    "CASE WHEN spk = 'Agent' AND coalesce(x.to_objection, false) THEN 4 ELSE 0 END, "
     "CASE WHEN spk = 'Agent' AND (ask_visit OR ask_fu OR ask_br) THEN 5 ELSE 0 END, "
-    "CASE WHEN spk = 'Lead' AND agree AND idx IN (SELECT a.nl_idx FROM tt a WHERE a.call_id = t.call_id AND a.spk = 'Agent' "
-    "AND (a.ask_visit OR a.ask_fu OR a.ask_br) AND a.nl_idx IS NOT NULL) THEN 6 ELSE 0 END) AS rnk FROM tt t)",
+    "CASE WHEN spk = 'Lead' AND agree AND coalesce(x.to_ask, false) THEN 6 ELSE 0 END) AS rnk "
+    "FROM tt t LEFT JOIN replies_to x ON x.call_id = t.call_id AND x.idx = t.idx)",
     "trw AS (SELECT *, coalesce(max(rnk) OVER (PARTITION BY call_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING "
     "AND 1 PRECEDING), 0) AS prior_best FROM tr)",
     # per-call aggregates
-    """agg AS (SELECT c.call_id,
+    """agg AS MATERIALIZED (SELECT c.call_id,
   max_by(unit, idx) FILTER (WHERE spk = 'Lead' AND unit IS NOT NULL) AS lead_unit,
   max_by(unit, idx) FILTER (WHERE spk = 'Agent' AND unit IS NOT NULL) AS agent_unit,
   max_by(lo, idx) FILTER (WHERE spk = 'Lead' AND lo IS NOT NULL) AS l_lo, max_by(hi, idx) FILTER (WHERE spk = 'Lead' AND lo IS NOT NULL) AS l_hi,
@@ -92,7 +95,7 @@ RULES_CTES = [
   count(*) FILTER (WHERE spk = 'Lead' AND objection AND na_idx IS NOT NULL AND len(na_topics) = 0 AND na_generic) AS n_gen,
   max_by(rnk, idx) FILTER (WHERE rnk > 0 AND NOT (rnk = 1 AND prior_best >= 2)) AS stage_rank
 FROM calls c LEFT JOIN trw t ON t.call_id = c.call_id GROUP BY c.call_id)""",
-    """r1 AS (SELECT a.*, vr.idx AS vr_idx, vr.refuse AS vr_refuse, vr.agree AS vr_agree, vr.date AS vr_date, vr.defer AS vr_defer,
+    """r1 AS MATERIALIZED (SELECT a.*, vr.idx AS vr_idx, vr.refuse AS vr_refuse, vr.agree AS vr_agree, vr.date AS vr_date, vr.defer AS vr_defer,
   ar.idx AS ar_idx, ar.agree AS ar_agree, ar.date AS ar_date, ar.defer AS ar_defer,
   coalesce(a.l_lo, a.a_lo) AS b_lo, CASE WHEN a.l_lo IS NOT NULL THEN a.l_hi ELSE a.a_hi END AS b_hi,
   len(list_distinct(a.all_areas)) AS n_areas

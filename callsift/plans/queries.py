@@ -148,3 +148,4 @@ def q_transcript_hash(spark, sf_dir):
 
 from . import queries_ops  # noqa: E402,F401  (registers the remaining queries)
 from . import queries_infer  # noqa: E402,F401
+from . import queries_store  # noqa: E402,F401

@@ -62,7 +62,7 @@ def q_stream_upload(spark, sf_dir):
         part.write.mode("append").json(f"{base}/in")
         run_upload_stream(spark, f"{base}/in", f"{base}/store", f"{base}/out", infer.ReplayResponder(),
                           f"{base}/ckpt", ingest_ts=F.to_timestamp(F.lit("2026-01-02 03:04:05")),
-                          extra_schema="doc_key string, recorded_reply string")
+                          extra_schema="doc_key string, recorded_reply string", wait_sec=0.0)
     return spark.read.parquet(f"{base}/out/responses").select("doc_key", "call_id", "cached", "overall_score", "status")
 
 
@@ -177,10 +177,8 @@ def q_batch_run(spark, sf_dir):
     root = work_dir(spark, f"batch-{uuid.uuid4().hex[:12]}")
     c = FX.calls(spark, sf_dir).join(FX.replies(spark, sf_dir), "conv_id").withColumnRenamed("reply", "recorded_reply")
     ts = F.to_timestamp(F.lit("2026-01-02 03:04:05"))
-    first, _ = run_batch(spark, c.filter(F.col("conv_id") % 2 == 0), None, root, infer.ReplayResponder(), ts,
-                         extra=["recorded_reply"])
-    _, summary = run_batch(spark, c, spark.read.parquet(first), root, infer.ReplayResponder(), ts,
-                           extra=["recorded_reply"])
+    run_batch(spark, c.filter(F.col("conv_id") % 2 == 0), root, infer.ReplayResponder(), ts, extra=["recorded_reply"])
+    _, summary = run_batch(spark, c, root, infer.ReplayResponder(), ts, extra=["recorded_reply"])
     return summary
 
 

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..functions import fmt
 from ..functions.coerce import with_boundary
 from ..functions.text import transcript_hash
-from ..operators import dedup, ingest, metrics, rubric, store, views
+from ..operators import dedup, ingest, metrics, partition_store, rubric, store, views
 from ..operators.analysis import analyze
-from ..session import work_dir
+from ..session import kept, work_dir
 from ..sources import fixtures as FX
 from .queries import register, stored_calls, validated
 
@@ -102,25 +101,27 @@ def q_call_count(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- metrics
-def _attempts(spark, sf_dir) -> DataFrame:
+def latency_rounds(spark, sf_dir) -> DataFrame:
+    """The latency counts of three model rounds (events by event_id % 3), each a part of one written table."""
     e = FX.table(spark, sf_dir, "events")
-    return e.select(F.col("value").alias("latency_ms"), (F.col("event_type") == "error").alias("is_error"))
+    rounds = e.select((F.col("event_id") % 3).alias("round"), F.col("value").alias("latency_ms"), (F.col("event_type") == "error").alias("is_error"))
+    return kept(rounds.groupBy("round", "latency_ms", "is_error").agg(F.count(F.lit(1)).alias("n")), "latencies")
 
 
 @register("latency_telemetry")
 def q_latency_telemetry(spark, sf_dir):
     n = stored_calls(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    return metrics.telemetry(_attempts(spark, sf_dir), n)
+    return metrics.telemetry(latency_rounds(spark, sf_dir), n)
 
 
 @register("latency_percentiles")
 def q_latency_percentiles(spark, sf_dir):
-    return metrics.rank_rule_percentiles(_attempts(spark, sf_dir), "latency_ms", [0.5, 0.9, 0.95, 0.99])
+    return metrics.rank_rule_percentiles(latency_rounds(spark, sf_dir), "latency_ms", [0.5, 0.9, 0.95, 0.99], "n")
 
 
 def _eval_pairs(spark, sf_dir) -> DataFrame:
     """Gold = validated reply of conv c (every 10th without scores); prediction = reply of c + 1."""
-    v = validated(spark, sf_dir)
+    v = kept(validated(spark, sf_dir).select("conv_id", "analysis", "parse_status"), "validated")  # read as gold and as prediction
     gold = v.filter("parse_status = 'ok'").select("conv_id", "analysis")
     nulled = F.col("analysis")
     for d in S.DIMENSIONS:
@@ -296,11 +297,11 @@ def q_first_n(spark, sf_dir):
 # ----------------------------------------------------------------- store
 def _store_and_batch(spark, sf_dir):
     calls = FX.calls(spark, sf_dir)
-    # both sides read the validated replies: kept once rather than validated twice
-    v = validated(spark, sf_dir).filter("parse_status = 'ok'").select(
-        "conv_id", "analysis", "score_quarters", "overall_score").persist(StorageLevel.MEMORY_AND_DISK)
+    # both sides read the validated replies: written once rather than validated twice
+    v = kept(validated(spark, sf_dir).filter("parse_status = 'ok'").select(
+        "conv_id", "analysis", "score_quarters", "overall_score"), "validated")
     old = (calls.filter(F.col("conv_id") % 2 == 0).join(v, "conv_id")
-           .withColumns({"transcript_hash": transcript_hash("transcript"), "created_at": F.col("ts")}))
+           .withColumn("transcript_hash", transcript_hash("transcript")))
     nxt = v.withColumn("conv_id", F.col("conv_id") - 1)
     batch = (calls.join(nxt, "conv_id")
              .withColumns({"lead_name": F.upper("lead_name"),
@@ -311,8 +312,12 @@ def _store_and_batch(spark, sf_dir):
 
 @register("upsert_calls")
 def q_upsert_calls(spark, sf_dir):
+    """Two merges into a stored table (M1 M4): the first creates it, the second sends every call again with other values."""
     old, batch = _store_and_batch(spark, sf_dir)
-    m = store.merge_calls(old, batch, F.to_timestamp(F.lit(INGEST_TS)))
+    root = f"{work_dir(spark, 'upsert')}/{uuid.uuid4().hex}"
+    partition_store.merge(spark, root, old, F.col("b.ts"))
+    partition_store.merge(spark, root, batch, F.to_timestamp(F.lit(INGEST_TS)))
+    m = partition_store.calls(spark, root)
     return m.select("call_id", "lead_name", "transcript_hash", "overall_score", _ts_text("created_at").alias("created_at"),
                     F.col("call_date").cast("string").alias("call_date"))
 

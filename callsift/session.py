@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "callsift", cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -56,6 +57,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to a fresh folder in the shared checkpoint folder and read it back: later plans do not compute it again."""
+    path = f"{work_dir(df.sparkSession, 'kept')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set = set()
 
 
@@ -67,7 +75,6 @@ def ship_package(spark: SparkSession) -> None:
     file server then hands the zip to every executor, as ``--py-files`` would.
     """
     import io
-    import uuid
     import zipfile
 
     sc = spark.sparkContext

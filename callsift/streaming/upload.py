@@ -4,13 +4,13 @@
 ``foreachBatch``:
   1. picks the transcript and fills defaults / ids (P10-P13), rejects blanks;
   2. serves transcripts whose hash is already in the store from the store
-     (J2, ``cached = true``);
+     (J2, ``cached = true``), by the store's hash table and not by its calls;
   3. sends each remaining distinct hash to the model once (J3 + retry rounds);
-  4. merges the new calls into the store as a new snapshot (M1) and appends
+  4. merges the new calls into the dates they fall on (M1) and writes
      the response records for the epoch.
 The store itself is the dedup memory (no streaming state), so dedup has no
-time limit.  A replayed epoch starts from the newest snapshot that is not its
-own, finds its model replies in the attempt log instead of asking again, and
+time limit.  An epoch is merged once: a replayed one looks up the version that it
+began with, finds its model replies in the attempt log instead of asking again, and
 overwrites its responses; rejected and failed uploads are answered with a status.
 """
 
@@ -22,17 +22,14 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
-from ..operators import dedup, infer, ingest, store
-from ..operators.store import latest_snapshot
-
-def read_store(spark: SparkSession, root: str) -> DataFrame | None:
-    snap = latest_snapshot(spark, root)
-    return store.read_snapshot(spark, snap) if snap else None
+from ..operators import dedup, infer, ingest, partition_store
+from ..session import kept
 
 
 def process_uploads(spark: SparkSession, payloads: DataFrame, store_root: str, responder: infer.ResponderFactory,
                     epoch: int, ingest_ts: Column, out_root: str, partitions: int | None = None,
-                    min_interval_sec: float = 0.0, extra: tuple[str, ...] = ("recorded_reply",)) -> None:
+                    min_interval_sec: float = 0.0, extra: tuple[str, ...] = ("recorded_reply",),
+                    wait_sec: float = S.RETRY_WAIT_SEC, rate_per_sec: float | None = None) -> None:
     """One micro-batch of uploads (also usable as a plain batch job).
 
     ``extra`` names payload columns that the responder reads.  Payloads without a ``doc_key``
@@ -40,42 +37,37 @@ def process_uploads(spark: SparkSession, payloads: DataFrame, store_root: str, r
     """
     if "doc_key" not in payloads.columns:
         payloads = payloads.withColumn("doc_key", F.concat(F.lit(f"{epoch}-"), F.monotonically_increasing_id().cast("string")))
+    # written once: the keys stay the same in every plan that reads them
+    payloads = kept(payloads, "payloads")
     rows, rejected = ingest.upload_rows(payloads, ingest_ts)
-    tag = f"{zlib.crc32(out_root.encode()):08x}.{epoch}"  # this epoch of this stream
-    base = latest_snapshot(spark, store_root, but=tag)
-    current = store.read_snapshot(spark, base) if base else None
-    if current is not None:
-        looked = dedup.cache_lookup(rows, current, created="created_at")
-    else:
-        looked = rows.withColumns({"cached_call_id": F.lit(None).cast("string"), "cached": F.lit(False)})
+    stream = f"{zlib.crc32(out_root.encode()):08x}"  # this stream's name in the store
+    now = partition_store.version(spark, store_root)
+    last, began = now.epochs.get(stream, [-1, now.number])
+    base = began if last == epoch else now.number
+    looked = kept(partition_store.cache_lookup(spark, store_root, rows, base), "looked")
     fresh = looked.filter(~F.col("cached"))
     # one model call per distinct new transcript (the first upload of it in this batch)
     inputs = fresh.groupBy("transcript_hash").agg(
         F.min_by(F.struct("transcript", *[c for c in extra if c in fresh.columns]), F.col("call_id")).alias("_r")
     ).select("transcript_hash", "_r.*")
-    log = infer.infer_with_retries(spark, inputs, responder, wait_sec=0.0, partitions=partitions, min_interval_sec=min_interval_sec,
-                                   log_dir=f"{out_root.rstrip('/')}/attempts/epoch={epoch}")
-    answers = infer.final_results(spark, log)
+    log = infer.infer_with_retries(spark, inputs, responder, wait_sec=wait_sec, partitions=partitions, min_interval_sec=min_interval_sec,
+                                   rate_per_sec=rate_per_sec, log_dir=f"{out_root.rstrip('/')}/attempts/epoch={epoch}")
+    answers = kept(infer.final_results(spark, log), "answers")
     res = answers.filter("parse_status = 'ok'")
-    firsts = dedup.in_batch_duplicates(fresh, "transcript_hash", "doc_key").filter("is_first")
-    new_calls = firsts.join(res, "transcript_hash").select(
+    marked = dedup.in_batch_duplicates(fresh, "transcript_hash", "doc_key")
+    new_calls = marked.filter("is_first").join(res, "transcript_hash").select(
         "call_id", "telecaller_id", "telecaller_name", "lead_id", "lead_name", "duration_sec", "ts", "transcript",
         "analysis", "overall_score", "score_quarters", "transcript_hash")
-    if current is None:
-        merged = new_calls.withColumns({"created_at": ingest_ts, "call_date": F.to_date("ts")})
-    else:
-        merged = store.merge_calls(current, new_calls, ingest_ts)
-    snap = store.write_snapshot(merged, store_root, tag)
-    # responses: fresh uploads answered by their hash's analysis, cached ones by the stored call
-    stored_now = store.read_snapshot(spark, snap)
+    partition_store.merge(spark, store_root, new_calls, ingest_ts, stream=(stream, epoch))
+    # responses: fresh uploads answered by their hash's analysis, cached ones by the stored call;
     # a later upload of a transcript first seen in this same batch is answered from that first one
-    marked = dedup.in_batch_duplicates(fresh, "transcript_hash", "doc_key")
     ok = F.col("parse_status") == "ok"
     fresh_out = marked.join(answers, "transcript_hash").select(
         "doc_key", F.when(ok, F.concat(F.lit("UPLOAD_"), F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.lit("_"), "transcript_hash")).alias("call_id"),
         (ok & ~F.col("is_first")).alias("cached"), "overall_score", F.col("parse_status").alias("status"))
-    cached_out = looked.filter("cached").join(
-        stored_now.select(F.col("call_id").alias("cached_call_id"), "overall_score"), "cached_call_id").select(
+    hits = looked.filter("cached").select("doc_key", "cached_call_id")
+    known = partition_store.lookup(spark, store_root, hits.select(F.col("cached_call_id").alias("call_id")), base)
+    cached_out = hits.join(known.select(F.col("call_id").alias("cached_call_id"), "overall_score"), "cached_call_id").select(
         "doc_key", F.col("cached_call_id").alias("call_id"), F.lit(True).alias("cached"), "overall_score", F.lit("ok").alias("status"))
     rejected_out = rejected.select("doc_key", F.lit(None).cast("string").alias("call_id"), F.lit(False).alias("cached"),
                                    F.lit(None).cast("double").alias("overall_score"), F.lit("rejected").alias("status"))
@@ -86,7 +78,8 @@ def process_uploads(spark: SparkSession, payloads: DataFrame, store_root: str, r
 def run_upload_stream(spark: SparkSession, payload_dir: str, store_root: str, out_root: str,
                       responder: infer.ResponderFactory, checkpoint: str, ingest_ts: Column | None = None,
                       files_per_trigger: int | None = None, extra_schema: str = "",
-                      min_interval_sec: float = 0.0, extra: tuple[str, ...] = ("recorded_reply",)) -> None:
+                      min_interval_sec: float = 0.0, extra: tuple[str, ...] = ("recorded_reply",),
+                      wait_sec: float = S.RETRY_WAIT_SEC, rate_per_sec: float | None = None) -> None:
     """Process every payload file present now (``availableNow``) and stop."""
     schema = S.PAYLOAD.simpleString()[len("struct<"):-1].replace(":", " ")
     if extra_schema:
@@ -100,7 +93,8 @@ def run_upload_stream(spark: SparkSession, payload_dir: str, store_root: str, ou
         # one literal per micro-batch: a recomputed task sees the same ingest time
         now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
         ts = ingest_ts if ingest_ts is not None else F.to_timestamp(F.lit(now))
-        process_uploads(spark, df, store_root, responder, epoch, ts, out_root, min_interval_sec=min_interval_sec, extra=extra)
+        process_uploads(spark, df, store_root, responder, epoch, ts, out_root, min_interval_sec=min_interval_sec, extra=extra,
+                        wait_sec=wait_sec, rate_per_sec=rate_per_sec)
 
     q = (src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

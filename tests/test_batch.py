@@ -5,9 +5,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from callsift.operators import infer, ingest
+from callsift.operators import infer, ingest, partition_store
 from callsift.operators.batch import run_batch
-from callsift.operators.store import apply_edits, latest_snapshot, write_snapshot
+from callsift.operators.store import apply_edits
 from callsift.plans.queries import stored_calls
 from callsift.session import work_dir
 from callsift.sources import fixtures as FX
@@ -15,39 +15,42 @@ from callsift.sources import fixtures as FX
 from conftest import SF_SMALL
 
 
+def _calls(spark):
+    return FX.calls(spark, SF_SMALL).join(FX.replies(spark, SF_SMALL), "conv_id").withColumnRenamed("reply", "recorded_reply")
+
+
+def _run(spark, rows, root, **more):
+    number, summary = run_batch(spark, rows, root, infer.ReplayResponder(), F.to_timestamp(F.lit("2026-01-02 03:04:05")), extra=["recorded_reply"], **more)
+    return number, dict(tuple(r) for r in summary.collect())
+
+
 def test_batch_run_twice_adds_nothing(spark):
     root = work_dir(spark, f"test-batch-{uuid.uuid4().hex[:8]}")
-    c = FX.calls(spark, SF_SMALL).join(FX.replies(spark, SF_SMALL), "conv_id").withColumnRenamed("reply", "recorded_reply")
-    ts = F.to_timestamp(F.lit("2026-01-02 03:04:05"))
-    snap1, s1 = run_batch(spark, c, None, root, infer.ReplayResponder(), ts, extra=["recorded_reply"])
-    first = dict(tuple(r) for r in s1.collect())
-    n1 = spark.read.parquet(snap1).count()
+    c = _calls(spark)
+    one, first = _run(spark, c, root)
+    n1 = partition_store.calls(spark, root).count()
     assert n1 == first["ok"] and first["ok"] + first.get("fail", 0) == c.count()
-    snap2, s2 = run_batch(spark, c, spark.read.parquet(snap1), root, infer.ReplayResponder(), ts, extra=["recorded_reply"])
-    second = dict(tuple(r) for r in s2.collect())
-    assert spark.read.parquet(snap2).count() == n1
+    two, second = _run(spark, c, root)
+    assert (one, two) == (1, 1) and partition_store.calls(spark, root).count() == n1
     assert second.get("skipped") == n1 and second.get("ok", 0) == 0
+    # forced: every call is asked again, nothing is added
+    three, forced = _run(spark, c, root, force=True)
+    assert three == 2 and forced == first and partition_store.calls(spark, root).count() == n1
 
 
-def test_repeated_ids_are_stored_once_and_batch_snapshots_are_in_order(spark):
+def test_repeated_ids_are_stored_once(spark):
     root = work_dir(spark, f"test-batch-{uuid.uuid4().hex[:8]}")
-    c = FX.calls(spark, SF_SMALL).join(FX.replies(spark, SF_SMALL), "conv_id").withColumnRenamed("reply", "recorded_reply")
+    c = _calls(spark)
     late = c.withColumns({"ts": F.expr("ts + interval 1 hour"), "transcript": F.concat("transcript", F.lit(" again"))})
     # the first row of every third id fails, its repeat validates
     early = c.withColumn("recorded_reply", F.when(F.col("conv_id") % 3 == 0, F.lit("no")).otherwise(F.col("recorded_reply")))
-    ts = F.to_timestamp(F.lit("2026-01-02 03:04:05"))
-    snap, summary = run_batch(spark, early.unionByName(late), None, root, infer.ReplayResponder(), ts, extra=["recorded_reply"])
-    got = dict(tuple(r) for r in summary.collect())
-    alone, plain = run_batch(spark, c, None, root + "b", infer.ReplayResponder(), ts, extra=["recorded_reply"])
-    plain = dict(tuple(r) for r in plain.collect())
-    stored = spark.read.parquet(snap)
-    third = spark.read.parquet(alone).filter("cast(substring(call_id, 6) as int) % 3 = 0").count()
+    _, got = _run(spark, early.unionByName(late), root)
+    _, plain = _run(spark, c, root + "b")
+    stored = partition_store.calls(spark, root)
+    third = partition_store.calls(spark, root + "b").filter("cast(substring(call_id, 6) as int) % 3 = 0").count()
     assert stored.count() == stored.select("call_id").distinct().count() == got["ok"] == plain["ok"]
     assert got["fail"] == 2 * plain["fail"] + third and got["skipped"] == plain["ok"] - third
     assert stored.filter("transcript like '% again'").count() == third
-    for _ in range(3):
-        snap = write_snapshot(stored.limit(1), root)
-        assert latest_snapshot(spark, root) == snap
 
 
 def test_an_invalid_edit_hides_no_earlier_valid_one(spark):

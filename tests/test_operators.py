@@ -39,7 +39,7 @@ def test_percentile_rule(spark):
     vals = [round(rnd.expovariate(1 / 50), 2) for _ in range(3001)] + [7.0] * 500
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     qs = [0.0, 0.5, 0.95, 0.999, 1.0]
-    got = {r["q"]: r["value"] for r in metrics.rank_rule_percentiles(df, "v", qs, widths=(64.0, 5.0)).collect()}
+    got = {r["q"]: r["value"] for r in metrics.rank_rule_percentiles(df, "v", qs).collect()}
     s = sorted(vals)
     for q in qs:
         assert got[q] == s[min(int(q * len(s)), len(s) - 1)]
@@ -116,15 +116,15 @@ def test_retry_rounds_stop_and_count(spark):
     assert tuple(m) == (5, 4)  # 3 unparsable replies of b2 + 1 transport failure of 03
 
 
-def test_store_snapshot_prunes_partitions_and_pushes_filters(spark):
+def test_store_prunes_partitions_and_pushes_filters(spark):
     import uuid
 
+    from callsift.operators import partition_store
     from callsift.operators.extras import date_score_filter
     from callsift.session import work_dir
-    st = _store(spark).withColumn("call_date", F.to_date("ts"))
     root = work_dir(spark, f"test-snap-{uuid.uuid4().hex[:8]}")
-    path = store.write_snapshot(st, root)
-    df = store.read_snapshot(spark, path)
+    partition_store.merge(spark, root, _store(spark), F.to_timestamp(F.lit("2026-01-02 00:00:00")))
+    df = partition_store.calls(spark, root)
     q = df.filter(date_score_filter("2026-01-01 00:00:00", "2026-01-02 00:00:00", 1.0, None) & (F.col("lead_name") == "ln"))
     plan = q.select("call_id", "overall_score")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(call_date" in plan
