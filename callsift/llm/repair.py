@@ -47,11 +47,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int) -> tuple[np.ndarra
             break
         key = (seq[:-1] << 32) | seq[1:]
         bucket = ((key * (0x9E3779B97F4A7C1 + 2 * turn)) >> 24) & (BUCKETS - 1)
-        within = np.ones(len(key), bool)
-        within[starts[1:] - 1] = False  # a pair lies in one document
-        full = np.bincount(bucket, within, BUCKETS)
+        bucket[starts[1:] - 1] = BUCKETS  # a pair lies in one document
+        full = np.bincount(bucket, minlength=BUCKETS + 1)
+        full[BUCKETS] = 0
         least = max(LEAST, int(np.partition(full, -RULES)[-RULES]))
-        hot = np.flatnonzero(within & (full >= least)[bucket])
+        hot = np.flatnonzero((full >= least)[bucket])
         bucket, key = bucket[hot], key[hot]
         pair_of = np.zeros(BUCKETS, np.int64)
         pair_of[bucket] = key  # one pair for each full bucket; a pair that loses its bucket has another in the next round
@@ -148,22 +148,35 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 1) -> Data
 _READ = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+def expanded(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all symbols, and where each symbol's ids begin."""
+    expand = Expander(rules, first)
+    table = np.frombuffer(b"".join(expand[first + i] for i in range(len(rules))), "<u4")
+    at_rule = np.cumsum(lengths) - lengths
+    rule = symbols >= first
+    which = symbols[rule].astype(np.int64) - first
+    own = np.ones(len(symbols), np.int64)
+    own[rule] = lengths[which]
+    begin = np.cumsum(own) - own
+    ids = np.repeat(symbols, own)
+    n = own[rule]
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    ids[inside + np.repeat(begin[rule], n)] = table[inside + np.repeat(at_rule[which], n)]
+    return ids, begin
+
+
 def _decode(it):
     for b in it:
         for s in b.to_pylist():
             rules, symbols = np.frombuffer(s["rules"], "<u4").reshape(-1, 2), np.frombuffer(s["symbols"], "<u4")
-            expand = Expander(rules, s["first"]).__getitem__
-            at = np.frombuffer(s["doc_symbols"], "<i8").tolist()
-            none = np.unpackbits(np.frombuffer(s["no_id"], np.uint8), count=s["n_docs"])
-            rows = []
-            for i, doc_id in enumerate(np.frombuffer(s["doc_ids"], "<i8").tolist()):
-                ids = b"".join(map(expand, symbols[at[i]:at[i + 1] if i + 1 < len(at) else None].tolist()))
-                rows.append((None if none[i] else doc_id, len(ids) // 4, zlib.crc32(ids)))
-            doc_ids, n, crc = zip(*rows)
-            starts = pa.array(np.frombuffer(s["doc_starts"], "<i8"), pa.int64())
-            k = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([s["part"]] * k, pa.int32()), pa.array([s["shard"]] * k, pa.int32()),
-                                              pa.array(doc_ids, pa.int64()), starts, pa.array(n, pa.int64()), pa.array(crc, pa.int64())], schema=_READ)
+            ids, begin = expanded(symbols, rules, np.frombuffer(s["lengths"], "<i8"), s["first"])
+            k, data = s["n_docs"], memoryview(ids.tobytes())
+            ends = np.append(begin[np.frombuffer(s["doc_symbols"], "<i8")], len(ids))
+            crc = [zlib.crc32(data[4 * a:4 * e]) for a, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            doc_ids = pa.array(np.frombuffer(s["doc_ids"], "<i8"), pa.int64(), mask=np.unpackbits(np.frombuffer(s["no_id"], np.uint8), count=k).astype(bool))
+            yield pa.RecordBatch.from_arrays([pa.array([s["part"]] * k, pa.int32()), pa.array([s["shard"]] * k, pa.int32()), doc_ids,
+                                              pa.array(np.frombuffer(s["doc_starts"], "<i8"), pa.int64()), pa.array(np.diff(ends), pa.int64()),
+                                              pa.array(crc, pa.int64())], schema=_READ)
 
 
 def read_ids(shards: DataFrame) -> DataFrame:
