@@ -17,7 +17,8 @@ documents, saturating at 255; a cell's sum is never below a phrase's count), whi
 has a cell for every ``BYTES_A_CELL`` bytes of text, up to ``MOST_CELLS``, so the broadcast is at most an eighth of that in bytes;
 on a corpus beyond that size it prunes less and less, and more grams are shuffled.
 
-Counts are combined within a task and before each shuffle, so a common word sends a row per task.  Ranks are
+Counts are combined within a task, and grams are sent sorted and packed: a row for each part of a language, dealt by a gram's first two
+words.  There is a part for every ``BYTES_A_PART`` bytes of text, so a part that is put together stays small.  Ranks are
 taken within parts of a language first, so a language that holds most phrases is no single group.
 
 Nulls: a null text is empty, a null language is ``und``.  Empty texts count nothing.  Repeated rows count each.
@@ -28,6 +29,7 @@ rows.  Other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -43,6 +45,8 @@ from .common import batches, prepare, text_bytes, written
 LONGEST, LEAST, TOP, CONTAINED = 4, 30, 2000, 80
 #: Size of the table of cells (a byte each in a task, a bit each in the broadcast), and cells sent as one row.
 BYTES_A_CELL, MOST_CELLS, SLAB = 16, 1 << 26, 1 << 16
+#: Bytes of text for a part of the grams.
+BYTES_A_PART = 1 << 22
 #: Distinct grams that a task holds before it hands them on.
 HELD = 500_000
 #: Parts that a language's phrases are ranked in first.
@@ -95,12 +99,39 @@ def flat(text: bytes) -> tuple[list[bytes], np.ndarray]:
     return [w for p in parts for w in p], np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
-def table_size(docs: DataFrame) -> int:
-    """Cells for the bytes of text, a power of two."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def table_size(size: int) -> int:
+    """Cells for so many bytes of text, a power of two."""
     return min(MOST_CELLS, max(1 << 10, 1 << (size // BYTES_A_CELL).bit_length()))
 
 
+def part_of(phrase: bytes, parts: int) -> int:
+    return zlib.crc32(b" ".join(phrase.split(b" ", 2)[:2])) % parts
+
+
+def packed_parts(lang: str, count: Counter, parts: int) -> pa.RecordBatch:
+    """Counted phrases of a language, sorted, a row for each part."""
+    by_part, pack = defaultdict(list), zstandard.ZstdCompressor(level=3).compress
+    for phrase in sorted(count):
+        by_part[part_of(phrase, parts)].append(phrase)
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(by_part), pa.string()), pa.array(list(by_part), pa.int64()),
+                                       pa.array([pack(b"\n".join(x)) for x in by_part.values()], pa.binary()),
+                                       pa.array([pack(np.array([count[p] for p in x], "<u4").tobytes()) for x in by_part.values()], pa.binary())],
+                                      ["lang", "part", "phrases", "counts"])
+
+
+def put_together(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One part of a language: its phrases with their counts over all tasks."""
+    total, unpack = Counter(), zstandard.ZstdDecompressor().decompress
+    for batch in groups:
+        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("phrases", "counts")]
+        for phrases, counts in zip(*columns):
+            for phrase, n in zip(unpack(phrases).split(b"\n"), np.frombuffer(unpack(counts), "<u4").tolist()):
+                total[phrase] += n
+    lang = key[0].as_py()
+    yield from batches(_GRAMS, {"lang": [lang] * len(total), "phrase": [p.decode("utf-8", "replace") for p in total],
+                                "words": [p.count(b" ") + 1 if p else 0 for p in total], "n": list(total.values())})
+
+
 def frequent_cells(docs: DataFrame, longest: int, least: int, cells: int) -> np.ndarray:
     """Which cells hold at least ``least`` phrases, over all documents: a bit each."""
     slab = min(SLAB, cells)
@@ -155,7 +186,8 @@ def grams(docs: DataFrame, longest: int, least: int, cells: int | None = None) -
 
     Positions whose word is surely under the least count are counted under the empty phrase.
     """
-    cells = cells or table_size(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells, parts = cells or table_size(size), size // BYTES_A_PART + 1
     known = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, longest, least, cells))
 
     def cut(it):
@@ -164,8 +196,7 @@ def grams(docs: DataFrame, longest: int, least: int, cells: int | None = None) -
 
         def given():
             for lang, count in held.items():
-                yield from batches(_GRAMS, {"lang": [lang] * len(count), "phrase": [g.decode("utf-8", "replace") for g in count],
-                                            "words": [g.count(b" ") + 1 if g else 0 for g in count], "n": list(count.values())})
+                yield packed_parts(lang, count, parts)
             held.clear()
 
         for batch in it:
@@ -181,7 +212,8 @@ def grams(docs: DataFrame, longest: int, least: int, cells: int | None = None) -
                 yield from given()
         yield from given()
 
-    return docs.mapInArrow(cut, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    packs = docs.mapInArrow(cut, "lang string, part long, phrases binary, counts binary")
+    return packs.groupBy("lang", "part").applyInArrow(put_together, "lang string, phrase string, words int, n long")
 
 
 def first(phrase: Column, k: int) -> Column:
