@@ -19,13 +19,15 @@ from . import infer, ingest, partition_store
 
 def run_batch(spark: SparkSession, records: DataFrame, root: str, responder: infer.ResponderFactory, batch_ts: Column,
               force: bool = False, limit: int | None = None, partitions: int | None = None, extra: list[str] | None = None,
-              min_interval_sec: float = 0.0, rate_per_sec: float | None = None, log_dir: str | None = None) -> tuple[int, DataFrame]:
+              min_interval_sec: float = 0.0, rate_per_sec: float | None = None, log_dir: str | None = None,
+              buckets: int = partition_store.BUCKETS) -> tuple[int, DataFrame]:
     """Process new records into the store at ``root``; return (number of its version, summary counts).
 
     ``records`` has the call-record columns, the time as instant ``ts`` or as ISO text ``timestamp``; ``extra``
     names pass-through columns the responder reads (e.g. a recorded reply).  Of the rows of
     one call_id, in order of time, the first that validates is stored: those before it
     failed, those after it are skipped.  A run that broke off continues if it is given the same ``log_dir``.
+    ``buckets`` sizes the side tables of a store that is begun here.
     """
     valid, bad = ingest.split_required(ingest.typed_time(records), required=[
         "ts" if c == "timestamp" else c for c in S.CALL_REQUIRED])
@@ -47,7 +49,7 @@ def run_batch(spark: SparkSession, records: DataFrame, root: str, responder: inf
     place = F.struct("ts", "transcript_hash", *names[:5])
     ok = (done.filter("parse_status = 'ok'").groupBy("call_id").agg(F.min_by(F.struct(*names), place).alias("_r"))
           .select("call_id", "_r.*"))
-    number = partition_store.merge(spark, root, ok, batch_ts)
+    number = partition_store.merge(spark, root, ok, batch_ts, buckets=buckets)
     first = done.groupBy("call_id").agg(F.min(F.when(F.col("parse_status") == "ok", place)).alias("first"),
                                         F.count(F.lit(1)).alias("rows"))
     early = (done.select("call_id", place.alias("place"), "parse_status").join(first, "call_id")

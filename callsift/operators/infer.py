@@ -29,7 +29,7 @@ from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
-from ..session import ship_package, work_dir
+from ..session import kept, ship_package, work_dir
 from . import files
 from .analysis import analyze
 from .metrics import latency_counts
@@ -139,10 +139,11 @@ def infer_with_retries(spark: SparkSession, inputs: DataFrame, factory: Responde
             if not files.exists(spark, f"{path}/_SUCCESS"):
                 asked = pending.where(_wave(waves) == w) if waves > 1 else pending
                 run_responder(asked, factory, k, partitions, min_interval_sec, rate_per_sec).write.mode("overwrite").parquet(path)
-        replies = analyze(spark.read.parquet(part))
+        # the round's replies are validated once, for the latency counts and for what is still pending
+        outcomes = kept(_outcomes(analyze(spark.read.parquet(part)), "transcript_hash", "parse_status"), "outcomes")
         if not files.exists(spark, f"{log}/_latencies/round={k}/_SUCCESS"):
-            latency_counts(_outcomes(replies)).write.mode("overwrite").parquet(f"{log}/_latencies/round={k}")
-        failed = replies.filter("parse_status <> 'ok'").select("transcript_hash")
+            latency_counts(outcomes).write.mode("overwrite").parquet(f"{log}/_latencies/round={k}")
+        failed = outcomes.filter("parse_status <> 'ok'").select("transcript_hash")
         pending = inputs.join(failed, "transcript_hash", "left_semi")
         if k == max_attempts or pending.isEmpty():
             break
@@ -150,8 +151,8 @@ def infer_with_retries(spark: SparkSession, inputs: DataFrame, factory: Responde
     return log
 
 
-def _outcomes(replies: DataFrame) -> DataFrame:
-    return replies.select("latency_ms", (F.col("error").isNotNull() | (F.col("parse_status") != "ok")).alias("is_error"))
+def _outcomes(replies: DataFrame, *more: str) -> DataFrame:
+    return replies.select(*more, "latency_ms", (F.col("error").isNotNull() | (F.col("parse_status") != "ok")).alias("is_error"))
 
 
 def logged_latencies(spark: SparkSession, log: str) -> DataFrame:

@@ -34,8 +34,8 @@ from .. import schema as S
 from ..session import kept
 from . import files, store
 
-#: Buckets of a new store's side tables; some 10^7 calls each are well sized.
-BUCKETS = 64
+#: Buckets of a new store's side tables; some 10^7 calls each are well sized, so a large store is begun with more.
+BUCKETS = 16
 #: Keys that a lookup may name in the filter of the scan; more are found by bucket and join alone.
 NAMED_KEYS = 1000
 ATTEMPTS = 20

@@ -29,7 +29,8 @@ from ..session import kept
 def process_uploads(spark: SparkSession, payloads: DataFrame, store_root: str, responder: infer.ResponderFactory,
                     epoch: int, ingest_ts: Column, out_root: str, partitions: int | None = None,
                     min_interval_sec: float = 0.0, extra: tuple[str, ...] = ("recorded_reply",),
-                    wait_sec: float = S.RETRY_WAIT_SEC, rate_per_sec: float | None = None) -> None:
+                    wait_sec: float = S.RETRY_WAIT_SEC, rate_per_sec: float | None = None,
+                      buckets: int = partition_store.BUCKETS) -> None:
     """One micro-batch of uploads (also usable as a plain batch job).
 
     ``extra`` names payload columns that the responder reads.  Payloads without a ``doc_key``
@@ -58,7 +59,7 @@ def process_uploads(spark: SparkSession, payloads: DataFrame, store_root: str, r
     new_calls = marked.filter("is_first").join(res, "transcript_hash").select(
         "call_id", "telecaller_id", "telecaller_name", "lead_id", "lead_name", "duration_sec", "ts", "transcript",
         "analysis", "overall_score", "score_quarters", "transcript_hash")
-    partition_store.merge(spark, store_root, new_calls, ingest_ts, stream=(stream, epoch))
+    partition_store.merge(spark, store_root, new_calls, ingest_ts, stream=(stream, epoch), buckets=buckets)
     # responses: fresh uploads answered by their hash's analysis, cached ones by the stored call;
     # a later upload of a transcript first seen in this same batch is answered from that first one
     ok = F.col("parse_status") == "ok"
@@ -79,7 +80,8 @@ def run_upload_stream(spark: SparkSession, payload_dir: str, store_root: str, ou
                       responder: infer.ResponderFactory, checkpoint: str, ingest_ts: Column | None = None,
                       files_per_trigger: int | None = None, extra_schema: str = "",
                       min_interval_sec: float = 0.0, extra: tuple[str, ...] = ("recorded_reply",),
-                      wait_sec: float = S.RETRY_WAIT_SEC, rate_per_sec: float | None = None) -> None:
+                      wait_sec: float = S.RETRY_WAIT_SEC, rate_per_sec: float | None = None,
+                      buckets: int = partition_store.BUCKETS) -> None:
     """Process every payload file present now (``availableNow``) and stop."""
     schema = S.PAYLOAD.simpleString()[len("struct<"):-1].replace(":", " ")
     if extra_schema:
@@ -94,7 +96,7 @@ def run_upload_stream(spark: SparkSession, payload_dir: str, store_root: str, ou
         now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
         ts = ingest_ts if ingest_ts is not None else F.to_timestamp(F.lit(now))
         process_uploads(spark, df, store_root, responder, epoch, ts, out_root, min_interval_sec=min_interval_sec, extra=extra,
-                        wait_sec=wait_sec, rate_per_sec=rate_per_sec)
+                        wait_sec=wait_sec, rate_per_sec=rate_per_sec, buckets=buckets)
 
     q = (src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
