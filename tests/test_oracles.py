@@ -14,7 +14,9 @@ FAST = ["leaderboard", "analysis_validate", "json_cut", "score_coerce", "turns_p
         "transcript_hash", "list_view", "search_documents", "detail_labels", "latency_percentiles",
         "latency_telemetry", "eval_fields", "eval_dimensions", "score_anchor", "prompt_messages", "cache_hits",
         "dedup_by_hash", "payload_pick", "upload_defaults", "ingest_summary", "upsert_calls", "apply_edits",
-        "edit_quarantine", "rules_extraction", "rules_scores", "rules_stage_action", "rules_text", "analysis_json"]
+        "edit_quarantine", "rules_extraction", "rules_scores", "rules_stage_action", "rules_text", "analysis_json",
+        "change_feed", "store_cache_hits", "apply_typed_edits", "typed_edit_quarantine", "call_detail", "list_sorted_all", "list_filters",
+        "list_text_order", "calls_jsonl", "reason_truncate_long", "telemetry_cost", "rules_reasons", "rules_gazetteer", "search_indexed"]
 
 
 @pytest.fixture(scope="module")
