@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 # ASCII whitespace, the information separators \x1c-\x1f, NEL and the Unicode
 # space separators.  Java's \s is ASCII-only, so the class is spelled out.
 PY_SPACE = r"[\t\n\x0B\f\r \x1c-\x1f\x85\p{Z}]"
-_STRIP_RE = rf"^{PY_SPACE}+|{PY_SPACE}+$"
+# The characters of that class, for a trim that looks at the ends of a text only.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 # Transcript line: "[MM:SS-MM:SS] Agent: text" (fixed format of the call records)
 TURN_RE = r"^(\[(\d+):(\d+)-(\d+):(\d+)\])\s*(Agent|Lead):\s*(.*)$"
@@ -22,7 +23,7 @@ def col_(c) -> Column:
 
 def pystrip(c) -> Column:
     """str.strip() with Python's notion of whitespace."""
-    return F.regexp_replace(col_(c), _STRIP_RE, "")
+    return F.btrim(col_(c), F.lit(_SPACES))
 
 
 def blank_to_null(c) -> Column:
