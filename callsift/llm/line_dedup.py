@@ -2,18 +2,30 @@
 
 A line's template is its words with the variable fields (every word with a digit:
 numbers, dates, ids, addresses) as ``<*>``.  The tree has a fixed depth: the count of
-words, then the first ``LEAD`` words of the template; a leaf holds templates.  A template
-with at least ``MIN_WORDS`` words that occurs in more than one document is recurring: it
+words, then the first ``LEAD`` words of the template; a leaf holds templates.  Inside a
+leaf, templates that differ in at most ``VARIED`` percent of their positions are one: the
+positions that differ are variable fields as well.  The words behind the leading ones are
+cut into one block more than positions may differ, so two such templates agree in a whole
+block.  The templates of a leaf that agree in a block are a node, whose centre is the
+one seen first (smallest doc_id, then line); every template is compared with the centres of its
+nodes, never with all others, and takes the first document of each centre it matches.  Two templates
+that match each other but no centre stay apart.
+
+A line counts when its template has ``MIN_WORDS`` words or ``MIN_CHARS`` characters
+(long lines without spaces); only those with ``MIN_WORDS`` words are generalised.  A template
+that occurs in more than one document, itself or through a centre, is recurring: it
 stays in the document with the smallest doc_id and its lines are dropped from all others.
 Repeats within one document are left alone.
 
-Each line is a (leaf, template) hash; a template's first document is a grouped minimum,
-combined before the shuffle, so a line that a third of all documents hold sends a row per
-task.  The join that marks lines can be split where one template is hot.  Marked lines are
+A template's first document is a grouped minimum, combined before the shuffle, so a line
+that a third of all documents hold sends a row per task.  Words are read again only for leaves of
+several templates.  Joins on a leaf, node or template that may be hot are salted.  Marked lines are
 kept by (doc_id, hash of the text): rows that share an id, or have none, lose only lines of their own.
 
 Nulls: a null text stays null; a null doc_id comes after all others.  Empty texts have
-one empty line.  Rows with the same doc_id are one document.  An empty table gives no rows.
+one empty line.  Rows with the same doc_id are one document; rows that repeat have the same lines
+dropped.  A very long text or line is worked on whole.  Other columns pass through; columns of
+``docs`` named n_lines or n_dropped are replaced.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LEAD, MIN_WORDS = 3, 6
+LEAD, MIN_WORDS, MIN_CHARS, VARIED = 3, 6, 40, 30
+#: Parts that a join's hot key is dealt to; AQE splits larger ones further.
+SALTS = 16
 _LAST = (1 << 63) - 1
+_TREE = ["n", "leaf", "h"]
 
 
 def template(line: Column) -> Column:
@@ -32,19 +47,57 @@ def template(line: Column) -> Column:
     return F.trim(F.when(masked.contains("  "), F.regexp_replace(masked, " +", " ")).otherwise(masked))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with the kept lines as text, and the columns n_lines and n_dropped."""
+def salted(many: DataFrame, one: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
+    """Inner join of ``many`` with ``one`` row per key; the rows of a key are dealt to SALTS parts by the columns ``spread``."""
+    left = many.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    return left.join(one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), on + ["__salt"]).drop("__salt")
+
+
+def _lines(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+    """The lines that count: document, text hash, line, tree position and template."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    body = F.xxhash64("text")
-    lines = docs.where("text is not null").select(key.alias("d"), body.alias("body"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    lines = docs.where("text is not null").select(key.alias("d"), F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     lines = lines.select("d", "body", "at", template(F.col("line")).alias("t"))
     count = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1
-    lines = lines.select("d", "body", "at", count.alias("n"), F.xxhash64(F.substring_index("t", " ", LEAD)).alias("leaf"), F.xxhash64("t").alias("h"))
-    lines = written(lines.where(F.col("n") >= min_words), "line-templates")
-    tree = ["n", "leaf", "h"]
-    first = lines.groupBy(tree).agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last")
-    drop = lines.join(first, tree).where("d > first").groupBy("d", "body").agg(F.collect_set("at").alias("__drop"))
+    lines = lines.select("d", "body", "at", "t", count.alias("n"), F.xxhash64(F.substring_index("t", " ", LEAD)).alias("leaf"), F.xxhash64("t").alias("h"))
+    return lines.where((F.col("n") >= min_words) | (F.length("t") >= min_chars))
+
+
+def _centres(lines: DataFrame, templates: DataFrame, min_words: int, varied: int) -> DataFrame:
+    """(n, leaf, h, low): the first document of the centres that a template matches; templates that match none are missing."""
+    able = templates.where(F.col("n") >= max(min_words, 2 * LEAD))
+    leaves = able.groupBy("n", "leaf").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    able = salted(able.select(*_TREE, F.col("first").alias("d")), leaves, ["n", "leaf"], ["h"])
+    words = F.transform(F.split("t", " "), lambda w: F.xxhash64(w))
+    able = lines.join(able, [*_TREE, "d"]).groupBy(*_TREE, "d").agg(F.min("at").alias("at"), F.first("t").alias("t"))
+    able = written(able.select(*_TREE, "d", "at", words.alias("words")), "leaf-templates")
+    rest = F.col("n") - LEAD
+    parts = F.floor(F.col("n") * varied / 100).cast("int") + 1
+    start = lambda j: F.floor(j * rest / parts).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.xxhash64(F.slice("words", start(j) + LEAD + 1, start(j + 1) - start(j))))
+    blocks = able.select(*_TREE, "d", "at", F.posexplode(blocks).alias("part", "block"))
+    node = ["n", "leaf", "part", "block"]
+    nodes = blocks.groupBy(node).agg(F.count("*").alias("c"), F.min(F.struct("d", "at", "h")).alias("centre")).where("c > 1")
+    pairs = salted(blocks.select(*node, "h"), nodes.select(*node, F.col("centre.h").alias("centre")), node, ["h"])
+    pairs = pairs.where("h <> centre").select(*_TREE, "centre").distinct()
+    pairs = pairs.join(able.select(*_TREE, "words"), _TREE)
+    centres = able.select("n", "leaf", F.col("h").alias("centre"), F.col("d").alias("low"), F.col("words").alias("other"))
+    centres = centres.join(nodes.select("n", "leaf", F.col("centre.h").alias("centre")).distinct(), ["n", "leaf", "centre"], "left_semi")
+    pairs = salted(pairs, centres, ["n", "leaf", "centre"], ["h"])
+    differ = F.size(F.filter(F.zip_with("words", "other", lambda a, b: a != b), lambda x: x))
+    return pairs.where(100 * differ <= varied * F.col("n")).groupBy(_TREE).agg(F.min("low").alias("low"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, varied: int = VARIED) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with the kept lines as text, and the columns n_lines and n_dropped."""
+    every = _lines(docs, min_words, min_chars)
+    lines = written(every.drop("t"), "line-templates")
+    templates = written(lines.groupBy(_TREE).agg(F.min("d").alias("first"), F.max("d").alias("last")), "templates")
+    found = _centres(every, templates, min_words, varied)
+    first = templates.join(found, _TREE, "left").withColumn("first", F.least("first", "low")).where("first < last").select(*_TREE, "first")
+    drop = salted(lines, first, _TREE, ["d", "at"]).where("d > first").groupBy("d", "body").agg(F.collect_set("at").alias("__drop"))
     drop = drop.withColumnsRenamed({"d": "__d", "body": "__body"})
+    key, body = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64("text")
     rows = docs.join(drop, (key == F.col("__d")) & (body == F.col("__body")), "left").withColumn("__lines", F.split("text", "\n", -1))
     some = F.col("__drop").isNotNull() & F.col("text").isNotNull()
     rows = rows.withColumn("__kept", F.when(some, F.filter("__lines", lambda x, i: ~F.array_contains("__drop", i))))
@@ -56,17 +109,30 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 ORACLE = f"""
-WITH lines AS (
-  SELECT doc_id, u.i - 1 AS pos, u.line,
+WITH lines AS MATERIALIZED (
+  SELECT doc_id, coalesce(doc_id, {_LAST}) AS d, u.i - 1 AS pos, u.line,
          trim(regexp_replace(regexp_replace(u.line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' +', ' ', 'g'), ' ') AS t
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL) s,
        LATERAL (SELECT unnest(s.l) AS line, generate_subscripts(s.l, 1) AS i) u),
-first AS (
-  SELECT t, min(coalesce(doc_id, {_LAST})) AS d FROM lines
-  WHERE length(t) - length(replace(t, ' ', '')) + 1 >= {MIN_WORDS} GROUP BY t),
+templates AS MATERIALIZED (
+  SELECT t, string_split(t, ' ') AS w, len(string_split(t, ' ')) AS n, min(d) AS first, min(struct_pack(d := d, pos := pos)) AS place
+  FROM lines WHERE len(string_split(t, ' ')) >= {MIN_WORDS} OR length(t) >= {MIN_CHARS} GROUP BY t),
+parts AS (
+  SELECT t, w, n, place, first, w[1:{LEAD}] AS lead, n - {LEAD} AS rest, n * {VARIED} // 100 + 1 AS k,
+         unnest(range(n * {VARIED} // 100 + 1)) AS j
+  FROM templates WHERE n >= {MIN_WORDS}),
+blocks AS MATERIALIZED (
+  SELECT t, w, n, place, first, lead, j, w[{LEAD} + 1 + j * rest // k : {LEAD} + (j + 1) * rest // k] AS block FROM parts),
+nodes AS (
+  SELECT n, lead, j, block, min(place) AS place, min_by(w, place) AS w, min_by(first, place) AS first
+  FROM blocks GROUP BY n, lead, j, block HAVING count(*) > 1),
+matched AS (
+  SELECT b.t, min(c.first) AS low
+  FROM blocks b JOIN nodes c ON b.n = c.n AND b.lead = c.lead AND b.j = c.j AND b.block = c.block
+  WHERE 100 * len(list_filter(range(1, b.n + 1), lambda i: b.w[i] <> c.w[i])) <= {VARIED} * b.n GROUP BY b.t),
 marked AS (
-  SELECT l.doc_id, l.pos, l.line, coalesce(f.d < coalesce(l.doc_id, {_LAST}), false) AS gone
-  FROM lines l LEFT JOIN first f ON l.t = f.t)
+  SELECT l.doc_id, l.pos, l.line, coalesce(least(f.first, coalesce(m.low, f.first)) < l.d, false) AS gone
+  FROM lines l LEFT JOIN templates f ON l.t = f.t LEFT JOIN matched m ON l.t = m.t)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_md5
 FROM marked GROUP BY doc_id

@@ -22,9 +22,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines whose template an earlier document holds; a document that loses all its text goes."""
-    rows = line_dedup.dedup_lines(docs)
-    rows = rows.where((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", "\\s+", " ")) != ""))
+    """Texts without lines whose template an earlier document holds.
+
+    A document that loses four fifths of its characters or more is a near copy by its whole text and goes, so no
+    fragment of it reaches the n-gram join.  Null and empty texts lose no line and stay.
+    """
+    rows = line_dedup.dedup_lines(docs.withColumn("__size", F.length("text")))
+    rows = rows.where((F.col("n_dropped") == 0) | (5 * F.length(F.trim(F.regexp_replace("text", "\\s+", " "))) > F.col("__size")))
     size = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return rows.withColumns(size).select(*docs.columns)
 

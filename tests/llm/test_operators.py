@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with awkward rows."""
 
 import collections
+import random
 import re
 import zlib
 
@@ -100,6 +101,66 @@ def test_line_dedup_rows_that_share_an_id(spark):
     assert got == {(1, rows[0][1], 0), (None, "second line of one row", 1), (None, rows[2][1], 0), (None, None, 0), (7, "kept start", 1), (7, rows[5][1], 0)}
 
 
+def plain_line_dedup(rows):
+    """The rule of line_dedup over (doc_id, text) rows with distinct ids: doc_id -> kept lines."""
+    lines = [(d, at, line, re.sub(" +", " ", re.sub("[^ ]*[0-9][^ ]*", "<*>", line)).strip(" ").split(" "))
+             for d, t in rows for at, line in enumerate(t.split("\n"))]
+    place = {}
+    for d, at, _, w in sorted(lines, key=lambda x: x[:2]):
+        if len(w) >= 6 or len(" ".join(w)) >= 40:
+            place.setdefault(tuple(w), (d, at))
+    first = {w: p[0] for w, p in place.items()}
+    centre = {}
+
+    def nodes(w):
+        n, k = len(w), len(w) * 30 // 100 + 1
+        return [(n, w[:3], j, w[3 + j * (n - 3) // k:3 + (j + 1) * (n - 3) // k]) for j in range(k)] if n >= 6 else []
+
+    for w in sorted(place, key=place.get):
+        for node in nodes(w):
+            centre.setdefault(node, w)
+    for w in place:
+        for c in (centre[node] for node in nodes(w)):
+            if 100 * sum(a != b for a, b in zip(w, c)) <= 30 * len(w):
+                first[w] = min(first[w], place[c][0])
+    kept = {d: [] for d, _ in rows}
+    for d, _, line, w in lines:
+        if first.get(tuple(w), d) >= d:
+            kept[d].append(line)
+    return kept
+
+
+def test_line_dedup_generalises_inside_a_leaf(spark):
+    rnd = random.Random(5)
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    base = [[rnd.choice(words) for _ in range(n)] for n in (6, 7, 9, 14, 30, 30) for _ in range(3)]
+    rows = []
+    for d in range(120):
+        text = []
+        for _ in range(rnd.randint(1, 4)):
+            w = list(rnd.choice(base))
+            for i in rnd.sample(range(len(w)), rnd.randint(0, len(w) // 2)):
+                w[i] = rnd.choice([*words, "4711"])
+            text.append(" ".join(w))
+        rows.append((d, "\n".join(text)))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_line_dedup(rows)
+    assert got == {d: "\n".join(x) for d, x in want.items()}
+    equal = collections.Counter(line for _, t in rows for line in t.split("\n"))
+    assert sum(len(x) for x in want.values()) < len(equal)  # more goes than equal lines
+
+
+def test_line_dedup_cases(spark):
+    long_line, solid = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(15_000)), "x" * 50
+    rows = [(1, f"At noon the user Alice opened the door today\n{long_line}\n{solid}\nshort line", "a"),
+            (2, f"At noon the user Bob opened the door today\n{long_line} end\n{solid}\nshort line", "b"),
+            (3, "The user Bob shut a window before three yesterday", "c"), (3, "The user Bob shut a window before three yesterday", "c")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines string"))
+    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"]
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect())
+    assert got == [(1, rows[0][1], 4, 0), (2, f"{long_line} end\nshort line", 4, 2), (3, rows[2][1], 1, 0), (3, rows[2][1], 1, 0)]
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
@@ -279,5 +340,5 @@ def test_names_and_pipeline(spark):
     import corpus_pipeline
 
     numbers = [int(m[1]) for q in entry.queries() if (m := re.match(r"op(\d+)_", q))]
-    assert sorted(numbers) == list(range(1, 11)) and [n for n, _ in corpus_pipeline.STAGES][0] == "quality"
+    assert sorted(numbers) == list(range(1, 14)) and [n for n, _ in corpus_pipeline.STAGES][0] == "quality"
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
