@@ -18,9 +18,10 @@ stays in the document with the smallest doc_id and its lines are dropped from al
 Repeats within one document are left alone.
 
 A template's first document is a grouped minimum, combined before the shuffle, so a line
-that a third of all documents hold sends a row per task.  Words are read again only for leaves of
-several templates.  Joins on a leaf, node or template that may be hot are salted.  Marked lines are
-kept by (doc_id, hash of the text): rows that share an id, or have none, lose only lines of their own.
+that a third of all documents hold sends a row per task.  Words are shuffled only for leaves of
+several templates, once per template (a table of 8 MB of hashed cells keeps the other lines back; with more than
+some 10^8 such templates it keeps back less, the result is the same).  A leaf, node or template that is hot
+in a join is one row on the other side, so AQE can split it.  Marked lines are kept by (doc_id, hash of the text): rows that share an id, or have none, lose only lines of their own.
 
 Nulls: a null text stays null; a null doc_id comes after all others.  Empty texts have
 one empty line.  Rows with the same doc_id are one document; rows that repeat have the same lines
@@ -36,8 +37,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 LEAD, MIN_WORDS, MIN_CHARS, VARIED = 3, 6, 40, 30
-#: Parts that a join's hot key is dealt to; AQE splits larger ones further.
-SALTS = 16
 _LAST = (1 << 63) - 1
 _TREE = ["n", "leaf", "h"]
 
@@ -47,10 +46,20 @@ def template(line: Column) -> Column:
     return F.trim(F.when(masked.contains("  "), F.regexp_replace(masked, " +", " ")).otherwise(masked))
 
 
-def salted(many: DataFrame, one: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
-    """Inner join of ``many`` with ``one`` row per key; the rows of a key are dealt to SALTS parts by the columns ``spread``."""
-    left = many.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    return left.join(one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), on + ["__salt"]).drop("__salt")
+def marks(keys: DataFrame, on: list[str]) -> DataFrame:
+    """The keys as set bits of 2^26 hashed cells: (__part, __bits) in at most 2,048 rows of 4 KB."""
+    cell = F.pmod(F.xxhash64(*on), F.lit(1 << 26))
+    cells = keys.select(F.shiftright(cell, 15).alias("__part"), cell.bitwiseAND(32767).alias("__bit"))
+    return cells.groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+
+
+def marked(rows: DataFrame, cells: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose cell is set, without a shuffle: all that have a key in ``marks`` and a few more."""
+    cell = F.pmod(F.xxhash64(*on), F.lit(1 << 26))
+    rows = rows.withColumn("__part", F.shiftright(cell, 15)).join(F.broadcast(cells), "__part")
+    bit = cell.bitwiseAND(32767).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.where(F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1).drop("__part", "__bits")
 
 
 def _lines(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
@@ -67,23 +76,23 @@ def _centres(lines: DataFrame, templates: DataFrame, min_words: int, varied: int
     """(n, leaf, h, low): the first document of the centres that a template matches; templates that match none are missing."""
     able = templates.where(F.col("n") >= max(min_words, 2 * LEAD))
     leaves = able.groupBy("n", "leaf").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    able = salted(able.select(*_TREE, F.col("first").alias("d")), leaves, ["n", "leaf"], ["h"])
+    place = [*_TREE, "d"]
+    able = written(able.join(leaves, ["n", "leaf"]).select(*_TREE, F.col("first").alias("d")), "leaf-templates")
     words = F.transform(F.split("t", " "), lambda w: F.xxhash64(w))
-    able = lines.join(able, [*_TREE, "d"]).groupBy(*_TREE, "d").agg(F.min("at").alias("at"), F.first("t").alias("t"))
-    able = written(able.select(*_TREE, "d", "at", words.alias("words")), "leaf-templates")
+    able = marked(lines, marks(able, place), place).join(able, place).groupBy(place).agg(F.min("at").alias("at"), F.first("t").alias("t"))
+    able = written(able.select(*place, "at", words.alias("words")), "leaf-words")
     rest = F.col("n") - LEAD
     parts = F.floor(F.col("n") * varied / 100).cast("int") + 1
     start = lambda j: F.floor(j * rest / parts).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.xxhash64(F.slice("words", start(j) + LEAD + 1, start(j + 1) - start(j))))
-    blocks = able.select(*_TREE, "d", "at", F.posexplode(blocks).alias("part", "block"))
-    node = ["n", "leaf", "part", "block"]
-    nodes = blocks.groupBy(node).agg(F.count("*").alias("c"), F.min(F.struct("d", "at", "h")).alias("centre")).where("c > 1")
-    pairs = salted(blocks.select(*node, "h"), nodes.select(*node, F.col("centre.h").alias("centre")), node, ["h"])
-    pairs = pairs.where("h <> centre").select(*_TREE, "centre").distinct()
+    blocks = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.xxhash64("n", j, F.slice("words", start(j) + LEAD + 1, start(j + 1) - start(j))))
+    blocks = able.select(*place, "at", F.explode(blocks).alias("block"))
+    nodes = blocks.groupBy("leaf", "block").agg(F.count("*").alias("c"), F.min(F.struct("d", "at", "h")).alias("centre"))
+    nodes = written(nodes.where("c > 1").select("leaf", "block", F.col("centre.h").alias("centre")), "leaf-nodes")
+    pairs = blocks.select(*_TREE, "block").join(nodes, ["leaf", "block"]).where("h <> centre").select(*_TREE, "centre").distinct()
     pairs = pairs.join(able.select(*_TREE, "words"), _TREE)
     centres = able.select("n", "leaf", F.col("h").alias("centre"), F.col("d").alias("low"), F.col("words").alias("other"))
-    centres = centres.join(nodes.select("n", "leaf", F.col("centre.h").alias("centre")).distinct(), ["n", "leaf", "centre"], "left_semi")
-    pairs = salted(pairs, centres, ["n", "leaf", "centre"], ["h"])
+    centres = centres.join(nodes.select("leaf", "centre").distinct(), ["leaf", "centre"], "left_semi")
+    pairs = pairs.join(centres, ["n", "leaf", "centre"])
     differ = F.size(F.filter(F.zip_with("words", "other", lambda a, b: a != b), lambda x: x))
     return pairs.where(100 * differ <= varied * F.col("n")).groupBy(_TREE).agg(F.min("low").alias("low"))
 
@@ -95,7 +104,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MI
     templates = written(lines.groupBy(_TREE).agg(F.min("d").alias("first"), F.max("d").alias("last")), "templates")
     found = _centres(every, templates, min_words, varied)
     first = templates.join(found, _TREE, "left").withColumn("first", F.least("first", "low")).where("first < last").select(*_TREE, "first")
-    drop = salted(lines, first, _TREE, ["d", "at"]).where("d > first").groupBy("d", "body").agg(F.collect_set("at").alias("__drop"))
+    drop = lines.join(first, _TREE).where("d > first").groupBy("d", "body").agg(F.collect_set("at").alias("__drop"))
     drop = drop.withColumnsRenamed({"d": "__d", "body": "__body"})
     key, body = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64("text")
     rows = docs.join(drop, (key == F.col("__d")) & (body == F.col("__body")), "left").withColumn("__lines", F.split("text", "\n", -1))
