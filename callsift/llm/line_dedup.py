@@ -18,9 +18,9 @@ stays in the document with the smallest doc_id and its lines are dropped from al
 Repeats within one document are left alone.
 
 A template's first document is a grouped minimum, combined before the shuffle, so a line
-that a third of all documents hold sends a row per task.  Words are shuffled only for leaves of
-several templates, once per template (a table of 8 MB of hashed cells keeps the other lines back; with more than
-some 10^8 such templates it keeps back less, the result is the same).  A leaf, node or template that is hot
+that a third of all documents hold sends a row per task.  Texts are shuffled to compare words
+only where they hold the first line of a template in a leaf of several (a table of 8 MB of hashed cells keeps
+the other texts back; with more than some 10^8 such texts it keeps back less, the result is the same).  A leaf, node or template that is hot
 in a join is one row on the other side, so AQE can split it.  Marked lines are kept by (doc_id, hash of the text): rows that share an id, or have none, lose only lines of their own.
 
 Nulls: a null text stays null; a null doc_id comes after all others.  Empty texts have
@@ -62,24 +62,35 @@ def marked(rows: DataFrame, cells: DataFrame, on: list[str]) -> DataFrame:
     return rows.where(F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1).drop("__part", "__bits")
 
 
-def _lines(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
-    """The lines that count: document, text hash, line, tree position and template."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    lines = docs.where("text is not null").select(key.alias("d"), F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` keyed by document and text hash; rows without text are left out."""
+    return docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("body"), "text")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.select("d", "body", *(c for c in docs.columns if c == "wanted"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+
+
+def _templates(lines: DataFrame) -> DataFrame:
+    """Document, text hash, line number, template and its place in the tree."""
     lines = lines.select("d", "body", "at", template(F.col("line")).alias("t"))
     count = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1
-    lines = lines.select("d", "body", "at", "t", count.alias("n"), F.xxhash64(F.substring_index("t", " ", LEAD)).alias("leaf"), F.xxhash64("t").alias("h"))
-    return lines.where((F.col("n") >= min_words) | (F.length("t") >= min_chars))
+    return lines.select("d", "body", "at", "t", count.alias("n"), F.xxhash64(F.substring_index("t", " ", LEAD)).alias("leaf"), F.xxhash64("t").alias("h"))
 
 
-def _centres(lines: DataFrame, templates: DataFrame, min_words: int, varied: int) -> DataFrame:
+def _centres(docs: DataFrame, lines: DataFrame, templates: DataFrame, min_words: int, varied: int) -> DataFrame:
     """(n, leaf, h, low): the first document of the centres that a template matches; templates that match none are missing."""
     able = templates.where(F.col("n") >= max(min_words, 2 * LEAD))
     leaves = able.groupBy("n", "leaf").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     place = [*_TREE, "d"]
-    able = written(able.join(leaves, ["n", "leaf"]).select(*_TREE, F.col("first").alias("d")), "leaf-templates")
+    able = able.join(leaves, ["n", "leaf"]).select(*_TREE, F.col("first").alias("d"))
+    able = written(lines.join(able, place).groupBy(place).agg(F.min(F.struct("at", "body")).alias("x")).select(*place, "x.*"), "leaf-templates")
+    text = ["d", "body"]
+    wanted = able.groupBy(text).agg(F.collect_set("at").alias("wanted"))
+    found = marked(_placed(docs), marks(able, text), text).join(wanted, text)
+    found = _templates(_lines(found).where(F.array_contains("wanted", F.col("at"))))
     words = F.transform(F.split("t", " "), lambda w: F.xxhash64(w))
-    able = marked(lines, marks(able, place), place).join(able, place).groupBy(place).agg(F.min("at").alias("at"), F.first("t").alias("t"))
+    able = found.groupBy(place).agg(F.min("at").alias("at"), F.first("t").alias("t"))
     able = written(able.select(*place, "at", words.alias("words")), "leaf-words")
     rest = F.col("n") - LEAD
     parts = F.floor(F.col("n") * varied / 100).cast("int") + 1
@@ -99,10 +110,10 @@ def _centres(lines: DataFrame, templates: DataFrame, min_words: int, varied: int
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, varied: int = VARIED) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the kept lines as text, and the columns n_lines and n_dropped."""
-    every = _lines(docs, min_words, min_chars)
-    lines = written(every.drop("t"), "line-templates")
+    lines = _templates(_lines(_placed(docs))).where((F.col("n") >= min_words) | (F.length("t") >= min_chars))
+    lines = written(lines.drop("t"), "line-templates")
     templates = written(lines.groupBy(_TREE).agg(F.min("d").alias("first"), F.max("d").alias("last")), "templates")
-    found = _centres(every, templates, min_words, varied)
+    found = _centres(docs, lines, templates, min_words, varied)
     first = templates.join(found, _TREE, "left").withColumn("first", F.least("first", "low")).where("first < last").select(*_TREE, "first")
     drop = lines.join(first, _TREE).where("d > first").groupBy("d", "body").agg(F.collect_set("at").alias("__drop"))
     drop = drop.withColumnsRenamed({"d": "__d", "body": "__body"})
