@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
-from .text import PY_SPACE, col_, pystrip
+from .text import PY_SPACE, col_, pystrip, pystrip_long
 
 FENCE_RE = rf"(?s)```(?:json)?{PY_SPACE}*(\{{.*\}}){PY_SPACE}*```"
 # A float() literal of Python that is finite (digits, optional fraction, exponent)
@@ -31,33 +31,47 @@ _INT_TYPES = ["TINYINT", "SMALLINT", "INT", "BIGINT"]
 
 
 # --------------------------------------------------------------------------- V1
-def cut_json(reply) -> tuple[Column, Column]:
-    """(found, text): the candidate JSON text of a reply.
+def cut_steps(reply) -> list[dict[str, Column]]:
+    """The cut of a reply as steps, each over the columns of the one before; the last gives ``_found`` and ``_text``.
 
-    ``found`` is false when no '{' or no '}' is present (status no_json).
+    Replies can be long, so a step looks at each text once and the plain cases (no white space at the ends, no fence, a text
+    that is the object already) are told by looking at the ends or by a byte search; only the others are trimmed, matched or cut.
     """
-    s = pystrip(col_(reply))
-    fenced = F.regexp_extract(s, FENCE_RE, 1)
-    t = F.when(fenced != "", fenced).otherwise(s)
+    t = F.col("_unfenced")
+    found = t.contains("{") & t.contains("}")
     start = F.instr(t, "{")
-    back = F.instr(F.reverse(t), "}")
-    end = F.length(t) - back + 1
-    found = (start > 0) & (back > 0)
-    text = F.when(found, F.substring(t, start, F.greatest(end - start + 1, F.lit(0))))
-    return found, text
+    end = F.length(t) - F.instr(F.reverse(t), "}") + 1
+    cut = F.substring(t, start, F.greatest(end - start + 1, F.lit(0)))
+    fenced = F.col("_fenced")
+    return [
+        {"_stripped": pystrip_long(reply)},
+        {"_fenced": F.when(F.col("_stripped").contains("```"), F.regexp_extract("_stripped", FENCE_RE, 1)).otherwise(F.lit(""))},
+        {"_unfenced": F.when(fenced != "", fenced).otherwise(F.col("_stripped"))},
+        {"_found": found, "_text": F.when(t.startswith("{") & t.endswith("}"), t).when(found, cut)},
+    ]
+
+
+def cut_json(df: DataFrame, reply: str = "reply") -> DataFrame:
+    """Add (_found, _text): the candidate JSON text of each reply.
+
+    ``_found`` is false when no '{' or no '}' is present (status no_json).
+    """
+    out = df
+    for cols in cut_steps(reply):
+        out = with_boundary(out, cols)
+    return out.select(*df.columns, "_found", "_text")
 
 
 # --------------------------------------------------------------------------- V2
-def parse_single_object(text) -> Column:
-    """The variant of the text when it is exactly one JSON value, else NULL.
+def parse_steps(text) -> list[dict[str, Column]]:
+    """Steps that give ``_obj``: the variant of the text when it is exactly one JSON value, else NULL.
 
     ``try_parse_json`` ignores trailing content, so the text is wrapped in an
     array and the array must hold exactly one element.
     """
-    arr = F.try_parse_json(F.concat(F.lit("["), col_(text), F.lit("]")))
-    first = F.try_variant_get(arr, "$[0]", "variant")
-    second = F.try_variant_get(arr, "$[1]", "variant")
-    return F.when(first.isNotNull() & second.isNull(), first)
+    second = vget("_array", "$[1]")
+    return [{"_array": F.try_parse_json(F.concat(F.lit("["), col_(text), F.lit("]")))},
+            {"_obj": F.when(second.isNull(), vget("_array", "$[0]"))}]
 
 
 # ------------------------------------------------------------------ helpers
@@ -104,8 +118,9 @@ def pystr(v) -> Column:
 
 
 def falsy_text(v, limit: int) -> Column:
-    """str(x or '')[:limit]"""
-    return F.when(truthy(v), F.substring(pystr(v), 1, limit)).otherwise(F.lit(""))
+    """str(x or '')[:limit]; a string is read once, the empty one gives itself."""
+    text = F.when(vtype(v) == "STRING", vget(v, "$", "string")).when(truthy(v), pystr(v))
+    return F.coalesce(F.substring(text, 1, limit), F.lit(""))
 
 
 def to_float(v) -> Column:
@@ -178,7 +193,7 @@ def clean_locations(v) -> tuple[Column, Column]:
 # ------------------------------------------------------------- V9 / V10
 def _section(v) -> tuple[Column, Column]:
     """(value, bad): falsy -> NULL (empty), object -> itself, else bad shape."""
-    return F.when(is_obj(v), col_(v)), truthy(v) & ~is_obj(v)
+    return F.when(is_obj(v), col_(v)), ~is_obj(v) & truthy(v)
 
 
 def with_boundary(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
@@ -225,8 +240,7 @@ def validate_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
 def _validation_stages(reply: str) -> list[tuple[bool, dict[str, Column]]]:
     """(through a boundary?, columns) for each validation step, in order."""
     stages = []
-    found, text = cut_json(reply)
-    stages.append((True, {"_found": found, "_obj": parse_single_object(text)}))
+    stages += [(True, cols) for cols in cut_steps(reply) + parse_steps("_text")]
     obj = F.col("_obj")
     stages.append((False, {
         "_exr": vget(obj, "$.extraction"), "_qsr": vget(obj, "$.quality_scores"),

@@ -26,6 +26,13 @@ def pystrip(c) -> Column:
     return F.btrim(col_(c), F.lit(_SPACES))
 
 
+def pystrip_long(c) -> Column:
+    """``pystrip`` of a column of long texts: a trim lays out every character, so only texts with white space at an end are trimmed."""
+    t = col_(c)
+    blank_end = F.lit(_SPACES).contains(F.left(t, F.lit(1))) | F.lit(_SPACES).contains(F.right(t, F.lit(1)))
+    return F.when(blank_end, pystrip(t)).otherwise(t)
+
+
 def blank_to_null(c) -> Column:
     """NULL when the stripped text is empty, else the stripped text."""
     s = pystrip(c)

@@ -70,9 +70,8 @@ def q_json_status(spark, sf_dir):
 
 @register("json_cut")
 def q_json_cut(spark, sf_dir):
-    r = FX.replies(spark, sf_dir)
-    found, cut = coerce.cut_json("reply")
-    return r.select("conv_id", found.alias("found"), cut.alias("cut"))
+    cut = coerce.cut_json(FX.replies(spark, sf_dir))
+    return cut.select("conv_id", F.col("_found").alias("found"), F.col("_text").alias("cut"))
 
 
 @register("analysis_validate")

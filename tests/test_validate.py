@@ -108,3 +108,20 @@ def test_golden_example(spark):
     assert a["recommended_next_action"] == "send_brochure_whatsapp"
     assert a["next_action_reason"] == ""
     assert r["overall_score"] == 3.0 and r["score_quarters"] == 12
+
+
+def test_a_long_reply_is_trimmed_matched_and_parsed_once(spark):
+    """The texts that a reply goes through are columns of their own: no expression over the whole reply stands in the plan twice."""
+    long = "a {b} `c` ``` d\n" * 4000
+    body = json.dumps(BASE | {"summary": long, "next_action_reason": " " + long})
+    replies = [body, " " + body, body + "　", "Sure: " + body + " thanks", "```json\n" + body + "\n```", body + body, body + " {", "} " + body, "", " ", "{", "}", "```{}", long]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)] + [(len(replies), None)], "id int, reply string")
+    out = validate_replies(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(x) for x in ("parseJson", "regexp_extract(", "reverse(")] == [1, 1, 1]
+    got = {r["id"]: r for r in out.collect()}
+    assert got[len(replies)]["parse_status"] == "no_reply"
+    for i, reply in enumerate(replies):
+        status, want = validate(reply)
+        assert got[i]["parse_status"] == status, i
+        assert (as_model(got[i]["analysis"]) if status == "ok" else got[i]["analysis"]) == (want if status == "ok" else None), i
