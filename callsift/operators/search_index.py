@@ -2,20 +2,26 @@
 
 The texts are written in blocks of ``BLOCK`` rows as they come, and for every block the distinct three-letter runs of its
 texts: the runs are combined within a block before the shuffle.  A search reads the rows of the term's runs, keeps the blocks that
-hold all of them, and tests the very LIKE of ``views.search_predicate`` on those blocks only.  A term without a run of
+hold all of them, and applies the very test of ``views.search_predicate`` on those blocks only.  A term without a run of
 three letters (short, or cut by wildcards) is tested on all blocks, so every term gives what a full search gives.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship_package
 from .views import search_predicate
 
 #: Rows of a block; parts that the runs are dealt to by hash; blocks that a search names in the scan's filter.
 BLOCK, PARTS, NAMED = 64, 32, 1000
+#: Runs of a block that a task holds before it makes them distinct.
+HELD = 1_000_000
 
 
 def build(texts: DataFrame, root: str, cols: list[str]) -> None:
@@ -24,13 +30,43 @@ def build(texts: DataFrame, root: str, cols: list[str]) -> None:
     numbered = texts.withColumn("_block", F.floor(F.monotonically_increasing_id() / BLOCK).cast("long"))
     numbered.write.parquet(f"{root}/texts")
     written = spark.read.parquet(f"{root}/texts")
-    runs = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("(?s)(?=(...))"), 1) for c in cols])))
-    rows = written.select("_block", F.explode(runs).alias("run")).distinct()
+    lowered = [F.lower(F.col(c).cast("string")).cast("binary").alias(f"_text_{i}") for i, c in enumerate(cols)]
+    ship_package(spark)
+    rows = written.select("_block", *lowered).mapInArrow(block_runs, "_block long, run string")
+    # a block that two tasks read is there twice; the parts hold all rows of a run, so one shuffle serves both steps
     part = F.pmod(F.xxhash64("run"), F.lit(PARTS)).cast("int")
-    (rows.withColumn("part", part).repartition(PARTS, "part").sortWithinPartitions("run", "_block")
+    (rows.withColumn("part", part).repartition(PARTS, "part").distinct().sortWithinPartitions("run", "_block")
      .write.partitionBy("part").parquet(f"{root}/runs"))
 
 
+def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_block, run): the distinct three-letter runs of the rows of a block that follow each other; a run is sorted as one number of 63 bits."""
+    block, held = None, []
+    for batch in batches:
+        for b, *texts in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+            if b != block:
+                if held:
+                    yield _run_rows(block, held)
+                block, held = b, []
+            for text in texts:
+                letters = np.frombuffer((text.as_py() or b"").decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.int64)
+                held.append(letters[:-2] << 42 | letters[1:-1] << 21 | letters[2:])
+            if sum(map(len, held)) > HELD:
+                held = [np.unique(np.concatenate(held))]
+    if held:
+        yield _run_rows(block, held)
+
+
+def _run_rows(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
+    runs = np.unique(np.concatenate(held))
+    letters = np.stack([runs >> 42, runs >> 21 & 0x1FFFFF, runs & 0x1FFFFF], axis=1)
+    size = (1 + (letters >= 0x80) + (letters >= 0x800) + (letters >= 0x10000)).sum(axis=1)  # in UTF-8
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    data = letters.astype("<u4").tobytes().decode("utf-32-le").encode()
+    run = pa.StringArray.from_buffers(len(letters), pa.py_buffer(ends), pa.py_buffer(data))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(letters), block, np.int64)), run], names=["_block", "run"])
+
+
 def term_runs(term: str, literal: bool = False) -> list[str]:
     """The three-letter runs that any match of the term holds; ``%`` and ``_`` break it unless it is literal."""
     t = term.strip().lower()

@@ -7,6 +7,7 @@ filters on plain columns reach the scan as pushed filters.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,34 +36,27 @@ def list_projection(calls: DataFrame) -> DataFrame:
         *[F.coalesce(qs[d]["score"], F.lit(0)).alias(f"{d}_score") for d in S.DIMENSIONS])
 
 
-def like_escape(term: str, esc: str = "~") -> str:
-    """A LIKE pattern matching ``term`` literally (the reference passes % and _ through; see README)."""
-    t = term.replace(esc, esc + esc).replace("%", esc + "%").replace("_", esc + "_")
-    return f"%{t}%"
-
-
 def search_predicate(term: str | None, cols=("transcript", "telecaller_name", "lead_name"),
                      literal: bool = False) -> Column | None:
     """Case-insensitive substring match over the given columns; blank term = no filter.
 
     By default % and _ in the term act as wildcards, as in the reference's LIKE;
-    ``literal=True`` escapes them.
+    ``literal=True`` takes them as they are.
     """
     if term is None or not term.strip():
         return None
     t = term.strip().lower()
-    if literal:
-        pat = like_escape(t)
-        preds = [F.expr(f"lower({c}) LIKE '{_sql_str(pat)}' ESCAPE '~'") for c in cols]
+    pieces = [t] if literal else [p for p in t.split("%") if p]
+    if not pieces:
+        test = F.isnotnull
+    elif len(pieces) == 1 and (literal or "_" not in t):
+        test = lambda c: F.contains(c, F.lit(pieces[0]))
     else:
-        # wildcard semantics without an escape character: a '~' in the term is doubled for the escape
-        pat = "%" + t.replace("~", "~~") + "%"
-        preds = [F.expr(f"lower({c}) LIKE '{_sql_str(pat)}' ESCAPE '~'") for c in cols]
-    return reduce(lambda a, b: a | b, preds)
-
-
-def _sql_str(s: str) -> str:
-    return s.replace("\\", "\\\\").replace("'", "\\'")
+        # each piece at its first place after the one before, for good: a text is gone through once, where a LIKE goes back and forth
+        found = ["".join("." if x == "_" else re.escape(x) for x in p) for p in pieces]
+        pattern = r"(?s)\A" + "".join(f"(?>.*?{x})" for x in found)
+        test = lambda c: F.rlike(c, F.lit(pattern))
+    return reduce(lambda a, b: a | b, [test(F.lower(F.col(c))) for c in cols])
 
 
 def filter_predicate(telecaller: str | None = None, visit: str | None = None, action: str | None = None,

@@ -1,8 +1,10 @@
 """Place table against the regular expression; search index against a full search."""
 
 import random
+import time
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +62,23 @@ def test_index_equals_full_search(spark, texts, block, monkeypatch):
             assert sorted(r.id for r in search_index.search(spark, root, term, ["text", "name"], literal).collect()) == want, (term, literal)
     # a rare term leaves most blocks out
     assert search_index.blocks(spark, root, search_index.term_runs("needle")).count() <= 2
+
+
+def test_runs_of_a_block_come_once(spark):
+    texts = [[b"abcabc", "a\0\0b😀日本".encode(), None, b"ab", b""], [b"bcax", None, b"", b"zz", "ééé".encode()]]
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array([7] * 3 + [8] * 2)[a:b], *[pa.array(t, pa.binary())[a:b] for t in texts]], names=["_block", "a", "b"])
+    got = [(r["_block"], r["run"]) for out in search_index.block_runs(iter([batch(0, 1), batch(1, 5)])) for r in out.to_pylist()]
+    plain = [(7, "abcabc"), (7, "a\0\0b😀日本"), (7, "bcax"), (8, "ééé")]
+    assert sorted(got) == sorted({(b, t[i:i + 3]) for b, t in plain for i in range(len(t) - 2)})
+
+
+def test_the_search_test_is_a_like_that_reads_a_text_once(spark, texts):
+    for term in ["a%b", "%", "__", "s%_e%", "a_b", "it's%\\", "x~y", "(a|b)", "%e\n%", "日_語", "v%T W", "b\\s", "e%e%e%e"]:
+        for literal in (False, True):
+            like = term.lower().replace("~", "~~")
+            like = like.replace("%", "~%").replace("_", "~_") if literal else like
+            want = texts.where(F.like(F.lower("text"), F.lit(f"%{like}%"), F.lit("~")))
+            assert sorted(r.id for r in texts.where(search_predicate(term, ["text"], literal)).collect()) == sorted(r.id for r in want.collect()), (term, literal)
+    long = spark.range(1).select(F.repeat(F.lit("Der "), 60_000).alias("text"))
+    began = time.monotonic()
+    assert long.where(search_predicate("der%lich", ["text"])).count() == 0 and time.monotonic() - began < 5
