@@ -32,10 +32,10 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.analyze(FX.replies(spark, sf_dir))
 
 
-def stored_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The call store as the batch job leaves it: calls whose reply validated."""
+def stored_calls(spark: SparkSession, sf_dir: str, ok: DataFrame | None = None) -> DataFrame:
+    """The call store as the batch job leaves it: calls whose reply validated (``ok``, if these replies are written already)."""
     c = FX.calls(spark, sf_dir)
-    v = validated(spark, sf_dir).filter(F.col("parse_status") == "ok").drop("reply")
+    v = validated(spark, sf_dir).filter(F.col("parse_status") == "ok").drop("reply") if ok is None else ok
     return (c.join(v, "conv_id")
              .withColumn("transcript_hash", text.transcript_hash("transcript")))
 

@@ -295,11 +295,15 @@ def q_first_n(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- store
-def _store_and_batch(spark, sf_dir):
+def _ok_replies(spark, sf_dir):
+    return kept(validated(spark, sf_dir).filter("parse_status = 'ok'").select(
+        "conv_id", "analysis", "score_quarters", "overall_score"), "validated")
+
+
+def _store_and_batch(spark, sf_dir, v=None):
     calls = FX.calls(spark, sf_dir)
     # both sides read the validated replies: written once rather than validated twice
-    v = kept(validated(spark, sf_dir).filter("parse_status = 'ok'").select(
-        "conv_id", "analysis", "score_quarters", "overall_score"), "validated")
+    v = _ok_replies(spark, sf_dir) if v is None else v
     old = (calls.filter(F.col("conv_id") % 2 == 0).join(v, "conv_id")
            .withColumn("transcript_hash", transcript_hash("transcript")))
     nxt = v.withColumn("conv_id", F.col("conv_id") - 1)

@@ -13,7 +13,7 @@ from ..operators.leaderboard import from_score_counts
 from ..session import kept, work_dir
 from ..sources import fixtures as FX
 from .queries import register, stored_calls
-from .queries_ops import INGEST_TS, _doc_calls, _n_conv, _store_and_batch, latency_rounds
+from .queries_ops import INGEST_TS, _doc_calls, _n_conv, _ok_replies, _store_and_batch, latency_rounds
 
 
 def _root(spark, name: str) -> str:
@@ -24,9 +24,9 @@ def _root(spark, name: str) -> str:
 def q_standing_leaderboard(spark, sf_dir):
     """The leaderboard after five merges (A1 W1 W2 M1), from the store's score counts alone: each merge brings a fifth of the
     calls and sends every second call of the fifth before again with another analysis."""
-    calls = stored_calls(spark, sf_dir)
-    _, again = _store_and_batch(spark, sf_dir)
-    calls, again = kept(calls, "calls"), kept(again, "again")
+    ok = _ok_replies(spark, sf_dir)
+    _, again = _store_and_batch(spark, sf_dir, ok)
+    calls, again = kept(stored_calls(spark, sf_dir, ok), "calls"), kept(again, "again")
     root = _root(spark, "standing")
     for k in range(5):
         resent = again.where((F.col("conv_id") % 5 == k - 1) & (F.col("conv_id") % 2 == 0))

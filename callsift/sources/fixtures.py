@@ -163,7 +163,10 @@ def reply_body() -> F.Column:
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, reply): one raw model reply per conversation, in every failure shape."""
-    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    # the ids are a few bytes each: a plain distinct is joined into one partition by adaptive execution, and one task would
+    # make and validate all replies; a shuffle with a number of its own is left as it is, and the distinct needs no other
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = table(spark, sf_dir, "conversations").select("conv_id").repartition(parts, "conv_id").distinct()
     b = ids.withColumn("body", reply_body())
     c = F.col("conv_id")
     body = F.col("body")

@@ -3,7 +3,10 @@ import json
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from callsift.operators import ingest, metrics, rubric
+from callsift.sources import fixtures as FX
 
 
 def test_jsonl_blank_and_bad_lines_are_quarantined(spark):
@@ -72,3 +75,11 @@ def test_percentiles_follow_the_rank_rule(spark):
     ranked = sorted(values)
     assert got == {q: ranked[min(int(q * len(ranked)), len(ranked) - 1)] for q in got} and len(got) == 5
     assert metrics.rank_rule_percentiles(df.limit(0), "v", [0.5]).count() == 0
+
+
+def test_replies_are_made_in_as_many_tasks_as_a_shuffle_has(spark, tmp_path):
+    """Ids of conversations take a few bytes: joined into one partition, one task would validate all replies."""
+    spark.range(4000).select(F.col("id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.lit("a").alias("text")).write.parquet(f"{tmp_path}/conversations.parquet")
+    replies = FX.replies(spark, str(tmp_path))
+    assert replies.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert replies.count() == 4000
